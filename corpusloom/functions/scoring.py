@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
-from operator import add
+from operator import add, and_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -69,6 +69,17 @@ class Topic:
         """The question occurs in a text, with hyphens tolerated."""
         return norm.contains(self.norm) | loose.contains(self.loose)
 
+    def occurs(self, lowered: Column) -> Column:
+        """The question occurs in a long lower-case text whose white space is not yet collapsed.
+
+        Only a text holding every word of the question is normalised at all.
+        """
+        squeezed = squeeze(lowered)
+        words = [F.contains(lowered, F.lit(w)) for w in dict.fromkeys(self.loose.split())]
+        return F.when(
+            reduce(and_, words, F.lit(True)), self.within(squeezed, hyphen_loose(squeezed))
+        ).otherwise(F.lit(False))
+
     def covers(self, norm: Column, loose: Column) -> Column:
         """A text occurs in the question, with hyphens tolerated."""
         return F.contains(F.lit(self.norm), norm) | F.contains(F.lit(self.loose), loose)
@@ -130,33 +141,29 @@ def lead_has_phrase(sutta: Column, topic: Topic) -> Column:
     return topic.within(lead, hyphen_loose(lead))
 
 
-def text_bonus(sutta: Column, sutta_norm: Column, commentary_norm: Column, topic: Topic) -> Column:
+def text_bonus(sutta: Column, sutta_low: Column, commentary_low: Column, topic: Topic) -> Column:
     if topic.n < 2:
         return F.lit(0.0)
-    inside = topic.within(sutta_norm, hyphen_loose(sutta_norm))
     by_text = F.when(lead_has_phrase(sutta, topic), F.lit(K.BONUS_LEAD_IN))
-    if topic.n >= 10:
-        by_text = by_text.when(inside, F.lit(K.BONUS_TEXT_LONG))
-    elif topic.n >= 6:
-        by_text = by_text.when(inside, F.lit(K.BONUS_TEXT_MEDIUM))
+    if topic.n >= 6:
+        value = K.BONUS_TEXT_LONG if topic.n >= 10 else K.BONUS_TEXT_MEDIUM
+        by_text = by_text.when(topic.occurs(sutta_low), F.lit(value))
     by_text = by_text.otherwise(F.lit(0.0))
     if topic.n < 10:
         return by_text
-    by_commentary = F.when(
-        topic.within(commentary_norm, hyphen_loose(commentary_norm)), F.lit(K.BONUS_COMMENTARY)
-    ).otherwise(F.lit(0.0))
-    return by_text + by_commentary
+    return by_text + F.when(topic.occurs(commentary_low), F.lit(K.BONUS_COMMENTARY)).otherwise(F.lit(0.0))
 
 
-def token_score(chain_norm: Column, commentary_norm: Column, sutta_norm: Column, topic: Topic) -> Column:
+def token_score(chain_low: Column, commentary_low: Column, sutta_low: Column, topic: Topic) -> Column:
+    """Weighted occurrence counts. Tokens hold no white space, so lower-case texts need no collapsing."""
     parts = []
     for token in topic.tokens:
         t = squeeze_query(token)
         if len(t) < 2:
             continue
-        parts.append(F.lit(K.WEIGHT_CHAIN) * count_occurrences(chain_norm, t))
-        parts.append(F.lit(K.WEIGHT_COMMENTARY) * count_occurrences(commentary_norm, t))
-        parts.append(F.lit(K.WEIGHT_SUTTA) * count_occurrences(sutta_norm, t))
+        parts.append(F.lit(K.WEIGHT_CHAIN) * count_occurrences(chain_low, t))
+        parts.append(F.lit(K.WEIGHT_COMMENTARY) * count_occurrences(commentary_low, t))
+        parts.append(F.lit(K.WEIGHT_SUTTA) * count_occurrences(sutta_low, t))
     return _total(parts, F.lit(0)).cast("double")
 
 
@@ -167,7 +174,7 @@ def alignment_words(c: Column | str) -> Column:
     """Text form for alignment: no diacritics, lower case, words only."""
     t = F.lower(native.strip_diacritics(text_or_blank(c)))
     t = F.replace(t, F.lit("<j>"), F.lit(" "))
-    return squeeze(F.regexp_replace(t, rf"(?U)[^\w{K.WS_CLASS}Ā-ɏ]", " "))
+    return squeeze(F.regexp_replace(t, rf"(?U)[^\w{K.WS_FLAT}Ā-ɏ]", " "))
 
 
 def word_set(norm: Column) -> Column:

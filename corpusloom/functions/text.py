@@ -63,7 +63,7 @@ def normalize_for_markers(c: Column | str) -> Column:
 
 def normalize_for_similarity(c: Column | str) -> Column:
     t = F.lower(squeeze(ascii_apostrophes(c)))
-    return squeeze(F.regexp_replace(t, rf"(?U)[^\w{K.WS_CLASS}\u0080-ɏ]", " "))
+    return squeeze(F.regexp_replace(t, rf"(?U)[^\w{K.WS_FLAT}\u0080-ɏ]", " "))
 
 
 def hyphen_loose(c: Column | str) -> Column:

@@ -10,6 +10,10 @@ from ..functions.text import ellipsis, is_blank, or_none, squeeze, strip, text_o
 from .dedup import keep_first
 
 
+#: Document kinds in the order a record yields them.
+KINDS = ["sutta", "commentary", "chain", "combined"]
+
+
 def commentary_body(commentary: Column | str = "commentary", misspelt: Column | str = "commentry") -> Column:
     return strip(F.coalesce(or_none(text_or_blank(commentary)), text_or_blank(misspelt)))
 
@@ -117,7 +121,7 @@ def to_documents(records: DataFrame, rec_i: str = "rec_i", variant: str = "a") -
     comm_part = F.concat(F.lit("\n\nTEACHER COMMENTARY:\n"), F.col("_comm"))
 
     def doc(kind: str, text: Column) -> Column:
-        return F.struct(F.lit(kind).alias("kind"), text.alias("text"))
+        return F.struct(F.lit(KINDS.index(kind)).alias("ord"), F.lit(kind).alias("kind"), text.alias("text"))
 
     docs = F.array_compact(
         F.array(
@@ -140,6 +144,6 @@ def to_documents(records: DataFrame, rec_i: str = "rec_i", variant: str = "a") -
         base.filter(F.col("suttaid") != "")
         .withColumn("_docs", docs)
         .withColumn("_docs", F.when(F.size("_docs") > 0, F.col("_docs")).otherwise(fallback))
-        .select(*keep, F.posexplode("_docs").alias("doc_ord", "_d"))
-        .select(*keep, "doc_ord", F.col("_d.kind").alias("kind"), F.col("_d.text").alias("text"))
+        .select(*keep, F.explode("_docs").alias("_d"))
+        .select(*keep, F.col("_d.ord").alias("doc_ord"), F.col("_d.kind").alias("kind"), F.col("_d.text").alias("text"))
     )

@@ -17,7 +17,7 @@ from ..functions.scoring import (
     text_bonus,
     token_score,
 )
-from ..functions.text import normalize, text_or_blank
+from ..functions.text import text_or_blank
 from .dedup import top_per_key
 
 
@@ -28,9 +28,9 @@ def score_rows(rows: DataFrame, query: str) -> DataFrame:
     category = F.col("chain.category")
     prepared = rows.withColumns(
         {
-            "_sut": normalize("sutta"),
-            "_com": normalize("commentary"),
-            "_chn": normalize(F.array_join(items, " ")),
+            "_sut": F.lower(text_or_blank("sutta")),
+            "_com": F.lower(text_or_blank("commentary")),
+            "_chn": F.lower(text_or_blank(F.array_join(items, " "))),
         }
     )
     lexical = text_bonus(F.col("sutta"), F.col("_sut"), F.col("_com"), topic) + token_score(

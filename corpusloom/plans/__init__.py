@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ["search", "corpus"]
+AREAS = ["search", "corpus", "retrieval"]
 
 
 def load_all() -> None:

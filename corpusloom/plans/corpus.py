@@ -41,7 +41,7 @@ DOC_CHUNKS = f"WITH RECURSIVE src AS (SELECT doc_id AS k, text FROM documents),
     DOC_CHUNKS + " SELECT k AS doc_id, chunk_index, length(chunk) AS n_chars, md5(chunk) AS chunk_md5 FROM chunks",
 )
 def chunk_documents(spark, sf):
-    cut = C.chunk_rows(table(spark, sf, "documents").select("doc_id", "text"))
+    cut = C.chunk_rows(table(spark, sf, "documents", spread_by="doc_id").select("doc_id", "text"))
     return cut.select("doc_id", "chunk_index", F.length("text").alias("n_chars"), F.md5("text").alias("chunk_md5"))
 
 
@@ -65,7 +65,7 @@ def chunk_numbering(spark, sf):
       FROM chunks JOIN documents ON k = doc_id GROUP BY source""",
 )
 def chunk_counts_by_source(spark, sf):
-    return C.chunk_counts(C.chunk_rows(table(spark, sf, "documents").select("source", "text")))
+    return C.chunk_counts(C.chunk_rows(table(spark, sf, "documents", spread_by="doc_id").select("source", "text")))
 
 
 def docs_sql() -> str:

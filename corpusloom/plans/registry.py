@@ -32,5 +32,15 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, spread_by: str | None = None) -> DataFrame:
+    """One of the given tables.
+
+    ``spread_by`` names a unique key for queries whose cost lies in per-row work: a
+    scan with fewer partitions than cores (a small file with one row group) is then
+    spread by that key. A large table has more partitions than cores and is left alone.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if spread_by and df.rdd.getNumPartitions() < cores:
+        df = df.repartition(cores, spread_by)
+    return df

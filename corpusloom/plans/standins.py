@@ -35,7 +35,7 @@ def sql_norm(expr: str) -> str:
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records: first line as reading, the rest as commentary, first words as chain items."""
-    d = table(spark, sf_dir, "documents")
+    d = table(spark, sf_dir, "documents", spread_by="doc_id")
     number = F.concat(
         (F.col("doc_id") % 11 + 1).cast("string"), F.lit("."), F.floor(F.col("doc_id") / 22).cast("string")
     )
@@ -78,7 +78,7 @@ RECORDS_SQL = f"""records AS (
 
 def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Transcript files: one text per document."""
-    return table(spark, sf_dir, "documents").select(
+    return table(spark, sf_dir, "documents", spread_by="doc_id").select(
         F.col("doc_id").alias("file_ord"),
         F.concat(F.lit("talk_"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("file_name"),
         "text",
