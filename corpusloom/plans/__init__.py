@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ["search", "corpus", "retrieval"]
+AREAS = ["search", "corpus", "retrieval", "conversations"]
 
 
 def load_all() -> None:
