@@ -174,7 +174,7 @@ def alignment_words(c: Column | str) -> Column:
     """Text form for alignment: no diacritics, lower case, words only."""
     t = F.lower(native.strip_diacritics(text_or_blank(c)))
     t = F.replace(t, F.lit("<j>"), F.lit(" "))
-    return squeeze(F.regexp_replace(t, rf"(?U)[^\w{K.WS_FLAT}Ā-ɏ]", " "))
+    return squeeze(F.regexp_replace(t, rf"[^\p{{L}}\p{{N}}_{K.WS_FLAT}Ā-ɏ]", " "))
 
 
 def word_set(norm: Column) -> Column:

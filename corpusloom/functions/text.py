@@ -17,6 +17,15 @@ def text_or_blank(c: Column | str) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once.
+
+    A column used inside a lambda over an array is otherwise evaluated again for
+    every element.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c: Column | str) -> Column:
     """Drop leading and trailing Unicode white space."""
     return F.btrim(text_or_blank(c), F.lit(K.WS_CHARS))
@@ -63,7 +72,7 @@ def normalize_for_markers(c: Column | str) -> Column:
 
 def normalize_for_similarity(c: Column | str) -> Column:
     t = F.lower(squeeze(ascii_apostrophes(c)))
-    return squeeze(F.regexp_replace(t, rf"(?U)[^\w{K.WS_FLAT}\u0080-ɏ]", " "))
+    return squeeze(F.regexp_replace(t, rf"[^\p{{L}}\p{{N}}_{K.WS_FLAT}\u0080-ɏ]", " "))
 
 
 def hyphen_loose(c: Column | str) -> Column:
@@ -129,9 +138,9 @@ def drop_code_fence(c: Column | str) -> Column:
     return F.when(F.startswith(t, F.lit("```")), inner).otherwise(t)
 
 
-def safe_name(c: Column | str, keep: str = r"\w.\-") -> Column:
-    """File-name form of an identifier."""
-    return F.regexp_replace(text_or_blank(c), rf"(?U)[^{keep}]", "_")
+def safe_name(c: Column | str, keep: str = r".\-") -> Column:
+    """File-name form of an identifier: word characters and ``keep`` stay."""
+    return F.regexp_replace(text_or_blank(c), rf"[^\p{{L}}\p{{N}}_{keep}]", "_")
 
 
 def transcript_opening(c: Column | str, limit: int = K.TRANSCRIPT_OPENING_CHARS) -> Column:

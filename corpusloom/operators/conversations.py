@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.scalars import canonical_uuid, known_role, micros, role_from_sender, valid_turn
-from ..functions.text import is_blank, or_none, question_title, strip, text_or_blank
+from ..functions.text import is_blank, let, or_none, question_title, strip, text_or_blank
 from .dedup import top_per_key
 from .ordered import BLOCK, with_next
 
@@ -35,15 +35,12 @@ def nest_turns(turns: DataFrame, group: str = "conv_id", order: str = "turn") ->
 
 def drop_repeats(messages: Column) -> Column:
     """Drop a message equal to the one before it."""
-    return F.filter(
-        messages,
-        lambda m, i: (i == 0)
-        | ~F.coalesce(
-            F.get(messages, i - 1)["role"].eqNullSafe(m["role"])
-            & F.get(messages, i - 1)["content"].eqNullSafe(m["content"]),
-            F.lit(False),
-        ),
-    )
+
+    def same(a: Column, b: Column) -> Column:
+        equal = a["role"].eqNullSafe(b["role"]) & a["content"].eqNullSafe(b["content"])
+        return F.coalesce(equal, F.lit(False))
+
+    return let(messages, lambda ms: F.filter(ms, lambda m, i: (i == 0) | ~same(F.get(ms, i - 1), m)))
 
 
 def has_messages(c: Column | str = "messages") -> Column:

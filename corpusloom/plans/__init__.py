@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ["search", "corpus", "retrieval", "conversations"]
+AREAS = ["search", "corpus", "retrieval", "conversations", "alignment", "answers"]
 
 
 def load_all() -> None:
