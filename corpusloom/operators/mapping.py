@@ -153,7 +153,9 @@ def candidate_scores(units: DataFrame, canon: DataFrame, k: int = K.TOP_K_DEFAUL
     tiles = openings.groupBy("book", F.floor(F.col("pos") / TILE).alias("_tile")).agg(
         F.array_sort(F.collect_list(F.struct("pos", "opening"))).alias("_entries")
     )
-    texts = keyed.select("book", "_key").distinct()
+    # An explicit partition count keeps the costly comparison spread even when the keys are few bytes.
+    n = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    texts = keyed.select("book", "_key").repartition(n, "book", "_key").distinct()
     if canon.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         pairs = texts.join(F.broadcast(tiles), "book")
     else:
