@@ -161,7 +161,9 @@ def candidate_scores(units: DataFrame, canon: DataFrame, k: int = K.TOP_K_DEFAUL
     else:
         # A book may hold a third of all texts: spread it over salted copies of its tiles.
         spread = texts.withColumn("_salt", F.pmod(F.xxhash64("_key"), F.lit(SALTS)))
-        copies = tiles.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("bigint"))
+        copies = tiles.withColumn(
+            "_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint")))
+        )
         pairs = spread.join(copies, ["book", "_salt"]).drop("_salt")
     met = pairs.withColumn("_best", native.best_in_tile(F.col("_key"), F.col("_entries"), k))
     scored = met.select("book", "_key", F.explode("_best").alias("_b")).select(

@@ -25,14 +25,15 @@ def _previous_keys(keys: DataFrame, group: list[str], order: str, levels: int) -
     w = Window.partitionBy(*group)
     if levels == 0:
         return keys.withColumn("_prev", F.lag(order).over(w.orderBy(order)))
-    keys = keys.withColumn("_blk", _block(F.col(order)))
-    inner = keys.withColumn("_in", F.lag(order).over(Window.partitionBy(*group, "_blk").orderBy(order)))
-    blocks = keys.groupBy(*group, "_blk").agg(F.max(order).alias("_last"))
-    before = _previous_keys(blocks.select(*group, "_blk"), group, "_blk", levels - 1)
+    blk = f"_blk{levels}"
+    keys = keys.withColumn(blk, _block(F.col(order)))
+    inner = keys.withColumn("_in", F.lag(order).over(Window.partitionBy(*group, blk).orderBy(order)))
+    blocks = keys.groupBy(*group, blk).agg(F.max(order).alias("_last"))
+    before = _previous_keys(blocks.select(*group, blk), group, blk, levels - 1)
     carried = before.withColumnRenamed("_prev", "_pb").join(
-        blocks.select(*group, F.col("_blk").alias("_pb"), "_last"), [*group, "_pb"], "left"
+        blocks.select(*group, F.col(blk).alias("_pb"), "_last"), [*group, "_pb"], "left"
     )
-    return inner.join(carried.select(*group, "_blk", "_last"), [*group, "_blk"], "left").select(
+    return inner.join(carried.select(*group, blk, "_last"), [*group, blk], "left").select(
         *group, order, F.coalesce("_in", "_last").alias("_prev")
     )
 
