@@ -121,7 +121,8 @@ def text_supports_id(tid: Column | str, content: Column | str) -> Column:
 def insert_headers(c: Column, pattern: str) -> Column:
     """A reference header before each id, unless one stands within the window before it."""
     gap = K.HEADER_WINDOW - len(K.HEADER)
-    guarded = pattern.replace("(?U)", rf"(?U)(?<!{K.HEADER}[\s\S]{{0,{gap}}})", 1)
+    # The window is looked at only where a digit stands.
+    guarded = pattern.replace("(?U)(?<!\\d)", rf"(?U)(?=\d)(?<!\d)(?<!{K.HEADER}[\s\S]{{0,{gap}}})", 1)
     return F.regexp_replace(c, guarded, f"\n\n{K.HEADER} AN $1\n\n$1")
 
 

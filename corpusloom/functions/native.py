@@ -7,15 +7,16 @@ computation.
 
 from __future__ import annotations
 
-import difflib
 import re
 import unicodedata
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import constants as K
+from .sequences import Prepared, ratio
 
 # --- spoken identifiers -------------------------------------------------------
 
@@ -88,18 +89,11 @@ def sequence_ratio(a: Column, b: Column) -> Column:
     """Matching-block similarity of two short strings (library defaults, argument order matters)."""
 
     @F.arrow_udf("double")
-    def ratio(left: pa.Array, right: pa.Array) -> pa.Array:
-        matcher = difflib.SequenceMatcher()
-        out = []
-        for x, y in zip(left.to_pylist(), right.to_pylist()):
-            if x is None or y is None:
-                out.append(None)
-                continue
-            matcher.set_seqs(x, y)
-            out.append(matcher.ratio())
-        return pa.array(out, pa.float64())
+    def similarity(left: pa.Array, right: pa.Array) -> pa.Array:
+        pairs = zip(left.to_pylist(), right.to_pylist())
+        return pa.array([None if x is None or y is None else ratio(x, Prepared(y)) for x, y in pairs], pa.float64())
 
-    return ratio(a, b)
+    return similarity(a, b)
 
 
 def best_in_tile(unit: Column, tile: Column, k: int) -> Column:
@@ -113,25 +107,27 @@ def best_in_tile(unit: Column, tile: Column, k: int) -> Column:
 
     @F.arrow_udf("array<struct<score:double,pos:bigint>>")
     def best(units: pa.Array, tiles: pa.Array) -> pa.Array:
-        matcher = difflib.SequenceMatcher()
-        out = []
-        for text, entries in zip(units.to_pylist(), tiles.to_pylist()):
-            if text is None or not entries:
-                out.append([])
-                continue
-            top: list[tuple[float, int]] = []
-            matcher.set_seq1(text)
-            for entry in entries:
-                matcher.set_seq2(entry["opening"])
-                if len(top) == k:
-                    floor = top[-1][0]
-                    if matcher.real_quick_ratio() < floor or matcher.quick_ratio() < floor:
-                        continue
-                top.append((matcher.ratio(), entry["pos"]))
-                top.sort(key=lambda pair: (-pair[0], pair[1]))
-                del top[k:]
-            out.append([{"score": s, "pos": p} for s, p in top])
-        return pa.array(out, pa.list_(pa.struct([("score", pa.float64()), ("pos", pa.int64())])))
+        texts, lists = units.to_pylist(), tiles.to_pylist()
+        # Rows of the batch by tile, so that what the matcher keeps of an opening serves them all.
+        same: dict[tuple, list[int]] = {}
+        for i, entries in enumerate(lists):
+            if texts[i] is not None and entries:
+                same.setdefault((entries[0]["pos"], entries[-1]["pos"], len(entries)), []).append(i)
+        out: list[list] = [[] for _ in texts]
+        counts = [Counter(t or "") for t in texts]
+        for rows in same.values():
+            for entry in lists[rows[0]]:
+                opening = Prepared(entry["opening"])
+                for i in rows:
+                    top = out[i]
+                    floor = top[-1][0] if len(top) == k else 0.0
+                    score = ratio(texts[i], opening, floor, counts[i])
+                    if score is not None:
+                        top.append((score, entry["pos"]))
+                        top.sort(key=lambda pair: (-pair[0], pair[1]))
+                        del top[k:]
+        shaped = [[{"score": s, "pos": p} for s, p in top] for top in out]
+        return pa.array(shaped, pa.list_(pa.struct([("score", pa.float64()), ("pos", pa.int64())])))
 
     return best(unit, tile)
 

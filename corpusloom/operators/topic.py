@@ -56,10 +56,13 @@ def topic_hits(rows: DataFrame, query: str, max_columns: int = K.MAX_COLUMNS_DEF
     if not Topic(query).tokens:
         rows = rows.limit(0)
     order = [F.desc("category_match"), F.desc("score"), F.asc("pos")]
-    scored = score_rows(rows, query).filter(F.col("score") > 0)
-    keyed = scored.withColumn("_id", text_or_blank("sutta_id"))
-    best = top_per_key(keyed, ["_id"], order)
-    return best.orderBy(*order).limit(max_columns).drop("_id")
+    # Ranking moves four narrow columns only; a row without a score never outranks one
+    # with a score, so they are dropped after it, where the filter does not repeat the
+    # scoring. The texts of the at most ten winners are joined afterwards.
+    scored = score_rows(rows, query).select("pos", text_or_blank("sutta_id").alias("_id"), "category_match", "score")
+    best = top_per_key(scored, ["_id"], order).filter(F.col("score") > 0)
+    top = best.orderBy(*order).limit(max_columns).drop("_id")
+    return rows.join(F.broadcast(top), "pos").orderBy(*order)
 
 
 def to_hits(rows: DataFrame) -> DataFrame:

@@ -12,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import squeeze
+from ..functions import constants as K
+from ..functions.text import strip
 from .registry import table
 
 #: White space for the SQL side: the same code points as the library's own class.
@@ -40,8 +41,8 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("doc_id") % 11 + 1).cast("string"), F.lit("."), F.floor(F.col("doc_id") / 22).cast("string")
     )
     cut = F.instr("text", "\n")
-    words = F.filter(F.split(squeeze("text"), " "), lambda w: w != "")
-    items = F.slice(words, 1, 3)
+    words = F.split(strip("text"), f"[{K.WS_CLASS}]+", 4)
+    items = F.filter(F.slice(words, 1, 3), lambda w: w != "")
     chain = F.struct(
         items.alias("items"),
         F.size(items).alias("count"),

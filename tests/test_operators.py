@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from corpusloom.functions.native import chunk_spans
+from corpusloom.functions.sequences import Prepared, ratio
 from corpusloom.operators import answers as A
 from corpusloom.operators import alignment as Al
 from corpusloom.operators import chunking, dedup, mapping, models, ordered, records, retrieval, segments, subtitles
@@ -38,6 +39,18 @@ def test_chunks_cover_text(t):
     assert t[end:].strip() == ""
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="aabbcdefgh ", max_size=420), st.text(alphabet="aabbcdefgh ", max_size=420), st.floats(0, 1))
+def test_ratio_equals_the_standard_library(a, b, floor):
+    import difflib
+    from collections import Counter
+
+    want = difflib.SequenceMatcher(None, a, b).ratio()
+    assert ratio(a, Prepared(b)) == want
+    cut = ratio(a, Prepared(b), floor, Counter(a))
+    assert cut == want if want >= floor else cut in (None, want)
+
+
 def test_chunk_numbers_equal_a_global_row_number(spark):
     rng = random.Random(3)
     docs = [(i * 3 + rng.randint(0, 2), "word. " * rng.randint(0, 900)) for i in range(300)]
