@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import ellipsis, or_none, squeeze, strip, text_or_blank
+from .text import ellipsis, let, or_none, squeeze, strip, text_or_blank
 
 # Recognised passages and the chain each stands for.
 CONFIDENCE_LEAD = "Experiential confidence in the"
@@ -39,7 +39,10 @@ def _one(values: list[str]) -> Column:
 
 def extract_chains(c: Column | str) -> Column:
     """``struct<chains,method>`` of a canon text; the first recognised family wins."""
-    t = F.replace(text_or_blank(c), F.lit("<j>"), F.lit(" "))
+    return let(F.replace(text_or_blank(c), F.lit("<j>"), F.lit(" ")), _recognise)
+
+
+def _recognise(t: Column) -> Column:
     low = F.lower(t)
     none = F.array().cast("array<array<string>>")
 

@@ -72,14 +72,25 @@ def drop_marks(text: str) -> str:
     return "".join(ch for ch in unicodedata.normalize("NFD", text) if unicodedata.category(ch) != "Mn")
 
 
-def strip_diacritics(c: Column) -> Column:
-    run = _mapper(drop_marks, pa.string())
+_OTHER = re.compile(r"[^\w\s\u0100-\u024f]")
+
+
+def plain_words(text: str) -> str:
+    return " ".join(_OTHER.sub(" ", drop_marks(text).lower().replace("<j>", " ")).split())
+
+
+def alignment_text(c: Column) -> Column:
+    """Text form for alignment: no diacritics, lower case, words only.
+
+    All of it is done here, so that the expressions after it refer to a finished column.
+    """
+    run = _mapper(plain_words, pa.string())
 
     @F.arrow_udf("string")
-    def bare(batch: pa.Array) -> pa.Array:
+    def words(batch: pa.Array) -> pa.Array:
         return run(batch)
 
-    return bare(c)
+    return words(c)
 
 
 # --- sequence similarity ------------------------------------------------------

@@ -15,6 +15,7 @@ from .text import (
     count_occurrences,
     hyphen_loose,
     is_blank,
+    let,
     loose_query,
     normalize,
     query_tokens,
@@ -171,10 +172,7 @@ def token_score(chain_low: Column, commentary_low: Column, sutta_low: Column, to
 
 
 def alignment_words(c: Column | str) -> Column:
-    """Text form for alignment: no diacritics, lower case, words only."""
-    t = F.lower(native.strip_diacritics(text_or_blank(c)))
-    t = F.replace(t, F.lit("<j>"), F.lit(" "))
-    return squeeze(F.regexp_replace(t, rf"[^\p{{L}}\p{{N}}_{K.WS_FLAT}Ā-ɏ]", " "))
+    return native.alignment_text(F.col(c) if isinstance(c, str) else c)
 
 
 def word_set(norm: Column) -> Column:
@@ -183,18 +181,25 @@ def word_set(norm: Column) -> Column:
 
 def jaccard(a: Column, b: Column) -> Column:
     """Share of common words of two normalised texts; 0 when either has none."""
-    wa, wb = word_set(a), word_set(b)
-    both = F.size(F.array_intersect(wa, wb))
-    return F.when(
-        (F.size(wa) > 0) & (F.size(wb) > 0), both / (F.size(wa) + F.size(wb) - both)
-    ).otherwise(F.lit(0.0))
+    def share(sets: Column) -> Column:
+        wa, wb = sets["a"], sets["b"]
+        return let(
+            F.size(F.array_intersect(wa, wb)),
+            lambda both: F.when(
+                (F.size(wa) > 0) & (F.size(wb) > 0), both / (F.size(wa) + F.size(wb) - both)
+            ).otherwise(F.lit(0.0)),
+        )
+
+    return let(F.struct(word_set(a).alias("a"), word_set(b).alias("b")), share)
 
 
 def keyword_overlap(transcript_norm: Column, canon_norm: Column) -> Column:
     """Share of the first forty longer canon words that occur in the transcript opening."""
-    words = F.slice(F.filter(F.split(canon_norm, " "), lambda w: F.length(w) >= 4), 1, 40)
-    hits = F.size(F.filter(words, lambda w: F.contains(transcript_norm, w)))
-    return F.when(F.size(words) > 0, hits / F.size(words)).otherwise(F.lit(0.0))
+    def share(words: Column) -> Column:
+        hits = F.size(F.filter(words, lambda w: F.contains(transcript_norm, w)))
+        return F.when(F.size(words) > 0, hits / F.size(words)).otherwise(F.lit(0.0))
+
+    return let(F.slice(F.filter(F.split(canon_norm, " "), lambda w: F.length(w) >= 4), 1, 40), share)
 
 
 def agreement_inputs(transcript: Column | str, canon: Column | str) -> tuple[Column, Column]:

@@ -27,14 +27,15 @@ from .standins import RECORDS_SQL, SQL_WS, records, sql_strip
       SELECT doc_id, 'WEBVTT' || chr(10) || 'Kind: captions' || chr(10) || replace(text, '. ', chr(10) || '00:00:01.000 --> 00:00:02.000' || chr(10) || '<c>') AS v FROM documents)),
     s AS (SELECT doc_id, i, {sql_strip('x')} AS x FROM l), f AS (SELECT doc_id, i, {sql_strip("regexp_replace(x, '<[^>]+>', '', 'g')")} AS x FROM s WHERE x <> ''
       AND NOT starts_with(x, 'WEBVTT') AND NOT starts_with(x, 'Kind:') AND NOT starts_with(x, 'Language:') AND NOT regexp_matches(x, '^[0-9]{{2}}:[0-9]{{2}}:[0-9]{{2}}[.][0-9]{{3}}\\s*-->')),
-    d AS (SELECT *, lag(x) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM f WHERE x <> '')
-    SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS clean FROM d WHERE p IS DISTINCT FROM x GROUP BY doc_id""",
+    d AS (SELECT *, lag(x) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM f WHERE x <> ''),
+    g AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS clean FROM d WHERE p IS DISTINCT FROM x GROUP BY doc_id)
+    SELECT doc_id, coalesce(clean, '') AS clean FROM documents LEFT JOIN g USING (doc_id)""",
 )
 def subtitle_clean(spark, sf):
     cues = F.replace("text", F.lit(". "), F.lit("\n00:00:01.000 --> 00:00:02.000\n<c>"))
     d = table(spark, sf, "documents", spread_by="doc_id")
     v = F.concat(F.lit("WEBVTT\nKind: captions\n"), cues)
-    return d.select("doc_id", S.clean_subtitles(v).alias("clean")).filter("clean <> ''")
+    return d.select("doc_id", S.clean_subtitles(v).alias("clean"))
 
 
 @query(

@@ -13,12 +13,19 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2048",
     "spark.sql.execution.arrow.maxBytesPerBatch": str(64 * 1024 * 1024),
+    # The rule adds a size test of every exploded array below the explode. Here those
+    # arrays are built from whole texts in the same stage, so the test would build
+    # each of them a second time, and again for every step it is pushed through.
+    "spark.sql.optimizer.excludedRules": "org.apache.spark.sql.catalyst.optimizer.InferFiltersFromGenerate",
 }
 
 
 def apply_settings(spark: SparkSession) -> SparkSession:
     """Set the runtime options on a session created elsewhere."""
     for key, value in SETTINGS.items():
+        if key.endswith("excludedRules"):
+            present = [r for r in (spark.conf.get(key, "") or "").split(",") if r]
+            value = ",".join(dict.fromkeys([*present, value]))
         spark.conf.set(key, value)
     return spark
 
