@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import constants as K
 from ..functions.chains import chain_block, chain_json
 from ..functions.text import ellipsis, is_blank, or_none, squeeze, strip, text_or_blank
 from .dedup import keep_first
@@ -54,6 +55,12 @@ def to_items(records: DataFrame, book: str) -> DataFrame:
     ).filter((F.col("suttaid") != "") & (F.col("sutta") != ""))
 
 
+def for_book(items: DataFrame, book: str | None) -> DataFrame:
+    """Items of one book; anything but a known book name means all."""
+    b = (book or "").strip().lower()
+    return items.filter(F.col("book") == b) if b in K.BOOKS else items
+
+
 def merge_items(first: DataFrame, second: DataFrame) -> DataFrame:
     """All rows of ``first``; rows of ``second`` with an id not seen before, each id once."""
     once = keep_first(second, ["suttaid"], ["pos"])

@@ -95,6 +95,8 @@ def keyword_rows(chunks: DataFrame, terms: list[str], *, case_sensitive: bool, p
 
 def candidates(chunks: DataFrame, query: str, vector: list[float], k: int, profile: Profile) -> DataFrame:
     """Vector rows and the keyword rows they do not already cover, with their lexical score."""
+    if not 1 <= k <= 20:
+        raise ValueError("k must lie between 1 and 20")
     columns = [c for c in PAYLOAD if c in chunks.columns]
     base = chunks.select(*columns, "embedding")
     if profile.nearest_only:

@@ -11,6 +11,7 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2048",
     "spark.sql.execution.arrow.maxBytesPerBatch": str(64 * 1024 * 1024),
     # The rule adds a size test of every exploded array below the explode. Here those
@@ -44,14 +45,3 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
-
-
-def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
-    """The shared folder for lineage cuts; ``fallback`` applies only where the cluster names none."""
-    current = spark.conf.get("spark.checkpoint.dir", None)
-    if current:
-        return current
-    if fallback is None:
-        raise ValueError("spark.checkpoint.dir is not set and no fallback was given")
-    spark.sparkContext.setCheckpointDir(fallback)
-    return fallback

@@ -28,10 +28,9 @@ def stem(name: Column | str) -> Column:
 
 
 def read_transcripts(spark: SparkSession, path: str, contains: str | None = None) -> DataFrame:
-    """``*.txt`` files, one row each (``file_ord, file_name, text``), in name order.
+    """``*.txt`` files, one row each (``file_ord, file_name, text``), numbered in name order.
 
-    The number of files orders the table; it is far smaller than the text, and the
-    numbering runs over names only.
+    The numbering sorts and counts the names alone, in parallel.
     """
     files = (
         spark.read.option("pathGlobFilter", "*.txt")
@@ -41,8 +40,9 @@ def read_transcripts(spark: SparkSession, path: str, contains: str | None = None
     )
     if contains:
         files = files.filter(F.contains("file_name", F.lit(contains)))
-    names = files.select("file_name").withColumn("file_ord", F.row_number().over(Window.orderBy("file_name")) - 1)
-    return files.join(names, "file_name").select("file_ord", "file_name", "text")
+    names = files.select("file_name").sort("file_name").rdd.zipWithIndex()
+    order = spark.createDataFrame(names.map(lambda r: (r[0].file_name, r[1])), "file_name string, file_ord bigint")
+    return files.join(order, "file_name").select("file_ord", "file_name", "text")
 
 
 def numbered_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:

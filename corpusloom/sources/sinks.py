@@ -34,6 +34,29 @@ def write_shards(chunks: DataFrame, folder: str, embedding_model: str) -> dict:
     return manifest
 
 
+def write_bundle(chunks: DataFrame, folder: str, embedding_model: str) -> dict:
+    """One portable table for all books: chunk lines below ``folder`` and a header naming them; returns the header.
+
+    The rows stay in as many files as there are tasks; no task or value holds them all.
+    """
+    chunks.write.mode("overwrite").json(f"{folder}/chunks")
+    header = {
+        "format": K.MANIFEST_FORMAT,
+        "version": 1,
+        "embedding_model": embedding_model,
+        "shards": [{"book": "all", "uri": "chunks", "chunk_count": chunks.count()}],
+    }
+    _write_text(chunks.sparkSession, f"{folder}/manifest.json", json.dumps(header, ensure_ascii=False))
+    return header
+
+
+def write_conversation_index(index: DataFrame, folder: str, version: int) -> str:
+    """A new version of the conversation index beside the one it was computed from."""
+    path = f"{folder}/v={version}"
+    index.select("id", "title", "updated_ts").write.mode("overwrite").json(path)
+    return path
+
+
 def _write_text(spark, path: str, text: str) -> None:
     """One small file through the Hadoop file system of its path."""
     jvm = spark._jvm

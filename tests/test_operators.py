@@ -145,6 +145,7 @@ def test_items_keep_repeats_of_the_first_book_only(spark):
     merged = [(r.book, r.suttaid, r.pos) for r in records.merge_items(a, b).orderBy("book", "pos").collect()]
     assert merged == [("an1", "AN 1", 0), ("an1", "AN 1", 1), ("an2", "AN 2", 1)]
     assert records.find_item(a, "suttaid", " ").count() == 0
+    assert records.for_book(a.unionByName(b), "AN2 ").count() == 3 and records.for_book(a, "x").count() == 2
 
 
 def chunk_frame(spark, rows):
@@ -179,6 +180,8 @@ def test_bundle_search_pairs_and_kinds(spark):
     got = retrieval.search_bundle(chunk_frame(spark, rows), "alpha beta", [1.0, 0.0], 2).orderBy("rank").collect()
     assert [r.pos for r in got] == [0, 2, 1, 3]
     assert 5 not in [r.pos for r in got]
+    with pytest.raises(ValueError):
+        retrieval.search_bundle(chunk_frame(spark, rows), "alpha", [1.0, 0.0], 21)
     reranked = retrieval.search_transcripts(chunk_frame(spark, rows), "alpha", [1.0, 0.0], 2, models.pair_scorer())
     assert reranked.count() == 2
     passages = retrieval.order_passages(retrieval.bounded(retrieval.search_bundle(chunk_frame(spark, rows), "alpha beta", [1.0, 0.0], 2), 14))

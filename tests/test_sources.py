@@ -121,6 +121,10 @@ def test_shards_round_trip_and_single_book_rebuild(spark, tmp_path):
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, chunk_rows(spark).collect()))
     assert bundles.bundle_metadata(manifest)["manifest_shard_count"] == 2
 
+    whole = str(tmp_path / "whole")
+    assert sinks.write_bundle(chunk_rows(spark), whole, "m1")["shards"][0]["chunk_count"] == 2
+    assert bundles.read_manifest_rows(spark, whole + "/manifest.json").count() == 2
+
     index = str(tmp_path / "index")
     sinks.write_index(chunk_rows(spark), index)
     sinks.write_index(chunk_rows(spark).filter("book = 'an2'").withColumn("text", F.lit("new")), index)
@@ -203,6 +207,9 @@ def test_index_and_turn_logs(spark, tmp_path):
     assert [(r.id, r.title, r.updated_ts) for r in out] == [(cid, "Topic X", 9)]
     listed = C.list_conversations(index).collect()
     assert [(r.title, r.updated_ts) for r in listed] == [("Topic X", 9)]
+    saved = sinks.write_conversation_index(C.compact_index(index, turns), str(tmp_path / "idx"), 2)
+    assert spark.read.json(saved).first().title == "Topic X"
     assert C.conversation_messages(turns, cid.upper()).count() == 1
+    assert C.new_conversation(spark, " ").first().title == "New chat"
     with pytest.raises(ValueError):
         C.conversation_messages(turns, "../etc")
