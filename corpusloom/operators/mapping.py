@@ -9,7 +9,7 @@ from ..functions import constants as K
 from ..functions import native
 from ..functions.ids import ID3, book_from_canon_id
 from ..functions.scalars import unit_suffix
-from ..functions.scoring import clean_match_type, evidence_generic, mapping_status
+from ..functions.scoring import clean_match_type, mapping_status
 from ..functions.text import (
     let,
     normalize_for_markers,

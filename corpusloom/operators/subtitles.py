@@ -10,7 +10,7 @@ from ..functions.ids import book_from_filename
 from ..functions.scalars import numbered_name
 from ..functions.text import let, strip, text_or_blank
 
-LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
+LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 BOOK_RANGE = (1, 11)
 
 

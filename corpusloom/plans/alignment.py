@@ -16,7 +16,7 @@ from ..functions.scoring import (
     quality_class,
     quality_reason,
 )
-from ..functions.text import canon_opening, mask_triple_ids, normalize_for_similarity, squeeze, transcript_opening
+from ..functions.text import canon_opening, mask_triple_ids, normalize_for_similarity, transcript_opening
 from ..operators import alignment as A
 from ..operators import mapping as M
 from ..operators import segments as S

@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.chains import chain_caption, chain_display
-from ..functions.scalars import json_list, numbered_name, reply_and_suggestions, suggestion_list
-from ..functions.text import drop_code_fence, one_line, safe_name, sanitize_answer, truncate
+from ..functions.scalars import reply_and_suggestions
+from ..functions.text import drop_code_fence, safe_name, sanitize_answer, truncate
 from ..operators import answers as A
 from ..operators import citations as Ci
 from ..operators import models as Mo
-from ..operators import records as R
 from ..operators import retrieval as V
 from ..operators import subtitles as S
 from ..operators import topic as T

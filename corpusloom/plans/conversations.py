@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions.scalars import canonical_uuid, role_from_sender, show_millis, valid_turn, weak_reply
 from ..functions.scoring import is_small_talk
-from ..functions.text import escape_html, question_title, squeeze, strip
+from ..functions.text import escape_html, question_title
 from ..operators import conversations as C
 from ..operators.ordered import drop_consecutive
 from .registry import query, table
@@ -100,6 +100,7 @@ def conversation_role_map(spark, sf):
     WHERE NOT (pr IS NOT DISTINCT FROM role AND pt IS NOT DISTINCT FROM text) GROUP BY ALL""",
 )
 def conversation_drop_repeats_nested(spark, sf):
+    """Turns shortened to two letters, so that neighbours repeat, inside message arrays."""
     short = table(spark, sf, "conversations").withColumn("text", F.substring("text", 1, 2))
     n = C.nest_turns(short).withColumn("messages", C.drop_repeats(F.col("messages")))
     body = F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(":"), m["content"])), "|")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.text import strip
 from ..operators import chunking as C
 from ..operators import records as R
 from .registry import query, table

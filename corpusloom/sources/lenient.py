@@ -26,7 +26,7 @@ def _valid(c: Column) -> Column:
 
 def repair_json(c: Column) -> Column:
     """The text itself when it is JSON, else with control characters, missing and trailing commas mended; NULL if still broken."""
-    t = F.regexp_replace(F.ltrim(text_or_blank(c), F.lit("﻿")), r"[\x00-\x08\x0b\x0c\x0e-\x1f]", "")
+    t = F.regexp_replace(F.ltrim(text_or_blank(c), F.lit("\ufeff")), r"[\x00-\x08\x0b\x0c\x0e-\x1f]", "")
     for before, after in COMMA_AFTER:
         value = rf'("{before}"\s*:\s*"(?:[^"\\]++|\\\\.)*+")'
         t = F.regexp_replace(t, value + rf'(\s*\n\s*"{after}"\s*:)', "$1,$2")
