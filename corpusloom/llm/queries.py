@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitpack, packing, positional
+from . import bitpack, packing, pii, positional, toxicity
+from .common import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -51,3 +52,31 @@ def decontamination(spark, sf_dir):
 def packed_windows(spark, sf_dir):
     """Sequences of at most 2048 tokens by multiway differencing."""
     return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query("op4_personal_data")
+def personal_data(spark, sf_dir):
+    """Fixed patterns of personal data, and spans that a conditional random field adds."""
+    found = pii.find_spans(table(spark, sf_dir, "documents"))
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start.cast("string"), s.end.cast("string"))), ",")
+
+    def count(kind):
+        return F.size(F.filter("base", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(kind) for kind in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(joined("base").cast("binary"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
+@query("op6_toxicity")
+def toxic_documents(spark, sf_dir):
+    """Toxicity of every document by marginals of a conditional random field."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.scores(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return scored.select(
+        "doc_id",
+        (F.pmod(fold(), F.lit(5)) == 0).alias("held_out"),
+        F.col("toxic_score").alias("score"),
+        (F.col("toxic_score") >= 0.5).cast("int").alias("predicted"),
+    )
