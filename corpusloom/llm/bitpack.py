@@ -73,11 +73,11 @@ class Writer:
         self.ids = 0
         stream.write(MAGIC)
 
-    def add(self, doc_ids: list[int | None], documents: list[np.ndarray]) -> None:
+    def add(self, doc_ids: list[int | None], ids: np.ndarray, lengths: np.ndarray) -> None:
         self.docs.append(np.array([-(1 << 63) if d is None else d for d in doc_ids], "<i8"))
-        self.lengths += [len(d) for d in documents]
-        flat = np.concatenate([self.rest, *documents])
-        self.ids += len(flat) - len(self.rest)
+        self.lengths += lengths.tolist()
+        flat = np.concatenate([self.rest, ids])
+        self.ids += len(ids)
         full = len(flat) // BLOCK * BLOCK
         self._put(flat[:full])
         self.rest = flat[full:]
@@ -162,9 +162,8 @@ def write_tokens(docs: DataFrame, folder: str | None = None, tokenizer: str | No
                     encoder = Encoder(tokenizer)
                     writer = Writer(files.open_output_stream(place), bits_for(max(encoder.vocabulary, end_id + 1)))
                 part = batch.slice(at, 512)
-                end = np.array([end_id], np.uint32).tobytes()
-                ids = [np.frombuffer(x + end, np.uint32) for x in encoder.encode(part.column(1).to_pylist())]
-                writer.add(part.column(0).to_pylist(), ids)
+                ids, borders = encoder.encode_column(part.column(1))
+                writer.add(part.column(0).to_pylist(), np.insert(ids, borders[1:], end_id), np.diff(borders) + 1)
         if writer is not None:
             writer.close()
             yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "path": [path], "n_docs": pa.array([len(writer.lengths)], pa.int64()), "n_ids": pa.array([writer.ids], pa.int64())})

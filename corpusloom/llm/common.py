@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 OWN_FOLDER = "file:///tmp/checkpoints"
 
 #: Text bytes handled at once inside a task.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 #: Word borders: any byte of these ends a word; bytes of 0x80 and above always belong to one.
 SPACE_BYTES = bytes([0x20, *range(0x09, 0x0E)])
@@ -115,14 +115,14 @@ class Words:
     """The words of several documents, found in their bytes.
 
     ``start`` and ``end`` are byte places in ``data``, ``doc`` the document's number, ``hash`` a 64-bit value of the
-    lower-cased word (A-Z only), ``first`` the number of the first word of each document (n + 1 entries).
+    word (lower-cased, A-Z only, if ``lower``), ``first`` the number of the first word of each document (n + 1 entries).
     """
 
-    def __init__(self, data: np.ndarray, borders: np.ndarray, outside: bytes):
+    def __init__(self, data: np.ndarray, borders: np.ndarray, outside: bytes, lower: bool = True):
         n = len(data)
         inside = np.ones(256, bool)
         inside[np.frombuffer(outside, np.uint8)] = False
-        self.data = lower_table()[data]
+        self.data = lower_table()[data] if lower else data
         is_word = np.zeros(n + 2, bool)
         is_word[1:-1] = inside[self.data]
         start = is_word[1:-1] & ~is_word[:-2]
@@ -135,10 +135,15 @@ class Words:
         self.end = np.flatnonzero(end) + 1
         self.first = np.searchsorted(self.start, borders)
         self.doc = np.repeat(np.arange(len(borders) - 1), np.diff(self.first))
-        up, down = powers(n + 1)
-        sums = np.zeros(n + 1, np.uint64)
+        up, _ = powers(n + 1)
+        self.sums = sums = np.zeros(n + 1, np.uint64)
         np.cumsum(byte_codes()[self.data] * up[:n], out=sums[1:])
-        self.hash = mix((sums[self.end] - sums[self.start]) * down[self.start] + (self.end - self.start).astype(np.uint64))
+        self.hash = self.part_hash(self.start, self.end)
+
+    def part_hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The hash that the bytes from ``start`` to ``end`` have as a word."""
+        down = powers(len(self.sums))[1]
+        return mix((self.sums[end] - self.sums[start]) * down[start] + (end - start).astype(np.uint64))
 
 
 def word_hash(words: list[bytes]) -> np.ndarray:

@@ -135,7 +135,6 @@ def pack(docs: DataFrame, capacity: int = 2048, end_id: int = 1, tokenizer: str
         encoder, packer = Encoder(tokenizer), Packer(capacity, piece)
         base = TaskContext.get().partitionId() << 32
         names, ids = {}, {}
-        end = np.array([end_id], np.uint32).tobytes()
         number = 0
 
         def rows(done):
@@ -163,9 +162,12 @@ def pack(docs: DataFrame, capacity: int = 2048, end_id: int = 1, tokenizer: str
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 done = []
-                for name, got in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist())):
-                    ids[number], names[number] = got + end, name
-                    done += packer.add(number, len(got) // 4 + 1)
+                got, borders = encoder.encode_column(part.column(1))
+                flat = np.insert(got, borders[1:], end_id)
+                borders = borders + np.arange(len(borders))
+                for name, a, b in zip(part.column(0).to_pylist(), borders[:-1].tolist(), borders[1:].tolist()):
+                    ids[number], names[number] = flat[a:b].tobytes(), name
+                    done += packer.add(number, b - a)
                     number += 1
                 yield from rows(done)
         yield from rows(packer.finish())
