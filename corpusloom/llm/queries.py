@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitpack, packing, pii, positional, toxicity
+from . import bitpack, packing, pii, positional, sketchjoin, toxicity
 from .common import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,3 +80,9 @@ def toxic_documents(spark, sf_dir):
         F.col("toxic_score").alias("score"),
         (F.col("toxic_score") >= 0.5).cast("int").alias("predicted"),
     )
+
+
+@query("op9_near_duplicates")
+def near_duplicates(spark, sf_dir):
+    """Classes of documents under five-word-shingle Jaccard of 0.75 or more, through parity sketches."""
+    return sketchjoin.near_duplicates(table(spark, sf_dir, "documents"))
