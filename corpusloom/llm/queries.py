@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitpack, packing, pii, positional, sketchjoin, toxicity
+from . import bitpack, packing, pii, positional, sketchjoin, spotsigs, toxicity
 from .common import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +86,9 @@ def toxic_documents(spark, sf_dir):
 def near_duplicates(spark, sf_dir):
     """Classes of documents under five-word-shingle Jaccard of 0.75 or more, through parity sketches."""
     return sketchjoin.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op1_spot_signatures")
+def spot_signatures(spark, sf_dir):
+    """SpotSigs fingerprints of texts and edited texts, and their likeness."""
+    return spotsigs.edited_fingerprints(table(spark, sf_dir, "documents"))
