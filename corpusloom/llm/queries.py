@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitpack, packing, pii, positional, sketchjoin, spotsigs, toxicity
+from . import bitpack, packing, pii, positional, pst, sketchjoin, spotsigs, toxicity
 from .common import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,3 +92,9 @@ def near_duplicates(spark, sf_dir):
 def spot_signatures(spark, sf_dir):
     """SpotSigs fingerprints of texts and edited texts, and their likeness."""
     return spotsigs.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query("op7_suffix_tree_scores")
+def suffix_tree_scores(spark, sf_dir):
+    """log10 probabilities of every text by a probabilistic suffix tree, and by single words."""
+    return pst.scores(table(spark, sf_dir, "documents"))
