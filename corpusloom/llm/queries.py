@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitpack, packing, pii, positional, pst, sketchjoin, spotsigs, toxicity
+from . import bitpack, packing, pii, positional, pst, repeats, sketchjoin, spotsigs, toxicity
 from .common import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +98,9 @@ def spot_signatures(spark, sf_dir):
 def suffix_tree_scores(spark, sf_dir):
     """log10 probabilities of every text by a probabilistic suffix tree, and by single words."""
     return pst.scores(table(spark, sf_dir, "documents"))
+
+
+@query("op5_repeated_strings")
+def repeated_strings(spark, sf_dir):
+    """Bytes in 200-byte strings that start elsewhere too, by induced suffix sorting of the runs that share an anchor."""
+    return repeats.repeated_spans(table(spark, sf_dir, "documents"))
