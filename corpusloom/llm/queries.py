@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitpack, packing, pii, positional, pst, repeats, sketchjoin, spotsigs, toxicity
+from . import bitpack, packing, pii, positional, pst, repeats, sketchjoin, spotsigs, toolcalls, toxicity
 from .common import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,3 +104,59 @@ def suffix_tree_scores(spark, sf_dir):
 def repeated_strings(spark, sf_dir):
     """Bytes in 200-byte strings that start elsewhere too, by induced suffix sorting of the runs that share an anchor."""
     return repeats.repeated_spans(table(spark, sf_dir, "documents"))
+
+
+#: Stand-in tools for the calls made of conversations.
+TOOLS = [
+    ("search", "query", "string", True, 1.0, 400.0),
+    ("search", "limit", "integer", True, 1.0, 50.0),
+    ("note", "text", "string", True, None, None),
+    ("note", "pinned", "boolean", False, None, None),
+]
+
+OP8_SQL = """
+WITH RECURSIVE calls AS (
+  SELECT conv_id, turn, conv_id || ':' || turn AS call_id, text,
+         CASE WHEN length(text) % 3 = 0 THEN 'search' WHEN length(text) % 3 = 1 THEN 'note' ELSE 'drop' END AS name,
+         CASE WHEN turn > 0 THEN conv_id || ':' || (turn // 2) END AS before
+  FROM conversations WHERE role = 'user'),
+known AS (SELECT c.*, b.call_id AS dep FROM calls c LEFT JOIN calls b ON b.call_id = c.before),
+lv AS (
+  SELECT call_id, 0 AS level FROM known WHERE dep IS NULL
+  UNION ALL
+  SELECT k.call_id, lv.level + 1 FROM known k JOIN lv ON k.dep = lv.call_id),
+results AS (SELECT conv_id || ':' || (turn - 1) AS call_id, text AS content FROM conversations WHERE role = 'assistant')
+SELECT k.conv_id, k.call_id, k.turn, lv.level,
+       row_number() OVER (PARTITION BY k.conv_id ORDER BY lv.level, k.turn) - 1 AS place, k.name,
+       CASE k.name
+         WHEN 'search' THEN concat_ws(', ',
+              CASE WHEN k.turn % 60 < 1 OR k.turn % 60 > 50 THEN 'range of limit' END,
+              CASE WHEN length(k.text) < 1 OR length(k.text) > 400 THEN 'range of query' END)
+         WHEN 'note' THEN CASE WHEN k.turn % 5 = 0 THEN 'kind of pinned, missing text' ELSE '' END
+         ELSE 'no such tool' END AS errors,
+       r.call_id IS NOT NULL AS linked,
+       '{"arguments":' || CASE k.name
+         WHEN 'search' THEN '{"limit":' || (k.turn % 60) || ',"query":' || to_json(k.text) || '}'
+         WHEN 'note' THEN CASE WHEN k.turn % 5 = 0 THEN '{"pinned":"yes"}' ELSE '{"pinned":false,"text":' || to_json(k.text) || '}' END
+         ELSE '{}' END
+       || ',"call_id":' || to_json(k.call_id) || ',"depends":[' || coalesce(to_json(k.dep)::VARCHAR, '') || '],"name":' || to_json(k.name)
+       || CASE WHEN r.call_id IS NOT NULL THEN ',"result":' || to_json(r.content) ELSE '' END || '}' AS line
+FROM known k JOIN lv USING (call_id) LEFT JOIN results r ON r.call_id = k.call_id
+"""
+
+
+@query("op8_tool_calls", OP8_SQL)
+def tool_calls(spark, sf_dir):
+    """User turns as tool calls (a call depends on that of half its turn), assistant turns as results of the turn before."""
+    turns = table(spark, sf_dir, "conversations")
+    at = lambda turn: F.concat(F.col("conv_id").cast("string"), F.lit(":"), turn.cast("string"))
+    turn, size = F.col("turn"), F.length("text") % 3
+    name = F.when(size == 0, "search").when(size == 1, "note").otherwise("drop")
+    note = F.when(turn % 5 == 0, F.lit('{"pinned": "yes"}')).otherwise(F.to_json(F.struct("text", F.lit(False).alias("pinned"))))
+    arguments = F.when(size == 0, F.to_json(F.struct(F.col("text").alias("query"), (turn % 60).alias("limit")))).when(size == 1, note).otherwise("{ }")
+    half = F.when(turn > 0, F.array(at(F.floor(turn / 2)))).otherwise(F.array().cast("array<string>"))
+    calls = turns.where("role = 'user'").select("conv_id", "turn", at(turn).alias("call_id"), name.alias("name"), arguments.alias("arguments"), half.alias("depends"))
+    results = turns.where("role = 'assistant'").select(at(turn - 1).alias("call_id"), F.col("text").alias("content"))
+    schemas = spark.createDataFrame(TOOLS, "name string, field string, kind string, required boolean, low double, high double")
+    linked = toolcalls.link(calls, results, schemas)
+    return linked.withColumn("errors", F.array_join("errors", ", "))
