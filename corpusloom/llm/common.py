@@ -171,3 +171,14 @@ def runs(doc: np.ndarray, values: np.ndarray, width: int, first: np.ndarray) ->
     low = first[:-1][short]
     whole = mix((sums[low + counts[short]] - sums[low]) * down[low] + counts[short].astype(np.uint64) * np.uint64(BASE))
     return np.concatenate([full, whole]), np.concatenate([doc[starts], short])
+
+
+#: Ids that are sent to every task at most (8 bytes each); with more, rows are shuffled to them.
+IDS_SENT = 1_000_000
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` but for those whose doc_id is in ``gone`` (null ids stay). Texts are only shuffled if ``gone`` is long."""
+    gone = stored(gone.where("doc_id IS NOT NULL").select("doc_id").distinct(), "gone")
+    few = gone.limit(IDS_SENT + 1).count() <= IDS_SENT
+    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)
