@@ -86,10 +86,11 @@ def edited_fingerprints(docs: DataFrame, anchors: list[str] | None = None) -> Da
     narrow = keyed.select("key", "doc_id", F.char_length("text").alias("n")).distinct()
     after = successors(narrow)
     wide = keyed.select("key", "doc_id", "text", signatures(F.col("text"), anchors).alias("signs"))
-    nth = Window.partitionBy("key").orderBy("key")
-    wide = wide.withColumn("nth", F.row_number().over(nth))
+    # not a rank, for which Spark would limit the rows before the shuffle of one branch and so shuffle the texts twice
+    repeat = F.lag(F.lit(True)).over(Window.partitionBy("key").orderBy("key"))
+    wide = wide.withColumn("repeat", F.coalesce(repeat, F.lit(False)))
     asked = after.select(F.col("next_key").alias("key"), F.col("key").alias("asker"), "need")
-    given = wide.where("nth = 1").join(asked, "key").select(
+    given = wide.where("NOT repeat").join(asked, "key").select(
         F.col("asker").alias("key"), F.col("doc_id").alias("next_doc_id"), F.expr("substring(text, 1, need)").alias("prefix"), F.col("signs").alias("next_signs")
     )
     both = wide.join(given, "key").withColumn("n_chars", F.char_length("text"))
