@@ -33,9 +33,13 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """Size in bytes that Spark estimates for ``df`` (of files, their length)."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def plan_bytes(docs: DataFrame) -> int:
+    """Size of ``docs`` in bytes: of its files where it is read from such, else of its texts, counted."""
+    plan = docs._jdf.queryExecution().optimizedPlan()
+    size = int(str(plan.stats().sizeInBytes()))
+    if size < 1 << 50 and not any(word in plan.toString() for word in ("Join", "Generate", "Aggregate", "Union")):
+        return size
+    return docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
 
 
 def groups_for(df: DataFrame, bytes_each: int) -> int:
