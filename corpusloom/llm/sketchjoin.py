@@ -7,10 +7,11 @@ threshold gives the number of parts, a little over d. Two similar sets then agre
 either (pigeonhole over the sketch, rarest first), so parts that no other set has are never joined. Candidates are
 verified on the whole sets.
 
-Sets are joined, not documents: equal sets are one class from the start, however many documents it has. Within a group
-of sets that share a part, one pivot is compared with the others and components are formed; only groups that still
-hold several components go on to further pivots, until none does. So no group emits all its pairs, and no link
-between different components is lost.
+Sets are joined, not documents: equal sets are one class from the start, however many documents it has. Of a group of
+sets that share a part, one pivot, whose parts are shared most, is compared with the others, and components are formed.
+In groups that still hold several components, sets of different ones are tested by wider sketches, two blocks of a
+group in a task, and only those whose sketches are near enough come out and are verified. So no group emits all its
+pairs, and no link between different components is lost.
 """
 
 from __future__ import annotations
@@ -28,10 +29,12 @@ from .common import BASE, CHUNK_BYTES, SPACE_BYTES, Words, column_bytes, groups_
 WIDTH, NUM, DEN = 5, 3, 4
 #: Parts per possible difference; more for small sets, whose parts are often empty.
 SPARE, SMALL, SPARE_SMALL = 1.25, 64, 4
+#: Bits of the sketch that candidate pairs are tested by before their sets are met.
+SKETCH = 512
 #: Wanted sets whose keys are sent to every task (8 bytes each); with more, all sets are shuffled and semi-joined.
 KEYS_SENT = 1_000_000
-#: Pivots of a group in the second round and after.
-PIVOTS = 32
+#: Sets of one block of a group in the second round.
+GROUP = 1024
 
 
 def most_apart(a, b):
@@ -111,7 +114,7 @@ def _texts(docs: DataFrame, *more: str) -> DataFrame:
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """doc_id, n (shingles), h (hash of the set), and per kind of instance the parts that hold shingles (0: no member)."""
+    """doc_id, n (shingles), h (hash of the set), bits (its parity sketch), and per kind of instance its filled parts."""
 
     def look(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -119,13 +122,16 @@ def described(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for a, b, s in _chunks(batch, 1):
                 held = [np.bincount(doc, minlength=b - a) for _, doc, _ in parities(s, np.ones(b - a, bool))]
+                odd = np.bincount(s.doc * SKETCH + (mix(s.value + np.uint64(3)) >> np.uint64(32)).astype(np.int64) % SKETCH, minlength=(b - a) * SKETCH) & 1
+                words = np.packbits(odd.astype(np.uint8).reshape(-1, 64), axis=1).view(np.int64).ravel()
+                bits = pa.FixedSizeListArray.from_arrays(pa.array(words), SKETCH // 64).cast(pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(s.n.astype(np.int64)), pa.array(s.whole.view(np.int64)), *(pa.array(e.astype(np.int32)) for e in held)],
-                    ["doc_id", "n", "h", "e0", "e1", "e2"],
+                    [batch.column(0).slice(a, b - a), pa.array(s.n.astype(np.int64)), pa.array(s.whole.view(np.int64)), bits, *(pa.array(e.astype(np.int32)) for e in held)],
+                    ["doc_id", "n", "h", "bits", "e0", "e1", "e2"],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return _texts(docs, "doc_id").mapInArrow(look, f"doc_id {kind}, n long, h long, e0 int, e1 int, e2 int")
+    return _texts(docs, "doc_id").mapInArrow(look, f"doc_id {kind}, n long, h long, bits array<long>, e0 int, e1 int, e2 int")
 
 
 #: A part's key within its shard: 38 bits of hash and 2 of the kind of instance, then 40 bits of the set's hash.
@@ -172,7 +178,7 @@ def part_entries(docs: DataFrame, shards: int) -> DataFrame:
                 if count >= 1_000_000:
                     yield flush()
                     held, count = [], 0
-        if held:
+        if any(len(keys) for keys, _, _ in held):
             yield flush()
 
     return _texts(docs).mapInArrow(emit, "shard int, blob binary")
@@ -294,11 +300,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     is a class of its own. Rows that repeat count as documents of the same class; an empty table gives no rows.
     """
     table = stored(described(docs), "sets")
-    classes = stored(table.where("n > 0").groupBy("h").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), *(F.first(e).alias(e) for e in ("e0", "e1", "e2"))), "classes")
+    classes = stored(table.where("n > 0").groupBy("h").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), *(F.first(e).alias(e) for e in ("bits", "e0", "e1", "e2"))), "classes")
     entries = part_entries(docs, groups_for(docs, 16 << 20))
     shared = stored(shared_parts(entries), "shared")
     rows = stored(_rarest(shared, classes), "rarest")
-    roots = _roots(docs, rows)
+    roots = _roots(docs, rows, classes)
     known = table.where("n > 0").select("doc_id", "n", "h")
     named = classes.select("h", "least") if roots is None else classes.join(roots, "h", "left").select("h", "least", F.coalesce("root", "h").alias("root"))
     if roots is not None:
@@ -312,7 +318,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def _rarest(shared: DataFrame, classes: DataFrame) -> DataFrame:
-    """(k, h, n): of each set and instance the shared parts among its d + 1 rarest (those shared with none come first)."""
+    """(k, h, n, heft): of each set and instance the shared parts among its d + 1 rarest (those shared with none come first).
+
+    ``heft`` is how often the set's parts are shared in all: the middle of a group of near copies has the most.
+    """
 
     size = F.col("n")
     top = lambda r: 3 * F.pow(F.lit(2.0), r)
@@ -324,47 +333,95 @@ def _rarest(shared: DataFrame, classes: DataFrame) -> DataFrame:
     reach = F.least(limit, floor((size + floor(size * 4 / 3)) / 7))
     filled = F.when(F.col("tag") == 0, F.col("e0")).when(number == band, F.col("e2")).otherwise(F.col("e1"))
     by_set = Window.partitionBy("s", "tag")
-    sums = shared.groupBy("s", "tag").agg(F.count("*").alias("many"))
+    sums = shared.groupBy("s", "tag").agg(F.count("*").alias("many"), F.sum("c").alias("heft"))
     keyed = classes.select("h", "n", "e0", "e1", "e2", F.shiftrightunsigned("h", 24).alias("s"))
     # a set with more unshared parts than it can have differences needs none of its shared ones
     few = sums.join(keyed, "s").withColumn("keep", (reach + 1 - F.greatest(F.lit(0), filled - F.col("many"))).cast("int")).where("keep > 0")
-    few = few.select("s", "tag", "h", "n", "keep")
+    few = few.select("s", "tag", "h", "n", "heft", "keep")
     ranked = shared.join(few.select("s", "tag").distinct(), ["s", "tag"], "left_semi").withColumn("rank", F.row_number().over(by_set.orderBy("c", "k")))
-    return ranked.join(few, ["s", "tag"]).where("rank <= keep").select("k", "h", "n")
+    return ranked.join(few, ["s", "tag"]).where("rank <= keep").select("k", "h", "n", "heft")
+
+
+def _roots(docs: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame | None:
+    """(h, root) of the linked sets; None if there are no candidates. See the module's head for the two rounds."""
+    sizes = rows.groupBy("k").agg(F.count("*").alias("c")).where("c > 1")
+    now = stored(rows.join(sizes.select("k"), "k", "left_semi"), "groups")
+    sets = stored(set_values(docs, now.select("h").distinct()), "values")
+    bits = classes.select("h", "bits")
+    one = now.groupBy("k").agg(F.max(F.struct("heft", "h", "n")).alias("p"))
+    pivots = one.select("k", F.col("p.h").alias("ph"), F.col("p.n").alias("pn"))
+    fits = (F.col("n") * DEN >= F.col("pn") * NUM) & (F.col("pn") * DEN >= F.col("n") * NUM)
+    pairs = now.join(pivots, "k").where((F.col("h") != F.col("ph")) & fits).select(F.greatest("h", "ph").alias("a"), F.least("h", "ph").alias("b"), (F.col("n") + F.col("pn")).alias("sum")).distinct()
+    tried = stored(pairs, "pairs")
+    links = stored(verified(_near(tried, bits), sets), "found")
+    roots = components(links)
+    named = now.join(roots, "h", "left").withColumn("root", F.coalesce("root", "h"))
+    mixed = named.groupBy("k").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("c")).where("x <> y").select("k", "c")
+    open_ = named.join(mixed, "k").join(bits, "h").select("k", "h", "n", "root", "bits", F.ceil(F.col("c") / GROUP).cast("int").alias("blocks"))
+    near = _near_in_groups(open_).distinct().join(tried, ["a", "b"], "left_anti")
+    more = stored(verified(stored(near, "pairs"), sets), "found")
+    return components(links.unionByName(more)) if more.limit(1).count() else roots
+
+
+def _near_in_groups(rows: DataFrame) -> DataFrame:
+    """(a, b): pairs of a group's sets whose sketches are as near as similar sets' must be, and whose roots differ.
+
+    A group of many blocks is spread over tasks by pairs of blocks; a task holds two blocks. Only near pairs come out.
+    """
 
+    def test(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
-def _roots(docs: DataFrame, rows: DataFrame) -> DataFrame | None:
-    """(h, root) of the linked sets; None if there are none. See the module's head for the rounds."""
-    sizes = rows.groupBy("k").agg(F.count("*").alias("c"), F.min("h").alias("pivot")).where("c > 1")
-    rows = stored(rows.join(sizes.select("k"), "k", "left_semi"), "groups")
-    wanted = rows.select("h").distinct()
-    sets = stored(set_values(docs, wanted), "values")
-    tried, links, roots, first = None, None, None, True
-    while True:
-        if first:
-            one = rows.groupBy("k").agg(F.min(F.struct("h", "n")).alias("p")).select("k", F.col("p.h").alias("ph"), F.col("p.n").alias("pn"))
-            now = rows.withColumn("root", F.col("h"))
-            pivots = one.withColumn("proot", F.col("ph"))
-        else:
-            now = rows.join(roots, "h", "left").withColumn("root", F.coalesce("root", "h"))
-            mixed = now.groupBy("k").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("k")
-            now = stored(now.join(mixed, "k", "left_semi"), "mixed")
-            if not now.limit(1).count():
-                break
-            ranked = now.withColumn("rank", F.row_number().over(Window.partitionBy("k").orderBy("h"))).where(F.col("rank") <= PIVOTS)
-            pivots = ranked.select("k", F.col("h").alias("ph"), F.col("n").alias("pn"), F.col("root").alias("proot"))
-        fits = (F.col("n") * DEN >= F.col("pn") * NUM) & (F.col("pn") * DEN >= F.col("n") * NUM)
-        pairs = now.join(pivots, "k").where((F.col("root") != F.col("proot")) & fits).select(F.greatest("h", "ph").alias("a"), F.least("h", "ph").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        found = stored(verified(pairs, sets), "found")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        links = found if links is None else links.unionByName(found)
-        if found.limit(1).count():
-            roots = components(links)
-        elif roots is None:
-            roots = links.select(F.col("a").alias("h"), F.col("b").alias("root"))
-        rows = stored(now.join(pivots.select("k", F.col("ph").alias("h")), ["k", "h"], "left_anti").select("k", "h", "n"), "rest") if not first else rows
-        first = False
-    return roots
+        def table(batch):
+            bits = batch.column(7)
+            words = np.asarray(bits.flatten()).view(np.uint64).reshape(-1, SKETCH // 64)
+            return [np.asarray(batch.column(i)) for i in range(7)] + [words]
+
+        def pairs(g) -> tuple[np.ndarray, np.ndarray]:
+            h, n, root, own, low, high, bits = g[3], g[4], g[5], g[6], g[1][0], g[2][0], g[7]
+            left, right = np.flatnonzero(own == low), np.flatnonzero(own == high)
+            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for at in range(0, len(left), 64):
+                x = left[at : at + 64]
+                ok = root[x][:, None] != root[right][None]
+                if low == high:
+                    ok &= x[:, None] < right[None]
+                i, j = np.nonzero(ok)
+                i, j = x[i], right[j]
+                small, great = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+                fit = small * DEN >= great * NUM
+                i, j = i[fit], j[fit]
+                apart = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1)
+                near = apart <= most_apart(n[i], n[j])
+                a.append(np.maximum(h[i[near]], h[j[near]]))
+                b.append(np.minimum(h[i[near]], h[j[near]]))
+            return np.concatenate(a), np.concatenate(b)
+
+        held = None
+        for batch in batches:
+            new = table(batch)
+            held = new if held is None else [np.concatenate(x) for x in zip(held, new)]
+            key = np.stack(held[:3])
+            cuts = np.append(0, np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1)
+            out = [pairs([c[a:b] for c in held]) for a, b in zip(cuts[:-1], cuts[1:])]
+            held = [c[cuts[-1] :] for c in held]
+            if out:
+                a, b = (np.concatenate(x) for x in zip(*out))
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+        if held is not None and len(held[0]):
+            a, b = pairs(held)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    own = F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = rows.withColumn("own", own).withColumn("other", other)
+    dealt = dealt.select("k", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "h", "n", "root", "own", "bits")
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(parts, "k", "low", "high").sortWithinPartitions("k", "low", "high").mapInArrow(test, "a long, b long")
+
+
+def _near(pairs: DataFrame, bits: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (a, b, sum of sizes) whose sketches differ in no more bits than similar sets may in shingles."""
+    left, right = (bits.select(F.col("h").alias(x), F.col("bits").alias(f"bits_{x}")) for x in "ab")
+    apart = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("long")), F.lit(0).cast("long"), lambda n, x: n + x)
+    return pairs.join(left, "a").join(right, "b").where(apart <= F.floor(F.col("sum") * (DEN - NUM) / (DEN + NUM) + 1e-9)).select("a", "b")
