@@ -18,19 +18,18 @@ MESSAGES = "array<struct<role:string,content:string>>"
 
 
 def nest_turns(turns: DataFrame, group: str = "conv_id", order: str = "turn") -> DataFrame:
-    """Flat turns as message arrays: one row per conversation and part.
+    """Flat turns as message arrays, one row per conversation.
 
-    A part holds a fixed number of consecutive turns, so a conversation of any length
-    stays spread over tasks; one of up to that many turns is a single row, part 0.
+    Blocks of turns are sorted first, each in its own task, so that a long conversation
+    meets as few sorted blocks, not as single turns. A conversation is one record, as in
+    the files it comes from.
     """
-    part = F.floor(F.col(order) / BLOCK).cast("int")
     packed = F.collect_list(F.struct(order, "role", F.col("text").alias("content")))
-    nested = turns.groupBy(group, part.alias("part")).agg(F.array_sort(packed).alias("_m"))
-    return nested.select(
-        group,
-        "part",
-        F.transform("_m", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))).alias("messages"),
-    )
+    block = F.floor(F.col(order) / BLOCK).alias("_block")
+    blocks = turns.groupBy(group, block).agg(F.array_sort(packed).alias("_m"))
+    whole = blocks.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("_block", "_m"))).alias("_all"))
+    plain = F.transform(F.flatten("_all._m"), lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))
+    return whole.select(group, plain.alias("messages"))
 
 
 def drop_repeats(messages: Column) -> Column:
@@ -164,6 +163,11 @@ def recent_messages(turns: DataFrame, group: str = "conv_id", order: str = "turn
 # --- history index --------------------------------------------------------------
 
 
+def _line_no(turns: DataFrame) -> list[str]:
+    """The log's line number, which orders turns of one time, where it is known."""
+    return ["line_no"] if "line_no" in turns.columns else []
+
+
 def accepted_turns(turns: DataFrame) -> DataFrame:
     """Turns fit to be stored, trimmed, under the canonical conversation id."""
     return turns.filter(valid_turn("q", "a")).select(
@@ -172,6 +176,7 @@ def accepted_turns(turns: DataFrame) -> DataFrame:
         strip("q").alias("q"),
         strip("a").alias("a"),
         F.greatest(F.lit(0).cast("bigint"), F.coalesce("latency_ms", F.lit(0).cast("bigint"))).alias("latency_ms"),
+        *_line_no(turns),
     ).filter(F.col("conversation_id").isNotNull())
 
 
@@ -181,7 +186,7 @@ def upsert_index(index: DataFrame, turns: DataFrame) -> DataFrame:
     Both sides are reduced per id before they meet, so a busy conversation adds one row.
     """
     fresh = turns.groupBy(F.lower("conversation_id").alias("id")).agg(
-        F.max("ts").alias("_ts"), F.min_by("q", "ts").alias("_q")
+        F.max("ts").alias("_ts"), F.min_by("q", F.struct("ts", *_line_no(turns))).alias("_q")
     )
     known = index.withColumn("id", F.lower("id"))
     title = strip("title")
@@ -268,4 +273,4 @@ def conversation_messages(turns: DataFrame, conversation_id: str) -> DataFrame:
     import uuid
 
     wanted = str(uuid.UUID(conversation_id))
-    return turns.filter(F.lower("conversation_id") == wanted).orderBy("ts")
+    return turns.filter(F.lower("conversation_id") == wanted).orderBy("ts", *_line_no(turns))

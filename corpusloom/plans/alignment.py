@@ -587,7 +587,7 @@ def canon_snapshot_text(spark, sf):
     """Turns as keyed pieces of a translation, assembled in the reverse of their numbers."""
     from ..operators.conversations import nest_turns
 
-    n = nest_turns(table(spark, sf, "conversations")).filter("part = 0")
+    n = nest_turns(table(spark, sf, "conversations"))
     keyed = F.transform("messages", lambda m, i: F.struct(i.cast("string").alias("k"), m["content"].alias("v")))
     texts = F.map_from_entries(keyed)
     keys = F.reverse(F.transform("messages", lambda m, i: i.cast("string")))

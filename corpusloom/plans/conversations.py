@@ -19,20 +19,20 @@ from .standins import sql_squeeze, sql_strip
 def nested(spark: SparkSession, sf: str) -> DataFrame:
     n = C.nest_turns(table(spark, sf, "conversations"))
     return n.select(
-        F.lit("chat").alias("source"), F.col("conv_id").cast("string").alias("conversation_id"), "part", "messages"
+        F.lit("chat").alias("source"), F.col("conv_id").cast("string").alias("conversation_id"), "messages"
     )
 
 
 @query(
     "conversation_flatten",
-    f"""SELECT conv_id::VARCHAR AS conversation_id, (turn // 4096)::INT AS part,
+    f"""SELECT conv_id::VARCHAR AS conversation_id,
     '[source=chat conversation_id=' || conv_id || ']' || chr(10) || chr(10) ||
       string_agg(upper(role) || ': ' || {sql_strip('text')}, chr(10) || chr(10) ORDER BY turn) AS text
-    FROM conversations WHERE {sql_strip('text')} <> '' GROUP BY conv_id, turn // 4096""",
+    FROM conversations WHERE {sql_strip('text')} <> '' GROUP BY conv_id""",
 )
 def conversation_flatten(spark, sf):
     text = C.flatten_messages("source", "conversation_id", "messages")
-    return nested(spark, sf).select("conversation_id", "part", text.alias("text")).filter("text IS NOT NULL")
+    return nested(spark, sf).select("conversation_id", text.alias("text")).filter("text IS NOT NULL")
 
 
 @query(
@@ -52,23 +52,24 @@ def conversation_dedup_consecutive(spark, sf):
 @query(
     "conversation_merge",
     """SELECT source, conversation_id, title, n_messages, first_content FROM (
-      SELECT CASE WHEN role = 'user' THEN 'questions' ELSE 'answers' END AS source, conv_id::VARCHAR AS conversation_id,
+      SELECT CASE role WHEN 'user' THEN 'questions' WHEN 'assistant' THEN 'answers' ELSE 'notes' END AS source,
+        conv_id::VARCHAR AS conversation_id,
         CASE WHEN role = 'user' THEN 'asked' ELSE '' END AS title, count(*)::INT AS n_messages,
         arg_min(text, turn) AS first_content
-      FROM conversations WHERE role IN ('user', 'assistant') GROUP BY ALL)""",
+      FROM conversations GROUP BY ALL)""",
 )
 def conversation_merge(spark, sf):
     c = table(spark, sf, "conversations")
 
-    def part(role, source):
-        n = C.nest_turns(c.withColumn("text", F.when(F.col("role") == role, F.col("text"))))
-        kept = F.filter("messages", lambda m: m["content"].isNotNull())
-        return n.select(
-            F.lit(source).alias("source"), F.col("conv_id").cast("string").alias("conversation_id"), kept.alias("messages")
+    def part(rows, source):
+        return C.nest_turns(rows).select(
+            F.lit(source).alias("source"), F.col("conv_id").cast("string").alias("conversation_id"), "messages"
         )
 
     merged = C.merge_conversations(
-        part("user", "questions").withColumn("title", F.lit("asked")), part("assistant", "answers")
+        part(c.filter("role = 'user'"), "questions").withColumn("title", F.lit("asked")),
+        part(c.filter("role = 'assistant'"), "answers"),
+        part(c.filter("role NOT IN ('user', 'assistant')"), "notes"),
     )
     return merged.select(
         "source", "conversation_id", F.coalesce("title", F.lit("")).alias("title"),
@@ -93,18 +94,19 @@ def conversation_role_map(spark, sf):
 
 @query(
     "conversation_drop_repeats_nested",
-    """SELECT conv_id, (pos // 4096)::INT AS part, string_agg(role || ':' || text, '|' ORDER BY pos) AS body FROM (
+    """SELECT conv_id, string_agg(role || ':' || text, '|' ORDER BY pos) AS body FROM (
       SELECT *, lag(role) OVER w AS pr, lag(text) OVER w AS pt FROM (
-      SELECT conv_id, turn AS pos, role, left(text, 2) AS text FROM conversations)
-      WINDOW w AS (PARTITION BY conv_id, pos // 4096 ORDER BY pos))
+      SELECT conv_id, turn * 2 + c AS pos, role, text FROM conversations, (VALUES (0), (1)) t(c))
+      WINDOW w AS (PARTITION BY conv_id ORDER BY pos))
     WHERE NOT (pr IS NOT DISTINCT FROM role AND pt IS NOT DISTINCT FROM text) GROUP BY ALL""",
 )
 def conversation_drop_repeats_nested(spark, sf):
-    """Turns shortened to two letters, so that neighbours repeat, inside message arrays."""
-    short = table(spark, sf, "conversations").withColumn("text", F.substring("text", 1, 2))
-    n = C.nest_turns(short).withColumn("messages", C.drop_repeats(F.col("messages")))
+    """Every turn is written twice; the repeats go inside the message arrays."""
+    twice = table(spark, sf, "conversations").withColumn("_c", F.explode(F.array(F.lit(0), F.lit(1))))
+    n = C.nest_turns(twice.withColumn("turn", F.col("turn") * 2 + F.col("_c")))
+    kept = n.withColumn("messages", C.drop_repeats(F.col("messages")))
     body = F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(":"), m["content"])), "|")
-    return n.select("conv_id", "part", body.alias("body"))
+    return kept.select("conv_id", body.alias("body"))
 
 
 PAIRS_SQL = """pairs AS (SELECT conv_id, turn, text AS q, CASE WHEN nr = 'assistant' THEN nt ELSE '' END AS a FROM (
@@ -141,7 +143,7 @@ def recent_messages(spark, sf):
     f"""WITH base AS (
       SELECT conv_id, turn, v, {sql_strip('v')} AS q FROM (
         SELECT conv_id, turn, CASE turn % 6 WHEN 0 THEN text WHEN 1 THEN 'Hello There!!' WHEN 2 THEN ' thanks  ' || role
-          WHEN 3 THEN 'how are you?' WHEN 4 THEN 'whats up' ELSE left(text, 8) END AS v FROM conversations)),
+          WHEN 3 THEN 'how are you?' WHEN 4 THEN 'whats up' ELSE text || ' hi' END AS v FROM conversations)),
     probe AS (SELECT *, lower(q) AS low, regexp_replace(regexp_replace(lower(q), '[!?.]+$', ''), '[ \\t\\n\\r]+', ' ', 'g') AS p FROM base),
     tok AS (SELECT *, regexp_extract_all(p, '[a-z'']+') AS t FROM probe)
     SELECT conv_id, turn, NOT (q = '' OR length(q) > 140 OR regexp_matches(q, '[0-9]')
@@ -157,7 +159,7 @@ def greeting_classifier(spark, sf):
     said = (
         F.when(t == 0, F.col("text")).when(t == 1, F.lit("Hello There!!"))
         .when(t == 2, F.concat(F.lit(" thanks  "), "role")).when(t == 3, F.lit("how are you?"))
-        .when(t == 4, F.lit("whats up")).otherwise(F.substring("text", 1, 8))
+        .when(t == 4, F.lit("whats up")).otherwise(F.concat("text", F.lit(" hi")))
     )
     c = table(spark, sf, "conversations").withColumn("said", said)
     return c.select("conv_id", "turn", is_small_talk("said").alias("small_talk"))
@@ -237,18 +239,32 @@ def conversation_list(spark, sf):
     return C.list_conversations(index_rows(spark, sf))
 
 
+KNOWN_SQL = f"""known AS (SELECT DISTINCT upper({UUID_SQL}) AS id, user_id,
+    CASE user_id % 4 WHEN 0 THEN 'New chat' WHEN 1 THEN ' ' ELSE 'Kept ' || user_id END AS title, 7::BIGINT AS updated_ts
+    FROM events WHERE user_id % 3 <> 1 UNION ALL SELECT '00000000-0000-4000-8000-zzzzzzzzzzzz', -1, 'Gone', 9::BIGINT)"""
+
+
 @query(
     "history_index_upsert",
-    f"""WITH {TURNS_SQL}, ok AS (SELECT * FROM turns WHERE trim(q) <> '' AND trim(a) <> '' AND trim(a) <> '(no answer)'),
-    f AS (SELECT id, max(ts) AS ts, arg_min(q, ts) AS q FROM ok GROUP BY id)
-    SELECT id, q AS title, ts AS updated_ts FROM f""",
+    f"""WITH {TURNS_SQL}, {KNOWN_SQL}, ok AS (SELECT * FROM turns WHERE trim(q) <> '' AND trim(a) <> '' AND trim(a) <> '(no answer)'),
+    f AS (SELECT id, max(ts) AS ts, min((lpad(ts::VARCHAR, 20, '0') || lpad(event_id::VARCHAR, 20, '0') || q)) AS q FROM ok GROUP BY id)
+    SELECT coalesce(lower(k.id), f.id) AS id,
+      CASE WHEN f.id IS NOT NULL AND coalesce(trim(k.title), '') IN ('', 'New chat') THEN substr(f.q, 41) ELSE k.title END AS title,
+      coalesce(f.ts, k.updated_ts) AS updated_ts
+    FROM known k FULL JOIN f ON lower(k.id) = f.id""",
 )
 def history_index_upsert(spark, sf):
-    turns = C.accepted_turns(turn_log(spark, sf))
-    empty = turns.limit(0).select(
-        F.col("conversation_id").alias("id"), F.col("q").alias("title"), F.col("ts").alias("updated_ts")
+    """Turns appended to an index that holds two users in three: kept titles, blank ones, ``New chat``, one without turns."""
+    turns = C.accepted_turns(turn_log(spark, sf).withColumnRenamed("event_id", "line_no"))
+    n = F.col("user_id")
+    title = F.when(n % 4 == 0, K.NEW_CHAT_TITLE).when(n % 4 == 1, " ").otherwise(F.concat(F.lit("Kept "), n.cast("string")))
+    uid = F.concat(F.lit("00000000-0000-4000-8000-"), F.lpad(n.cast("string"), 12, "0"))
+    known = table(spark, sf, "events").filter("user_id % 3 <> 1").select("user_id").distinct()
+    known = known.select(F.upper(uid).alias("id"), title.alias("title"), F.lit(7).cast("bigint").alias("updated_ts"))
+    gone = spark.range(1).select(
+        F.lit("00000000-0000-4000-8000-zzzzzzzzzzzz").alias("id"), F.lit("Gone").alias("title"), F.lit(9).cast("bigint").alias("updated_ts")
     )
-    return C.upsert_index(empty, turns)
+    return C.upsert_index(known.unionByName(gone), turns)
 
 
 @query(
@@ -294,4 +310,4 @@ def html_escaped(spark, sf):
     """SELECT count(*) AS total_conversations, count(*) AS written, 0::BIGINT AS skipped_empty FROM (SELECT DISTINCT conv_id FROM conversations)""",
 )
 def conversation_counts(spark, sf):
-    return C.conversion_counts(nested(spark, sf).filter("part = 0"))
+    return C.conversion_counts(nested(spark, sf))
