@@ -174,3 +174,6 @@ KEYWORD_STOPWORDS = (
 BUNDLE_FORMAT = "vector_bundle_v2"
 SHARD_FORMAT = "vector_shard_v1"
 MANIFEST_FORMAT = "vector_manifest_v1"
+
+#: Longest latency a turn may report.
+LATENCY_MAX_MS = 3_600_000

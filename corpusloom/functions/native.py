@@ -107,40 +107,34 @@ def sequence_ratio(a: Column, b: Column) -> Column:
     return similarity(a, b)
 
 
-def best_in_tile(unit: Column, tile: Column, k: int) -> Column:
-    """The ``k`` entries of a tile most similar to the unit text.
+def best_in_tile(block: Column, tile: Column, k: int) -> Column:
+    """For each text of a block the ``k`` entries of a tile most similar to it.
 
-    ``tile`` is ``array<struct<pos:bigint,opening:string>>`` of bounded length; the
-    result holds at most ``k`` ``(score, pos)`` pairs. An entry is skipped only when
-    an upper bound of its ratio is below the k-th score found so far, so the answer
-    is the same as scoring all of them.
+    ``block`` is ``array<string>``, ``tile`` ``array<struct<pos:bigint,opening:string>>``,
+    both of bounded length; each text gets at most ``k`` ``(score, pos)`` pairs. An entry
+    is skipped only when an upper bound of its ratio is below the k-th score found so
+    far, so the answer is the same as scoring all of them.
     """
 
-    @F.arrow_udf("array<struct<score:double,pos:bigint>>")
-    def best(units: pa.Array, tiles: pa.Array) -> pa.Array:
-        texts, lists = units.to_pylist(), tiles.to_pylist()
-        # Rows of the batch by tile, so that what the matcher keeps of an opening serves them all.
-        same: dict[tuple, list[int]] = {}
-        for i, entries in enumerate(lists):
-            if texts[i] is not None and entries:
-                same.setdefault((entries[0]["pos"], entries[-1]["pos"], len(entries)), []).append(i)
-        out: list[list] = [[] for _ in texts]
-        counts = [Counter(t or "") for t in texts]
-        for rows in same.values():
-            for entry in lists[rows[0]]:
+    @F.arrow_udf("array<array<struct<score:double,pos:bigint>>>")
+    def best(blocks: pa.Array, tiles: pa.Array) -> pa.Array:
+        shaped = []
+        for texts, entries in zip(blocks.to_pylist(), tiles.to_pylist()):
+            counts = [Counter(t) for t in texts]
+            out: list[list] = [[] for _ in texts]
+            for entry in entries:
                 opening = Prepared(entry["opening"])
-                for i in rows:
-                    top = out[i]
+                for text, count, top in zip(texts, counts, out):
                     floor = top[-1][0] if len(top) == k else 0.0
-                    score = ratio(texts[i], opening, floor, counts[i])
+                    score = ratio(text, opening, floor, count)
                     if score is not None:
                         top.append((score, entry["pos"]))
                         top.sort(key=lambda pair: (-pair[0], pair[1]))
                         del top[k:]
-        shaped = [[{"score": s, "pos": p} for s, p in top] for top in out]
-        return pa.array(shaped, pa.list_(pa.struct([("score", pa.float64()), ("pos", pa.int64())])))
+            shaped.append([[{"score": s, "pos": p} for s, p in top] for top in out])
+        return pa.array(shaped, pa.list_(pa.list_(pa.struct([("score", pa.float64()), ("pos", pa.int64())]))))
 
-    return best(unit, tile)
+    return best(block, tile)
 
 
 # --- chunk spans --------------------------------------------------------------

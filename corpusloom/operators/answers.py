@@ -6,6 +6,8 @@ model itself is passed in (see ``models``). Prompt wording is this library's own
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +25,7 @@ EXTRACT_FACTS = (
     "List the statements of the excerpt that bear on the question, each with its exact words. "
     "If there are none, reply NOT_RELEVANT."
 )
+# Fixed replies: their wording is part of the results.
 NO_ANSWER_FOUND = "The provided excerpts do not contain information to answer this question."
 NO_PASSAGES = "No passages were retrieved for this question. Try Rebuild or rephrase."
 GREETING_REPLY = "Hello. Ask about a discourse, a commentary or a theme, or open a citation to read it in full."
@@ -124,7 +127,7 @@ def map_reduce_answer(rows: DataFrame, question: str, generate) -> DataFrame:
 
 def segment_block(title: Column, sutta: Column, commentary: Column, limit: int) -> Column:
     return F.concat(
-        F.lit("--- "), title, F.lit(" ---\nSUTTA:\n"), truncate(sutta, limit), F.lit("\n\nCOMMENTARY:\n"), truncate(commentary, limit)
+        F.lit("<"), title, F.lit(">\nReading: "), truncate(sutta, limit), F.lit("\nExplained: "), truncate(commentary, limit), F.lit("\n</>")
     )
 
 
@@ -132,8 +135,8 @@ def topic_prompt(hits: DataFrame) -> DataFrame:
     """System prompt from the hits of a topic search: the first in full length, up to three related ones at half."""
     filled = hits.filter(F.coalesce(F.length("sutta"), F.lit(0)) + F.coalesce(F.length("commentary"), F.lit(0)) > 0)
     sid = F.coalesce(or_none(text_or_blank("sutta_id")), F.lit("?"))
-    first = F.concat(F.lit("Primary segment "), sid)
-    related = F.concat(F.lit("Related segment "), (F.col("rank") - 1).cast("string"), F.lit(" ("), sid, F.lit(")"))
+    first = F.concat(F.lit("best match id="), sid)
+    related = F.concat(F.lit("also fits no="), (F.col("rank") - 1).cast("string"), F.lit(" id="), sid)
     block = F.when(F.col("rank") == 1, segment_block(first, F.col("sutta"), F.col("commentary"), K.MAX_CONTEXT_CHARS)).otherwise(
         segment_block(related, F.col("sutta"), F.col("commentary"), K.MAX_CONTEXT_CHARS // 2)
     )
@@ -160,17 +163,11 @@ def chat_reply(prompts: DataFrame, generate, system: str = "system", user: str =
 
 
 def starter_prompt(query: str, sutta_ids: list[str], earlier: list[str]) -> str:
-    """User prompt for follow-up questions after a search."""
-    ids = [s.strip() for s in sutta_ids[:8] if s.strip()]
-    lines = [
-        f"Search query: {query.strip() or '(empty)'}",
-        f"Top sutta ids shown: {', '.join(ids) or '(none)'}",
-    ]
-    said = [p.strip() for p in earlier if p.strip()][-5:]
-    if said:
-        lines.append("Earlier user messages (for continuity):")
-        lines += [f"  {i}. {p[:500]}" for i, p in enumerate(said, 1)]
-    return "\n".join(lines)
+    """What the reader looked for, saw and asked before, as JSON, for the follow-up questions."""
+    seen = list(filter(None, map(str.strip, sutta_ids[:8])))
+    asked = list(filter(None, map(str.strip, earlier)))[-5:]
+    facts = {"looked_for": query.strip(), "saw": seen, "asked_before": [p[:500] for p in asked]}
+    return json.dumps({k: v for k, v in facts.items() if v}, ensure_ascii=False)
 
 
 def starters(prompts: DataFrame, generate, user: str = "user") -> DataFrame:
@@ -192,17 +189,27 @@ def choose_canon(units: DataFrame, canon: DataFrame, scores: DataFrame, generate
     ready = F.coalesce(F.col("n_candidates") >= K.MIN_CANDIDATES, F.lit(False))
     raw = generate(F.lit(MAPPING_RULES), F.when(ready, prompt))
     parsed = asked.withColumn("_raw", raw).withColumn("_j", salvage_object(drop_code_fence("_raw"), CHOICE_SCHEMA))
-    reason = F.when(~ready, F.lit("No sufficient candidates retrieved from canon.")).otherwise(text_or_blank("_j.reason"))
+    best = F.coalesce("_j.best_canon_ids", F.array().cast("array<string>"))
+    # a claimed match that names no text is none, and a reply that can't be read is looked at by a person
+    empty = F.coalesce(F.col("_j.match_type").isin("exact", "probable", "mixed"), F.lit(False)) & (F.size(best) == 0)
+    unread = ready & F.col("_j").isNull()
+    said = text_or_blank("_j.reason")
+    reason = (
+        F.when(~ready, F.lit("No sufficient candidates retrieved from canon."))
+        .when(unread, F.lit("The reply could not be read."))
+        .when(empty, strip(F.concat(said, F.lit(" Empty best_canon_ids invalidated."))))
+        .otherwise(said)
+    )
     return parsed.select(
         *units.columns,
-        F.coalesce("_j.best_canon_ids", F.array().cast("array<string>")).alias("best_canon_ids"),
+        best.alias("best_canon_ids"),
         "_j.primary_canon_id",
         F.coalesce("_j.confidence", F.lit(0.0)).alias("confidence"),
         F.coalesce("_j.is_mixed", F.lit(False)).alias("is_mixed"),
-        F.coalesce("_j.needs_review", ~ready).alias("needs_review"),
+        F.when(empty | unread, F.lit(True)).otherwise(F.coalesce("_j.needs_review", ~ready)).alias("needs_review"),
         F.coalesce("_j.evidence_phrases", F.array().cast("array<string>")).alias("evidence_phrases"),
         reason.alias("reason"),
-        F.coalesce("_j.match_type", F.lit("unknown")).alias("match_type"),
+        F.when(empty, F.lit("unknown")).otherwise(F.coalesce("_j.match_type", F.lit("unknown"))).alias("match_type"),
     )
 
 

@@ -169,8 +169,9 @@ def _line_no(turns: DataFrame) -> list[str]:
 
 
 def accepted_turns(turns: DataFrame) -> DataFrame:
-    """Turns fit to be stored, trimmed, under the canonical conversation id."""
-    return turns.filter(valid_turn("q", "a")).select(
+    """Turns fit to be stored, trimmed, under the canonical conversation id; a latency over an hour refuses the turn."""
+    timely = F.coalesce(F.col("latency_ms") <= K.LATENCY_MAX_MS, F.lit(True))
+    return turns.filter(valid_turn("q", "a") & timely).select(
         canonical_uuid("conversation_id").alias("conversation_id"),
         "ts",
         strip("q").alias("q"),

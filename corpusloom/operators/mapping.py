@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
@@ -21,11 +21,10 @@ from ..functions.text import (
 )
 from .dedup import keep_first, top_per_key
 
-#: Canon entries per tile, and how many canon rows may be broadcast (each at most
-#: ``SIMILARITY_CHARS`` characters, so about 25 MB).
-TILE = 64
-BROADCAST_ROWS = 20_000
-SALTS = 64
+#: Canon entries of a tile and texts of a block, which meet as one row.
+TILE, TEXTS = 64, 128
+#: Order values, and parts of a book's texts, that are numbered in one window.
+SPAN, SALTS = 65_536, 64
 
 
 def teacher_rows(files: DataFrame, text: str = "text") -> DataFrame:
@@ -140,33 +139,33 @@ def canon_index(corpus: DataFrame) -> DataFrame:
 def candidate_scores(units: DataFrame, canon: DataFrame, k: int = K.TOP_K_DEFAULT) -> DataFrame:
     """The ``k`` canon openings of the same book most similar to each unit: ``unit_id, pos, score, rank``.
 
-    Equal texts are scored once: units are first reduced to distinct (book, key). The
-    canon side is packed into tiles of a fixed number of entries, and a unit meets
-    tiles, not single entries; each meeting yields at most ``k`` rows, so the number
-    of rows moved grows with the tiles, and no task ever holds a whole book.
-    ``canon`` carries its order in ``pos``.
+    Equal texts are scored once: units are first reduced to distinct (book, key). Canon
+    entries are packed into tiles by their place in the book, texts into blocks, and a
+    block meets a tile as one row that yields at most ``k`` entries per text; so a tile
+    travels once per block, and no task ever holds a whole book. ``canon`` carries its
+    order in ``pos``.
     """
     keyed = units.withColumn("_key", F.substring(normalize_for_similarity("text"), 1, K.SIMILARITY_CHARS))
     openings = canon.select(
         "book", "pos", F.substring(normalize_for_similarity("opening"), 1, K.SIMILARITY_CHARS).alias("opening")
     )
-    tiles = openings.groupBy("book", F.floor(F.col("pos") / TILE).alias("_tile")).agg(
+    place = F.row_number().over(Window.partitionBy("book", "_span").orderBy("pos")) - 1
+    spans = openings.withColumn("_span", F.floor(F.col("pos") / SPAN))
+    tiles = spans.withColumn("_tile", F.floor(place / TILE)).groupBy("book", "_span", "_tile").agg(
         F.array_sort(F.collect_list(F.struct("pos", "opening"))).alias("_entries")
     )
-    # An explicit partition count keeps the costly comparison spread even when the keys are few bytes.
+    texts = keyed.select("book", "_key").filter(F.col("_key").isNotNull()).distinct()
+    salted = texts.withColumn("_salt", F.pmod(F.xxhash64("_key"), F.lit(SALTS)))
+    number = F.row_number().over(Window.partitionBy("book", "_salt").orderBy("_key")) - 1
+    blocks = salted.withColumn("_block", F.floor(number / TEXTS)).groupBy("book", "_salt", "_block").agg(
+        F.collect_list("_key").alias("_keys")
+    )
+    # The keys are few bytes and the comparison dear, so the meetings are dealt out evenly.
     n = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    texts = keyed.select("book", "_key").repartition(n, "book", "_key").distinct()
-    if canon.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        pairs = texts.join(F.broadcast(tiles), "book")
-    else:
-        # A book may hold a third of all texts: spread it over salted copies of its tiles.
-        spread = texts.withColumn("_salt", F.pmod(F.xxhash64("_key"), F.lit(SALTS)))
-        copies = tiles.withColumn(
-            "_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint")))
-        )
-        pairs = spread.join(copies, ["book", "_salt"]).drop("_salt")
-    met = pairs.withColumn("_best", native.best_in_tile(F.col("_key"), F.col("_entries"), k))
-    scored = met.select("book", "_key", F.explode("_best").alias("_b")).select(
+    pairs = blocks.join(tiles.drop("_span", "_tile"), "book").repartition(n)
+    met = pairs.select("book", "_keys", native.best_in_tile(F.col("_keys"), F.col("_entries"), k).alias("_best"))
+    each = met.select("book", F.explode(F.arrays_zip("_keys", "_best")).alias("_r"))
+    scored = each.select("book", F.col("_r._keys").alias("_key"), F.explode("_r._best").alias("_b")).select(
         "book", "_key", F.col("_b.pos").alias("pos"), F.col("_b.score").alias("score")
     )
     best = top_per_key(scored, ["book", "_key"], [F.desc("score"), F.asc("pos")], k)
@@ -266,14 +265,6 @@ def assign_status(mapped: DataFrame) -> DataFrame:
     return clean.withColumn("status", status).withColumn("needs_review", F.col("status") != "accept").drop("_flagged")
 
 
-def allowed_choices(best: Column, candidates: Column) -> Column:
-    """Chosen ids that are in the candidate list, and whether any was not."""
-    return F.struct(
-        F.array_intersect(best, candidates).alias("kept"),
-        (F.size(F.array_except(best, candidates)) > 0).alias("outside"),
-    )
-
-
 def run_counts(results: DataFrame) -> DataFrame:
     """Counters of a run. ``returned_unknown`` and ``chose_nonempty`` describe the choice before the fallback."""
     gap = F.when(F.col("second_score").isNull(), F.lit(1.0)).otherwise(F.col("top_score") - F.col("second_score"))

@@ -142,9 +142,9 @@ def trunc_sql(e: str, n: int) -> str:
 @query(
     "prompt_topic",
     f"""{topic_top_sql(TOPIC_CATEGORY, 4)}, r AS (SELECT *, row_number() OVER (ORDER BY category_match DESC, score DESC, pos) AS rank FROM top WHERE length(sutta) + length(commentary) > 0)
-    SELECT md5('{A.TOPIC_RULES}' || chr(10) || chr(10) || string_agg('--- ' || CASE WHEN rank = 1 THEN 'Primary segment ' || sutta_id ELSE 'Related segment ' || (rank - 1) || ' (' || sutta_id || ')' END
-      || ' ---' || chr(10) || 'SUTTA:' || chr(10) || CASE WHEN rank = 1 THEN {trunc_sql('sutta', 12000)} ELSE {trunc_sql('sutta', 6000)} END || chr(10) || chr(10) || 'COMMENTARY:' || chr(10)
-      || CASE WHEN rank = 1 THEN {trunc_sql('commentary', 12000)} ELSE {trunc_sql('commentary', 6000)} END, chr(10) || chr(10) ORDER BY rank)) AS prompt_md5 FROM r""",
+    SELECT md5('{A.TOPIC_RULES}' || chr(10) || chr(10) || string_agg('<' || CASE WHEN rank = 1 THEN 'best match id=' || sutta_id ELSE 'also fits no=' || (rank - 1) || ' id=' || sutta_id END
+      || '>' || chr(10) || 'Reading: ' || CASE WHEN rank = 1 THEN {trunc_sql('sutta', 12000)} ELSE {trunc_sql('sutta', 6000)} END || chr(10) || 'Explained: '
+      || CASE WHEN rank = 1 THEN {trunc_sql('commentary', 12000)} ELSE {trunc_sql('commentary', 6000)} END || chr(10) || '</>', chr(10) || chr(10) ORDER BY rank)) AS prompt_md5 FROM r""",
 )
 def prompt_topic(spark, sf):
     from pyspark.sql import Window

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,30 +30,37 @@ def stem(name: Column | str) -> Column:
 
 
 def read_transcripts(spark: SparkSession, path: str, contains: str | None = None) -> DataFrame:
-    """``*.txt`` files, one row each (``file_ord, file_name, text``), numbered in name order.
+    """``*.txt`` files, one row each (``file_ord, file_name, text``), numbered in the order of names, then of paths.
 
-    The numbering sorts and counts the names alone, in parallel.
+    The numbering sorts and counts the paths alone, in parallel.
     """
     files = (
         spark.read.option("pathGlobFilter", "*.txt")
         .text(path, wholetext=True)
-        .select(decoded(file_name()).alias("file_name"), F.col("value").alias("text"))
+        .select(decoded(file_name()).alias("file_name"), F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
         .filter(F.lower("file_name") != SKIPPED_TRANSCRIPT)
     )
     if contains:
         files = files.filter(F.contains("file_name", F.lit(contains)))
-    names = files.select("file_name").sort("file_name").rdd.zipWithIndex()
-    order = spark.createDataFrame(names.map(lambda r: (r[0].file_name, r[1])), "file_name string, file_ord bigint")
-    return files.join(order, "file_name").select("file_ord", "file_name", "text")
+    names = files.select("file_name", "path").sort("file_name", "path").rdd.zipWithIndex()
+    order = spark.createDataFrame(names.map(lambda r: (r[0].path, r[1])), "path string, file_ord bigint")
+    return files.join(order, "path").select("file_ord", "file_name", "text")
+
+
+def unique_files(spark: SparkSession, paths: str | list[str]) -> str | list[str]:
+    """``paths``, or, where several patterns may name a file twice, the files they name."""
+    if isinstance(paths, str) or len(paths) < 2:
+        return paths
+    return sorted({unquote(f) for f in spark.read.text(paths).inputFiles()})
 
 
 def numbered_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Lines of text files with their file and line number: ``path, line_no, value``.
 
     Large files stay split: a line's number is the count of lines in earlier blocks of
-    its file plus its place in its own block.
+    its file plus its place in its own block. A file that several paths name counts once.
     """
-    raw = spark.read.text(paths).select(
+    raw = spark.read.text(unique_files(spark, paths)).select(
         decoded(F.col("_metadata.file_path")).alias("path"),
         F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_id"),
@@ -93,9 +102,13 @@ def read_chat_texts(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def read_json_lines(spark: SparkSession, path: str | list[str], schema: str, strict: bool = False) -> DataFrame:
-    """JSON lines; broken lines are dropped, or stop the read when ``strict``."""
-    mode = "FAILFAST" if strict else "DROPMALFORMED"
-    return spark.read.schema(schema).option("mode", mode).json(path)
+    """JSON lines; broken lines are dropped, or stop the read with their file and number when ``strict``."""
+    if not strict:
+        return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+    lines = numbered_lines(spark, path).filter(strip("value") != "")
+    where = F.concat(F.lit("no JSON at line "), F.col("line_no").cast("string"), F.lit(" of "), F.col("path"))
+    fine = F.when(F.try_parse_json("value").isNull(), F.raise_error(where).cast("string")).otherwise(F.col("value"))
+    return lines.select(F.from_json(fine, schema).alias("_o")).select("_o.*")
 
 
 def read_record_files(spark: SparkSession, path: str, pattern: str = "an*.json") -> DataFrame:
@@ -124,13 +137,19 @@ def read_record_files(spark: SparkSession, path: str, pattern: str = "an*.json")
 
 
 def read_json_arrays(spark: SparkSession, path: str, schema: str, pattern: str = "*.json") -> DataFrame:
-    """JSON arrays of objects, one array per file: ``json_file, segment_index`` and the fields."""
+    """Files of JSON objects, one array or one object per line: ``json_file, segment_index`` and the fields.
+
+    A folder ``json_file=<name>``, as ``write_segments`` makes it, names the file.
+    """
+    folder = F.regexp_extract(decoded(F.col("_metadata.file_path")), "/json_file=([^/]*)/", 1)
     files = (
         spark.read.option("pathGlobFilter", pattern)
         .text(path, wholetext=True)
-        .select(decoded(file_name()).alias("json_file"), F.col("value").alias("raw"))
+        .select(F.coalesce(F.nullif(folder, F.lit("")), decoded(file_name())).alias("json_file"), F.col("value").alias("raw"))
     )
-    items = F.try_variant_get(F.try_parse_json("raw"), "$", "array<variant>")
+    whole = F.try_variant_get(F.try_parse_json("raw"), "$", "array<variant>")
+    lines = F.transform(F.filter(F.split("raw", "\n"), lambda x: strip(x) != ""), F.try_parse_json)
+    items = F.coalesce(whole, lines)
     objects = F.transform(
         items,
         lambda v: F.when(

@@ -3,27 +3,28 @@
 from __future__ import annotations
 
 import json
-import os
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.text import safe_name, strip
 
-EXPORT_ROWS = 100_000
-
-
 def write_index(chunks: DataFrame, path: str) -> None:
     """Rebuild a chunk table; only the books present in ``chunks`` are replaced."""
     chunks.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("book").parquet(path)
 
 
 def write_shards(chunks: DataFrame, folder: str, embedding_model: str) -> dict:
-    """Chunk lines per book and a manifest with their counts; returns the manifest."""
+    """Chunk lines per book and a manifest of all books in the folder; returns the manifest.
+
+    ``chunks`` is evaluated once: the counts are those of the lines written.
+    """
+    spark = chunks.sparkSession
     by_shard = chunks.withColumn("_shard", F.col("book")).write.mode("overwrite")
     by_shard.option("partitionOverwriteMode", "dynamic").partitionBy("_shard").json(f"{folder}/shards")
-    counts = chunks.groupBy("book").agg(F.count("*").alias("n")).orderBy("book").collect()
+    lines = spark.read.schema("value string, _shard string").text(f"{folder}/shards")
+    counts = lines.groupBy(F.col("_shard").alias("book")).agg(F.count("*").alias("n")).orderBy("book").collect()
     manifest = {
         "format": K.MANIFEST_FORMAT,
         "version": 1,
@@ -39,12 +40,13 @@ def write_bundle(chunks: DataFrame, folder: str, embedding_model: str) -> dict:
 
     The rows stay in as many files as there are tasks; no task or value holds them all.
     """
-    chunks.write.mode("overwrite").json(f"{folder}/chunks")
+    seen = Observation("bundle")
+    chunks.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").json(f"{folder}/chunks")
     header = {
         "format": K.MANIFEST_FORMAT,
         "version": 1,
         "embedding_model": embedding_model,
-        "shards": [{"book": "all", "uri": "chunks", "chunk_count": chunks.count()}],
+        "shards": [{"book": "all", "uri": "chunks", "chunk_count": seen.get["n"]}],
     }
     _write_text(chunks.sparkSession, f"{folder}/manifest.json", json.dumps(header, ensure_ascii=False))
     return header
@@ -76,8 +78,6 @@ def append_json(rows: DataFrame, path: str) -> None:
 
 def write_conversations(conversations: DataFrame, path: str) -> dict:
     """Conversations with messages as JSON lines; returns the counters of the same pass."""
-    from pyspark.sql import Observation
-
     from ..operators.conversations import has_messages
 
     seen = Observation("conversations")
@@ -91,21 +91,28 @@ def write_conversations(conversations: DataFrame, path: str) -> dict:
     return seen.get
 
 
-def export_pretty(rows: DataFrame, path: str, max_rows: int = EXPORT_ROWS) -> int:
-    """A small table as one pretty JSON array on the driver; a larger one is refused."""
-    lines = rows.limit(max_rows + 1).toJSON().collect()
-    if len(lines) > max_rows:
-        raise ValueError(f"more than {max_rows} rows: write JSON lines instead")
-    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-    with open(path, "w", encoding="utf-8") as out:
-        json.dump([json.loads(x) for x in lines], out, ensure_ascii=False, indent=2)
-        out.write("\n")
-    return len(lines)
+def export_pretty(rows: DataFrame, path: str) -> int:
+    """All rows as one pretty JSON array, as a person reads it; returns their number.
+
+    One file is one stream: rows pass in turn, a partition at a time, to the path's file system.
+    """
+    spark, n = rows.sparkSession, 0
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        for n, row in enumerate(rows.select(F.to_json(F.struct("*")).alias("x")).toLocalIterator(), 1):
+            shown = json.dumps(json.loads(row.x), ensure_ascii=False, indent=2).replace("\n", "\n  ")
+            out.write(bytearray(f"{',' if n > 1 else '['}\n  {shown}".encode()))
+        out.write(bytearray(b"\n]\n" if n else b"[]\n"))
+    finally:
+        out.close()
+    return n
 
 
 def write_segments(segments: DataFrame, path: str) -> None:
-    """Segments as JSON lines in one folder per source file."""
-    segments.write.mode("overwrite").partitionBy("json_file").json(path)
+    """Segments as JSON lines in one folder per source file, in order; ``read_json_arrays`` reads them back."""
+    ordered = segments.repartition("json_file").sortWithinPartitions("json_file", "segment_index")
+    ordered.drop("segment_index").write.mode("overwrite").partitionBy("json_file").json(path)
 
 
 def write_tsv(rows: DataFrame, path: str) -> None:

@@ -52,18 +52,36 @@ def append_stream(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery
     )
 
 
-def new_units(units: DataFrame) -> DataFrame:
-    """Units seen for the first time, across restarts."""
-    return units.dropDuplicates(["unit_id"])
+def new_units(units: DataFrame, at: str | None = None, within: str = "7 days") -> DataFrame:
+    """Units seen for the first time, across restarts.
+
+    With the time column ``at``, ids are forgotten once they are older than ``within``, so the state stays bounded.
+    """
+    if at is None:
+        return units.dropDuplicates(["unit_id"])
+    return units.withWatermark(at, within).dropDuplicatesWithinWatermark(["unit_id"])
 
 
 def shard_sink(chunks: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Arriving chunk rows replace their book in the chunk table, batch by batch."""
+    """Arriving chunk rows go to the table of ``latest_shards``, batch by batch.
+
+    Rows of a book and ``version`` (0 where there is none) add up over batches. A batch writes folders of its own, so
+    one that runs again after a failure replaces what it wrote.
+    """
 
-    def replace(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("book").parquet(path)
+    def add(batch: DataFrame, number: int) -> None:
+        rows = batch if "version" in batch.columns else batch.withColumn("version", F.lit(0).cast("bigint"))
+        out = rows.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        out.partitionBy("book", "version", "batch").parquet(path)
 
     return (
-        chunks.writeStream.foreachBatch(replace).option("checkpointLocation", checkpoint)
+        chunks.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()
     )
+
+
+def latest_shards(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of a table of ``shard_sink``: of every book those of its highest version."""
+    rows = spark.read.parquet(path).withColumn("book", F.col("book").cast("string"))
+    last = rows.groupBy("book").agg(F.max("version").alias("version"))
+    return rows.join(last, ["book", "version"]).drop("batch")

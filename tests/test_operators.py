@@ -7,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from corpusloom.operators import conversations as C
 from corpusloom.functions.native import chunk_spans
 from corpusloom.functions.sequences import Prepared, ratio
 from corpusloom.operators import answers as A
@@ -258,8 +259,8 @@ def test_units(spark):
     assert [(r.teacher_id, r.text) for r in mapping.teacher_rows(text).collect()] == [("1.2.3", "1.2.3 one"), ("1.2.3", "1.2.3.4 x"), ("10.20.30", "10.20.30 end")]
 
 
-@pytest.mark.parametrize("limit", [20_000, 0])
-def test_candidates_equal_brute_force(spark, limit):
+@pytest.mark.parametrize("limit", [64, 3])
+def test_candidates_equal_brute_force(spark, monkeypatch, limit):
     import difflib
 
     rng = random.Random(5)
@@ -272,14 +273,11 @@ def test_candidates_equal_brute_force(spark, limit):
     units[-1] = ("copy", 1, units[0][2])
     cdf = spark.createDataFrame(canon, "pos bigint, canon_id string, book int, title string, opening string")
     udf = spark.createDataFrame(units, "unit_id string, book int, text string")
-    old = mapping.BROADCAST_ROWS
-    mapping.BROADCAST_ROWS = limit
-    try:
-        got = {}
-        for r in mapping.candidate_scores(udf, cdf, 4).orderBy("unit_id", "rank").collect():
-            got.setdefault(r.unit_id, []).append((round(r.score, 9), r.pos))
-    finally:
-        mapping.BROADCAST_ROWS = old
+    monkeypatch.setattr(mapping, "TEXTS", limit)
+    monkeypatch.setattr(mapping, "TILE", limit)
+    got = {}
+    for r in mapping.candidate_scores(udf, cdf, 4).orderBy("unit_id", "rank").collect():
+        got.setdefault(r.unit_id, []).append((round(r.score, 9), r.pos))
     for uid, book, text in units:
         scored = [(difflib.SequenceMatcher(None, text[:320], o[:320]).ratio(), p) for p, _, b, _, o in canon if b == book]
         best = sorted(scored, key=lambda x: (-x[0], x[1]))[:4]
@@ -341,6 +339,53 @@ def test_answer_stages(spark):
     chosen = {r.unit_id: r for r in mapping.assign_status(A.choose_canon(units, canon, scores, ask)).collect()}
     assert (chosen["u1"].status, chosen["u1"].primary_canon_id) == ("accept", "an1.0")
     assert chosen["u2"].status == "needs_review" and chosen["u2"].reason.startswith("No sufficient")
-    assert A.starter_prompt(" q ", ["1", " ", "2"], ["a", ""]).splitlines()[1] == "Top sutta ids shown: 1, 2"
+    assert A.starter_prompt(" q ", ["1", " ", "2"], ["a", ""]) == '{"looked_for": "q", "saw": ["1", "2"], "asked_before": ["a"]}'
     decomposed = spark.createDataFrame([("- first query\n2. second one\nx", "q"), ("", "q")], "r string, q string")
     assert [r.v for r in decomposed.select(A.sub_queries("r", "q").alias("v")).collect()] == [[" first query", " second one"], ["q"]]
+
+
+def test_a_long_conversation_is_one_record(spark):
+    """More turns than a block of the sort, each written twice over a border."""
+    n = 10_500
+    turns = spark.range(n).select(
+        F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.lit("user").alias("role"), F.floor(F.col("id") / 2).cast("string").alias("text")
+    )
+    rows = C.nest_turns(turns).collect()
+    assert len(rows) == 1 and [m.content for m in rows[0].messages] == [str(i // 2) for i in range(n)]
+    kept = C.nest_turns(turns).select(F.size(C.drop_repeats(F.col("messages"))).alias("n")).first().n
+    assert kept == n // 2
+    equal = turns.withColumn("text", F.lit("same"))
+    assert C.nest_turns(equal).select(F.size(C.drop_repeats(F.col("messages"))).alias("n")).first().n == 1
+    text = C.nest_turns(turns).select(C.flatten_messages(F.lit("s"), F.lit("1"), "messages").alias("t")).first().t
+    assert text.count("[source=") == 1 and text.count("USER: ") == n
+    assert C.conversion_counts(C.nest_turns(turns.filter("turn > 9000"))).first().written == 1
+
+
+def test_choices_without_texts_are_invalid(spark):
+    from corpusloom.operators import answers as A
+
+    def say(reply):
+        return lambda system, user: F.when(user.isNotNull(), F.lit(reply))
+
+    units = spark.createDataFrame([("u1", 1, "noble path")], "unit_id string, book int, text string")
+    canon = spark.createDataFrame([(i, f"an1.{i}", 1, "t", f"noble path {i}", ["k"]) for i in range(6)], "pos bigint, canon_id string, book int, title string, opening string, keywords array<string>")
+    scores = mapping.candidate_scores(units, canon, 5)
+    row = A.choose_canon(units, canon, scores, say('{"match_type": "exact", "best_canon_ids": [], "reason": "so"}')).first()
+    assert (row.match_type, row.needs_review, row.reason) == ("unknown", True, "so Empty best_canon_ids invalidated.")
+    row = A.choose_canon(units, canon, scores, say("no json at all")).first()
+    assert (row.match_type, row.needs_review) == ("unknown", True) and row.reason
+    row = A.choose_canon(units, canon, scores, say('{"match_type": "exact", "best_canon_ids": ["an1.0"]}')).first()
+    assert (row.match_type, row.needs_review) == ("exact", False)
+
+
+def test_turns_of_one_time_keep_their_line_order(spark):
+    uid = "00000000-0000-4000-8000-000000000001"
+    turns = spark.createDataFrame(
+        [(uid, 5, "second", "a", 1, 2), (uid, 5, "first", "a", 1, 1), (uid, 9, "late", "a", 3_600_001, 3)],
+        "conversation_id string, ts bigint, q string, a string, latency_ms bigint, line_no int",
+    )
+    fit = C.accepted_turns(turns)
+    assert fit.count() == 2
+    index = spark.createDataFrame([], "id string, title string, updated_ts bigint")
+    assert C.upsert_index(index, fit).first().title == "first"
+    assert [r.q for r in C.conversation_messages(turns, uid).collect()] == ["first", "second", "late"]

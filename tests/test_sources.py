@@ -53,7 +53,7 @@ def test_chat_lines_lenient_and_fallback_id(spark, tmp_path):
 def test_strict_reader_fails(spark, tmp_path):
     put(tmp_path / "a.jsonl", '{"canon_id":"an1.1"}\n{oops\n')
     assert files.read_json_lines(spark, str(tmp_path), schemas.CANON_CORPUS).count() == 1
-    with pytest.raises(Exception):
+    with pytest.raises(Exception, match="no JSON at line 2 of .*a.jsonl"):
         files.read_json_lines(spark, str(tmp_path), schemas.CANON_CORPUS, strict=True).collect()
 
 
@@ -187,8 +187,9 @@ def test_small_exports(spark, tmp_path):
     df = spark.createDataFrame([(1, "é")], "a int, b string")
     assert sinks.export_pretty(df, str(tmp_path / "o.json")) == 1
     assert json.loads((tmp_path / "o.json").read_text(encoding="utf-8")) == [{"a": 1, "b": "é"}]
-    with pytest.raises(ValueError):
-        sinks.export_pretty(spark.range(3), str(tmp_path / "p.json"), max_rows=2)
+    assert sinks.export_pretty(spark.range(3), str(tmp_path / "p.json")) == 3
+    assert json.loads((tmp_path / "p.json").read_text()) == [{"id": 0}, {"id": 1}, {"id": 2}]
+    assert sinks.export_pretty(spark.range(0), str(tmp_path / "q.json")) == 0 and (tmp_path / "q.json").read_text() == "[]\n"
     sinks.write_tsv(df, str(tmp_path / "t"))
     sinks.append_json(df, str(tmp_path / "log"))
     sinks.append_json(df, str(tmp_path / "log"))
@@ -213,3 +214,40 @@ def test_index_and_turn_logs(spark, tmp_path):
     assert C.new_conversation(spark, " ").first().title == "New chat"
     with pytest.raises(ValueError):
         C.conversation_messages(turns, "../etc")
+
+
+def test_overlapping_patterns_name_a_file_once(spark, tmp_path):
+    put(tmp_path / "a b.chat.jsonl", "1\n2\n3")
+    put(tmp_path / "sub/c.jsonl", "4\n5")
+    paths = [str(tmp_path / "*.jsonl"), str(tmp_path / "*.chat.jsonl"), str(tmp_path / "sub/*.jsonl"), str(tmp_path / "*/c.jsonl")]
+    rows = files.numbered_lines(spark, paths).collect()
+    assert sorted((r.value, r.line_no) for r in rows) == [("1", 1), ("2", 2), ("3", 3), ("4", 1), ("5", 2)]
+
+
+def test_equal_names_in_two_folders(spark, tmp_path):
+    put(tmp_path / "x/t.txt", "one")
+    put(tmp_path / "y/t.txt", "two")
+    rows = files.read_transcripts(spark, str(tmp_path / "*")).collect()
+    assert sorted((r.file_ord, r.file_name, r.text) for r in rows) == [(0, "t.txt", "one"), (1, "t.txt", "two")]
+
+
+def test_segments_round_trip(spark, tmp_path):
+    ddl = "transcript_id string, canon_id string"
+    rows = [("b.json", i, f"t{i}", None if i % 2 else f"an1.{i}") for i in range(12)] + [("a.json", 0, "x", "y")]
+    df = spark.createDataFrame(rows, "json_file string, segment_index int, " + ddl)
+    sinks.write_segments(df.orderBy(F.desc("segment_index")), str(tmp_path / "s"))
+    back = files.read_json_arrays(spark, str(tmp_path / "s/*"), ddl)
+    assert sorted(map(tuple, back.collect()), key=str) == sorted(rows, key=str)
+
+
+def test_shards_evaluate_their_input_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(rows):
+        for part in rows:
+            seen.add(len(part))
+            yield part
+
+    counted = chunk_rows(spark).mapInPandas(count, chunk_rows(spark).schema)
+    assert [s["chunk_count"] for s in sinks.write_shards(counted, str(tmp_path / "a"), "m")["shards"]] == [1, 1] and seen.value == 2
+    assert sinks.write_bundle(counted, str(tmp_path / "b"), "m")["shards"][0]["chunk_count"] == 2 and seen.value == 4

@@ -53,14 +53,22 @@ def test_feedback_and_units(spark, tmp_path):
     assert drain(spark, logs.new_units(units), "un", "append").count() == 2
 
 
-def test_shards_replace_their_book(spark, tmp_path):
-    write(tmp_path / "c/a.json", [{"book": "an1", "text": "old"}, {"book": "an2", "text": "two"}])
+def test_shards_add_up_and_a_new_version_replaces_its_book(spark, tmp_path):
+    write(tmp_path / "c/a.json", [{"book": "an1", "version": 1, "text": "one"}, {"book": "an2", "version": 1, "text": "two"}])
     path, check = str(tmp_path / "index"), str(tmp_path / "check")
 
     def run():
-        logs.shard_sink(spark.readStream.schema("book string, text string").json(str(tmp_path / "c")), path, check).awaitTermination(120)
+        logs.shard_sink(spark.readStream.schema("book string, version bigint, text string").json(str(tmp_path / "c")), path, check).awaitTermination(120)
+        return sorted((r.book, r.text) for r in logs.latest_shards(spark, path).collect())
 
     run()
-    write(tmp_path / "c/b.json", [{"book": "an1", "text": "new"}])
-    run()
-    assert sorted((r.book, r.text) for r in spark.read.parquet(path).collect()) == [("an1", "new"), ("an2", "two")]
+    write(tmp_path / "c/b.json", [{"book": "an1", "version": 1, "text": "more"}])
+    assert run() == [("an1", "more"), ("an1", "one"), ("an2", "two")]
+    write(tmp_path / "c/d.json", [{"book": "an1", "version": 2, "text": "new"}])
+    assert run() == [("an1", "new"), ("an2", "two")]
+
+
+def test_old_units_are_forgotten(spark, tmp_path):
+    write(tmp_path / "u/a.json", [{"unit_id": "1#a", "at": "2024-01-01T00:00:00"}, {"unit_id": "1#a", "at": "2024-01-02T00:00:00"}])
+    units = spark.readStream.schema("unit_id string, at timestamp").json(str(tmp_path / "u"))
+    assert drain(spark, logs.new_units(units, "at"), "old", "append").count() == 1
