@@ -21,6 +21,9 @@ from ..functions.text import search_terms, text_or_blank
 from ..functions.vectors import usable_vector
 from .dedup import keep_first, prefix_key, top_per_key
 
+#: Parts of a term's rows that are cut on their own before they meet.
+PARTS = 256
+
 PAYLOAD = ["pos", "source", "suttaid", "commentary_id", "conversation_id", "kind", "book", "text"]
 
 
@@ -90,7 +93,9 @@ def keyword_rows(chunks: DataFrame, terms: list[str], *, case_sensitive: bool, p
     if per_term is None:
         return hit.withColumn("term", F.array_min("_found")).drop("_found")
     each = hit.withColumn("term", F.explode("_found")).drop("_found")
-    return top_per_key(each, ["term"], ["pos"], per_term)
+    # a term in every row meets in one task: first the parts of each term are cut, then the term
+    parts = top_per_key(each.withColumn("_part", F.pmod("pos", F.lit(PARTS))), ["term", "_part"], ["pos"], per_term)
+    return top_per_key(parts.drop("_part"), ["term"], ["pos"], per_term)
 
 
 def candidates(chunks: DataFrame, query: str, vector: list[float], k: int, profile: Profile) -> DataFrame:
@@ -157,11 +162,11 @@ def _kind() -> Column:
     return F.lower(text_or_blank("kind"))
 
 
-def dedup_results(rows: DataFrame, cap: int = K.RESULT_CAP) -> DataFrame:
-    """Drop repeats of (source, id, kind, text start), renumber and cap. Bounded input."""
+def dedup_results(rows: DataFrame, cap: int | None = K.RESULT_CAP) -> DataFrame:
+    """Drop repeats of (source, id, kind, text start), renumber and cap (None: all). Bounded input."""
     key = prefix_key(120, "source", "suttaid") + [_kind()]
-    kept = keep_first(rows, key, ["rank"])
-    return renumber(kept).filter(F.col("rank") <= cap)
+    kept = renumber(keep_first(rows, key, ["rank"]))
+    return kept if cap is None else kept.filter(F.col("rank") <= cap)
 
 
 def renumber(rows: DataFrame) -> DataFrame:
@@ -207,7 +212,7 @@ def inject_pairs(top: DataFrame, near: DataFrame, cap: int = K.RESULT_CAP) -> Da
     ``near`` comes from :func:`neighbours`. Added rows follow in the order of their id's
     first rank, commentary before reading.
     """
-    kept = dedup_results(top, cap=1_000_000)
+    kept = dedup_results(top, cap=None)
     ids = (
         kept.filter(text_or_blank("suttaid") != "")
         .groupBy("suttaid")
@@ -274,7 +279,7 @@ def search_books(chunks: DataFrame, query: str, vector: list[float], k: int = K.
     for i, (book, share) in enumerate(budgets.items()):
         part = search_book(chunks.filter(F.col("book") == book), query, vector, share, scorer)
         parts.append(part.withColumn("rank", F.col("rank") + 1000 * i))
-    merged = bounded(dedup_results(parts[0].unionByName(parts[1]), cap=1_000_000), 2 * K.RESULT_CAP)
+    merged = bounded(dedup_results(parts[0].unionByName(parts[1]), cap=None), 2 * K.RESULT_CAP)
     order = [F.desc("lexical"), F.asc(F.coalesce("distance", F.lit(K.MISSING_DISTANCE))), F.asc("rank")]
     ranked = merged.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
     top = bounded(quota_pick(ranked.filter(F.col("rank") <= candidate_limit(k)), k), k)
@@ -327,7 +332,7 @@ def order_passages(rows: DataFrame, max_n: int = K.PASSAGE_CAP, include_chain: b
     unless ``include_chain`` says otherwise.
     """
     whole = Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    d = dedup_results(rows, cap=1_000_000).withColumn("_kind", _kind())
+    d = dedup_results(rows, cap=None).withColumn("_kind", _kind())
     chains = F.max(F.col("_kind") == "chain").over(whole) if include_chain is None else F.lit(include_chain)
     d = d.withColumn("_chains", chains).withColumn("_sid", F.btrim(text_or_blank("suttaid"), F.lit(K.WS_CHARS)))
     d = d.withColumn("_at", F.min("rank").over(Window.partitionBy("_sid"))).withColumn(

@@ -137,7 +137,7 @@ def reference_tag_split(spark, sf):
 
 @query(
     "infer_id_from_next",
-    f"""WITH {TALKS_SQL}, s AS (SELECT doc_id, book, {sql_strip("CASE WHEN lang = 'en' THEN text ELSE left(text, 40) END")} AS body FROM talks),
+    f"""WITH {TALKS_SQL}, s AS (SELECT doc_id, book, {sql_strip("text")} AS body FROM talks),
     n AS (SELECT *, left(coalesce(lead(body) OVER (PARTITION BY book ORDER BY doc_id), ''), 560) AS nxt FROM s),
     f AS (SELECT *, {infer_sql('body')} AS own, CASE WHEN nxt <> '' THEN {infer_sql("body || ' ' || nxt")} ELSE '' END AS peek FROM n),
     t AS (SELECT *, CASE WHEN own <> '' THEN own ELSE peek END AS tid FROM f)
@@ -146,10 +146,9 @@ def reference_tag_split(spark, sf):
 )
 def infer_id_from_next(spark, sf):
     t = talk_files(spark, sf)
-    body = F.when(F.col("lang") == "en", F.col("text")).otherwise(F.substring("text", 1, 40))
     segs = t.select(
         "doc_id", F.col("book").cast("string").alias("json_file"), F.floor(F.col("doc_id") / 11).alias("segment_index"),
-        F.lit("").alias("transcript_id"), F.lit("").alias("canon_id"), F.lit(0).alias("book"), body.alias("transcript_content"),
+        F.lit("").alias("transcript_id"), F.lit("").alias("canon_id"), F.lit(0).alias("book"), F.col("text").alias("transcript_content"),
     )
     return S.infer_from_neighbours(segs).select("doc_id", "transcript_id", "canon_id", "book")
 
@@ -296,7 +295,7 @@ def judged(spark: SparkSession, sf: str) -> DataFrame:
     book = F.col("doc_id") % 11 + 1
     return d.select(
         F.when(has | (F.col("lang") == "en"), F.concat(F.lit("an"), F.col("doc_id").cast("string"))).otherwise("").alias("canon_id"),
-        F.when(has, F.substring("text", 1, 20)).otherwise("").alias("canon_content"), "text",
+        F.when(has, F.col("text")).otherwise("").alias("canon_content"), "text",
         F.when(has, "yes").otherwise("no").alias("use"),
         F.when(F.col("quality") == 1, "ok").when(has, "suspect").otherwise("bad").alias("mapping_quality"),
         book.cast("string").alias("book"),
@@ -311,7 +310,7 @@ def judged(spark: SparkSession, sf: str) -> DataFrame:
 JUDGED_SQL = f"""j AS (SELECT d.doc_id, d.lang, d.text, quality, toxic, (d.doc_id % 11 + 1)::INT AS book, quality IS NOT NULL AS has,
     quality IS NOT NULL OR lang = 'en' AS with_id, CASE WHEN quality = 1 THEN 'ok' WHEN quality IS NOT NULL THEN 'suspect' ELSE 'bad' END AS mq,
     CASE WHEN quality IS NOT NULL THEN 'family_' || lang ELSE 'unmatched_needs_review' END AS ce,
-    CASE WHEN quality IS NOT NULL THEN {sql_strip("left(d.text, 20)")} ELSE '' END AS cc
+    CASE WHEN quality IS NOT NULL THEN {sql_strip("d.text")} ELSE '' END AS cc
     FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)"""
 
 

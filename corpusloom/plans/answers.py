@@ -200,14 +200,14 @@ def reply_suggestions(spark, sf):
 @query(
     "answer_cleanup",
     f"""SELECT conv_id, turn, {sql_strip("regexp_replace(regexp_replace(text || ' Excerpt 12 ' || chr(10) || chr(10) || chr(10) || chr(10) || 'x', '\\b[Ee]xcerpt\\s*[0-9]+\\b', '', 'g'), '\\n{3,}', chr(10) || chr(10), 'g')")} AS answer,
-    {trunc_sql('text', 40)} AS short, regexp_replace(role || '/' || left(text, 3), '[^\\p{{L}}\\p{{N}}_.\\-]', '_', 'g') AS name,
+    {trunc_sql('text', 40)} AS short, regexp_replace(role || '/' || text, '[^\\p{{L}}\\p{{N}}_.\\-]', '_', 'g') AS name,
     {sql_strip('text')} AS unfenced FROM conversations""",
 )
 def answer_cleanup(spark, sf):
     raw = F.concat("text", F.lit(" Excerpt 12 \n\n\n\nx"))
     return table(spark, sf, "conversations").select(
         "conv_id", "turn", sanitize_answer(raw).alias("answer"), truncate("text", 40).alias("short"),
-        safe_name(F.concat("role", F.lit("/"), F.substring("text", 1, 3))).alias("name"),
+        safe_name(F.concat("role", F.lit("/"), "text")).alias("name"),
         drop_code_fence(F.concat(F.lit("```json\n"), "text", F.lit("\n```"))).alias("unfenced"),
     )
 

@@ -10,15 +10,15 @@ from .registry import query, table
 from .standins import RECORDS_SQL, SQL_WS, records, sql_strip, transcripts
 
 
-def chunks_sql(source: str) -> str:
-    """Recursive ``spans`` and ``chunks`` CTEs over a relation with ``k`` and ``text``."""
+def chunks_sql(source: str, name: str = "chunks") -> str:
+    """Recursive ``spans`` and ``chunks`` (or ``name``) CTEs over a relation with ``k`` and ``text``."""
     return f"""spans AS (
       SELECT k, length(text) AS n, 0 AS i, 0 AS s,
         CASE WHEN 1500 >= length(text) THEN length(text) ELSE 0 END AS e0, text FROM {source}
       WHERE NOT regexp_full_match(text, '{SQL_WS}*')
       UNION ALL
       SELECT k, n, i + 1, e - 400, 0, text FROM (SELECT *, {_stop('s')} AS e FROM spans) WHERE s + 1500 < n AND e - 400 < n
-    ), chunks AS (
+    ), {name} AS (
       SELECT k, i AS chunk_index, substring(text, s + 1, {_stop('s')} - s) AS chunk FROM spans
       WHERE NOT (s + 1500 >= n AND regexp_full_match(substring(text, s + 1), '{SQL_WS}*')))"""
 

@@ -9,7 +9,8 @@ from ..functions.text import search_terms
 from ..functions.vectors import cosine_distance, squared_l2
 from ..operators import records as R
 from ..operators import retrieval as V
-from .corpus import docs_sql
+from ..operators.chunking import chunk_rows
+from .corpus import chunks_sql, docs_sql
 from .registry import query, table
 from .search import lexical_sql, sql_quote
 from .standins import records
@@ -25,21 +26,31 @@ def query_vector(spark: SparkSession, sf: str) -> list[float]:
     return [float(x) for x in row.embedding]
 
 
+#: Chunks of one record document that positions leave room for.
+CHUNK_ROOM = 1 << 20
+
+
 def chunk_table(spark: SparkSession, sf: str) -> DataFrame:
-    """Record documents as chunk rows; a row has a vector where ``vec_id`` equals its position."""
+    """Chunks of record documents; the first chunk of a record's reading has the vector with ``vec_id = doc_id``."""
     docs = R.to_documents(records(spark, sf).drop("rec_i"))
-    placed = docs.withColumn("pos", F.col("pos") * 4 + F.col("doc_ord"))
-    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("pos"), "embedding")
-    return placed.join(vectors, "pos", "left").select(
+    cut = chunk_rows(docs)
+    first = (F.col("doc_ord") == 0) & (F.col("chunk_index") == 0)
+    # rows without a vector get keys of their own, so that they don't meet in one task
+    place = (F.col("pos") * 4 + F.col("doc_ord")) * CHUNK_ROOM + F.col("chunk_index")
+    placed = cut.withColumn("vec_id", F.when(first, F.col("pos")).otherwise(-1 - place)).withColumn("pos", place)
+    vectors = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    return placed.join(vectors, "vec_id", "left").select(
         "pos", "source", "suttaid", "commentary_id", F.col("lang").alias("conversation_id"), "kind",
         F.when(F.col("lang") == "en", "an1").otherwise("an2").alias("book"), "text", "embedding",
     )
 
 
-CHUNKS_SQL = f"""{docs_sql()}, chunks AS (
-    SELECT docs.pos * 4 + ord AS pos, d.source, suttaid, d.lang AS conversation_id, kind,
-      CASE WHEN d.lang = 'en' THEN 'an1' ELSE 'an2' END AS book, docs.text, e.embedding::DOUBLE[] AS v
-    FROM docs JOIN documents d ON d.doc_id = docs.pos LEFT JOIN embeddings e ON e.vec_id = docs.pos * 4 + ord),
+CHUNKS_SQL = f"""RECURSIVE {docs_sql()}, src AS (SELECT pos * 4 + ord AS k, text FROM docs),
+  {chunks_sql('src', 'pieces')}, chunks AS (
+    SELECT k * {CHUNK_ROOM} + chunk_index AS pos, d.source, suttaid, d.lang AS conversation_id, kind,
+      CASE WHEN d.lang = 'en' THEN 'an1' ELSE 'an2' END AS book, chunk AS text, e.embedding::DOUBLE[] AS v
+    FROM pieces JOIN docs ON docs.pos = k // 4 AND docs.ord = k % 4 JOIN documents d ON d.doc_id = docs.pos
+    LEFT JOIN embeddings e ON e.vec_id = docs.pos AND ord = 0 AND chunk_index = 0),
   q AS (SELECT embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id = 0)"""
 
 
