@@ -12,8 +12,11 @@ from pyspark.sql import functions as F
 #: Used only where the session names no shared folder (tests, one machine).
 OWN_FOLDER = "file:///tmp/checkpoints"
 
+#: Bytes of a stored table's row groups.
+ROW_GROUP = 8 << 20
+
 #: Text bytes handled at once inside a task.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 #: Word borders: any byte of these ends a word; bytes of 0x80 and above always belong to one.
 SPACE_BYTES = bytes([0x20, *range(0x09, 0x0E)])
@@ -27,9 +30,12 @@ def shared_folder(spark: SparkSession, what: str) -> str:
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: it is computed once and survives lost executors."""
+    """Write ``df`` to the shared folder and read it back: it is computed once and survives lost executors.
+
+    Row groups are small, as a task holds one of them whole and some rows here are as long as a MB.
+    """
     path = shared_folder(df.sparkSession, what)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -53,6 +59,47 @@ def fold(column: str = "doc_id") -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary"))
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a worker that waits for its next task keeps little."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def lean(fn):
+    """A function over record batches that gives memory back when its task ends."""
+
+    def run(batches):
+        try:
+            yield from fn(batches)
+        finally:
+            give_back()
+
+    return run
+
+
+def lean_group(fn):
+    """A function of a group's key and one or two tables that gives memory back after it."""
+
+    def held(*tables):
+        try:
+            return fn(*tables)
+        finally:
+            give_back()
+
+    # Spark counts the parameters
+    if fn.__code__.co_argcount == 3:
+        return lambda key, left, right: held(key, left, right)
+    return lambda key, table: held(key, table)
+
+
 def column_bytes(array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of an Arrow string or binary array end to end, and the n + 1 borders."""
     import pyarrow as pa

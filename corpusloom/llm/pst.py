@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, SPACE_BYTES, Words, column_bytes, fold, mix, pieces, plan_bytes
+from .common import CHUNK_BYTES, SPACE_BYTES, Words, column_bytes, fold, lean, lean_group, mix, pieces, plan_bytes
 
 DEPTH = 5
 #: The weight of the shorter context's prediction, in counts; least divergence (nats times count) of a kept context.
@@ -101,7 +101,7 @@ def pair_counts(docs: DataFrame) -> np.ndarray:
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["pair", "n"])
 
-    rows = docs.where("NOT held").select("text").mapInArrow(count, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect()
+    rows = docs.where("NOT held").select("text").mapInArrow(lean(count), "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(1 << 16)
     for r in rows:
         out[r.pair] = r.n
@@ -155,8 +155,10 @@ def _blobs(shard: np.ndarray, keys: np.ndarray, counts: np.ndarray, shards: int)
     return [(keys[a:b].tobytes(), counts[a:b].tobytes()) for a, b in zip(cuts[:-1], cuts[1:])]
 
 
-def _u8(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(b"".join(blobs), "<u8").astype(np.uint64), np.array([len(b) // 8 for b in blobs])
+def _numbers(column, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers in a binary column end to end, and how many each row has."""
+    data, borders = column_bytes(column)
+    return data.copy().view(kind), np.diff(borders) // np.dtype(kind).itemsize
 
 
 ASKED = "shard int, block int, words binary, word_counts binary, runs binary, run_counts binary"
@@ -185,20 +187,19 @@ def asked(blocks: DataFrame, shards: int) -> DataFrame:
         columns += [pa.array([x[j] for x in blobs], pa.binary()) for blobs in (w, g) for j in (0, 1)]
         return pa.Table.from_arrays(columns, [c.split()[0] for c in ASKED.split(", ")])
 
-    return blocks.groupBy("block").applyInArrow(ask, ASKED)
+    return blocks.groupBy("block").applyInArrow(lean_group(ask), ASKED)
 
 
 def _sums(table) -> SimpleNamespace:
-    columns = {c: table.column(c).to_pylist() for c in ("words", "word_counts", "runs", "run_counts")}
-    word, n_words = _u8(columns["words"])
-    run, n_runs = _u8(columns["runs"])
-    word_count = np.frombuffer(b"".join(columns["word_counts"]), "<u4").astype(np.float64)
-    run_count = np.frombuffer(b"".join(columns["run_counts"]), "<u4").astype(np.float64)
+    word, n_words = _numbers(table.column("words"), "<u8")
+    run, n_runs = _numbers(table.column("runs"), "<u8")
+    word_count, _ = _numbers(table.column("word_counts"), "<u4")
+    run_count, _ = _numbers(table.column("run_counts"), "<u4")
     words, word_of = np.unique(word, return_inverse=True)
     runs, run_of = np.unique(run, return_inverse=True)
     return SimpleNamespace(
         words=words, word_of=word_of, n_words=n_words, c=np.bincount(word_of, word_count, minlength=len(words)),
-        runs=runs, run_of=run_of, n_runs=n_runs, r=np.bincount(run_of, run_count, minlength=len(runs)), raw=columns,
+        runs=runs, run_of=run_of, n_runs=n_runs, r=np.bincount(run_of, run_count, minlength=len(runs)),
     )
 
 
@@ -213,13 +214,13 @@ def answered(asks: DataFrame, first: np.ndarray) -> DataFrame:
         scores = (grow(s.runs, s.r, first) if len(s.runs) else np.zeros(0))[s.run_of].astype("<f4")
         cut = lambda x, n: [part.tobytes() for part in np.split(x, np.cumsum(n)[:-1])]
         shares = [int(s.c.sum()), int((s.c > 0).sum()), int((s.c == 1).sum())]
-        columns = [table.column("block").combine_chunks(), *(pa.array([x] * table.num_rows) for x in shares), pa.array(s.raw["words"], pa.binary()), pa.array(cut(counts, s.n_words), pa.binary()), pa.array(s.raw["runs"], pa.binary()), pa.array(cut(scores, s.n_runs), pa.binary())]
+        columns = [table.column("block").combine_chunks(), *(pa.array([x] * table.num_rows) for x in shares), table.column("words").combine_chunks(), pa.array(cut(counts, s.n_words), pa.binary()), table.column("runs").combine_chunks(), pa.array(cut(scores, s.n_runs), pa.binary())]
         return pa.Table.from_arrays(columns, ["block", "n", "v", "once", "words", "counts", "runs", "scores"])
 
-    return asks.groupBy("shard").applyInArrow(answer, "block int, n long, v long, once long, words binary, counts binary, runs binary, scores binary")
+    return asks.groupBy("shard").applyInArrow(lean_group(answer), "block int, n long, v long, once long, words binary, counts binary, runs binary, scores binary")
 
 
-def scores(docs: DataFrame, modulus: int = 10, block_bytes: int = 12 << 20) -> DataFrame:
+def scores(docs: DataFrame, modulus: int = 10, block_bytes: int = 6 << 20) -> DataFrame:
     """Scores of all ``docs`` (doc_id, text), learnt from those whose crc32 of the id as text isn't 0 modulo ``modulus``.
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. Null texts count as empty: their
@@ -241,8 +242,7 @@ def scores(docs: DataFrame, modulus: int = 10, block_bytes: int = 12 << 20) -> D
         import pyarrow as pa
 
         def table(keys: str, values: str, kind: str):
-            k, _ = _u8(answers.column(keys).to_pylist())
-            v = np.frombuffer(b"".join(answers.column(values).to_pylist()), kind).astype(np.float64)
+            k, v = _numbers(answers.column(keys), "<u8")[0], _numbers(answers.column(values), kind)[0]
             by = np.argsort(k)
             return k[by], v[by]
 
@@ -255,10 +255,10 @@ def scores(docs: DataFrame, modulus: int = 10, block_bytes: int = 12 << 20) -> D
             n = high - low
             keys, doc = word_keys(w, n)
             distinct, back = np.unique(keys, return_inverse=True)
-            c = counts[np.searchsorted(words, distinct)][back]
+            c = counts[np.searchsorted(words, distinct)][back].astype(np.float64)
             keys, _, token = symbols(w, n)
             distinct, back = np.unique(keys, return_inverse=True)
-            spelt = np.bincount(token, logs[np.searchsorted(runs, distinct)][back], minlength=len(c))
+            spelt = np.bincount(token, logs[np.searchsorted(runs, distinct)][back].astype(np.float64), minlength=len(c))
             known = (1 - new) * ((1 - TREE) * c / max(all_, 1) + TREE * 10.0**spelt)
             mixed = np.log10(np.where(c > 0, known, new))
             base = np.log10((c + 0.1) / (all_ + 0.1 * (distinct_words + 1)))
@@ -270,4 +270,4 @@ def scores(docs: DataFrame, modulus: int = 10, block_bytes: int = 12 << 20) -> D
 
     answers = answered(asks, first)
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, schema)
+    return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lean_group(score), schema)
