@@ -22,12 +22,11 @@ SETTINGS = {
 
 
 def apply_settings(spark: SparkSession) -> SparkSession:
-    """Set the runtime options on a session created elsewhere."""
+    """Set the runtime options that a session created elsewhere leaves open; what it has set itself stays."""
+    own = spark._jsparkSession.sessionState().conf()
     for key, value in SETTINGS.items():
-        if key.endswith("excludedRules"):
-            present = [r for r in (spark.conf.get(key, "") or "").split(",") if r]
-            value = ",".join(dict.fromkeys([*present, value]))
-        spark.conf.set(key, value)
+        if not own.contains(key):
+            spark.conf.set(key, value)
     return spark
 
 
