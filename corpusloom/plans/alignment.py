@@ -591,3 +591,48 @@ def canon_snapshot_text(spark, sf):
     texts = F.map_from_entries(keyed)
     keys = F.reverse(F.transform("messages", lambda m, i: i.cast("string")))
     return n.select("conv_id", translation_text(keys, texts).alias("plain"))
+
+
+#: Number words: one to nineteen, and the tens.
+ONES = (
+    "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen"
+).split()
+TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
+
+
+@query(
+    "spoken_ids_written_out",
+    """SELECT doc_id, md5(head || (20 + 10 * (doc_id % 8)) || ' and so ' || text) AS tagged_md5,
+      md5(head || (21 + 10 * (doc_id % 8) + doc_id % 9) || ' and so ' || text) AS plain_md5
+    FROM (SELECT doc_id, text, (doc_id % 11 + 1) || '.' || (doc_id % 19 + 1) || '.' AS head FROM documents)""",
+)
+def spoken_ids_written_out(spark, sf):
+    """Every text behind an id that is spoken out, for the tagging rules and for the plain ones."""
+    from ..functions.ids import write_out_ids
+
+    def word(words, n):
+        return F.element_at(F.array(*map(F.lit, words)), (n + 1).cast("int"))
+
+    d = F.col("doc_id")
+    head = F.concat_ws(" point ", word(ONES, d % 11), word(ONES, d % 19), word(TENS, d % 8))
+    rest = F.concat(F.lit(" and so "), "text")
+    one_more = F.concat(F.lit(" "), word(ONES, d % 9))
+    return table(spark, sf, "documents").select(
+        "doc_id", F.md5(write_out_ids(F.concat(head, rest))).alias("tagged_md5"),
+        F.md5(write_out_ids(F.concat(head, one_more, rest), strict_first=False)).alias("plain_md5"),
+    )
+
+
+@query(
+    "unit_split_at_markers",
+    f"""WITH b AS (SELECT doc_id, {sql_squeeze('text')} AS f FROM documents),
+    u AS (SELECT doc_id, CASE WHEN 2 * length(f) + 27 < 300 THEN [f || ' that is the end of the so ' || f]
+      WHEN length(f) >= 121 THEN [lower(replace(replace(f, '’', chr(39)), '‘', chr(39))) || ' that is the end of the sutta', lower(replace(replace(f, '’', chr(39)), '‘', chr(39)))]
+      ELSE [lower(replace(replace(f, '’', chr(39)), '‘', chr(39))) || ' that is the end of the sutta ' || lower(replace(replace(f, '’', chr(39)), '‘', chr(39)))] END AS units FROM b)
+    SELECT doc_id, (i - 1)::INT AS unit_ord, md5(units[i]) AS text_md5 FROM u, unnest(range(1, len(units) + 1)) t(i)""",
+)
+def unit_split_at_markers(spark, sf):
+    """Every text twice with a mis-heard end marker in between: long ones are cut there."""
+    twice = F.concat("text", F.lit(" that is the end of the so "), "text")
+    rows = table(spark, sf, "documents").select("doc_id", F.col("doc_id").cast("string").alias("teacher_id"), twice.alias("text"))
+    return M.split_units(rows).select("doc_id", "unit_ord", F.md5("text").alias("text_md5"))
