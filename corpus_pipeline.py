@@ -10,11 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import packing, pii, positional, sketchjoin, toxicity
-from corpusloom.llm.common import stored, without
+from corpusloom.llm.common import small_batches, stored, without
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return small_batches(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,6 +25,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near duplicates the document of least doc_id; documents without words or id, and rows that share the kept id, all stay."""
+    small_batches(spark)
     classes = sketchjoin.near_duplicates(docs)
     return without(docs, classes.where("doc_id <> component_id"))
 
@@ -37,11 +38,13 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The same documents with personal data in their texts replaced by its kind; n_chars is that of the new text."""
+    small_batches(spark)
     return pii.redacted(docs)
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents' tokens in near-equal windows of at most 2048."""
+    small_batches(spark)
     return packing.pack(docs)
 
 

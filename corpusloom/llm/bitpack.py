@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import shared_folder, stored
+from .common import lean, shared_folder, stored
 from .tokens import Encoder, default_tokenizer
 
 BLOCK = 4096
@@ -170,7 +170,7 @@ def write_tokens(docs: DataFrame, folder: str | None = None, tokenizer: str | No
 
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     ranged = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    manifest = stored(ranged.mapInArrow(shard, "part int, path string, n_docs long, n_ids long"), "manifest")
+    manifest = stored(ranged.mapInArrow(lean(shard), "part int, path string, n_docs long, n_ids long"), "manifest")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     return manifest.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
@@ -194,4 +194,4 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
                 reader.close()
 
     spread = manifest.select("path", "start").repartition(max(int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1))
-    return spread.mapInArrow(documents, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return spread.mapInArrow(lean(documents), "doc_id long, start long, n_tokens long, ids_crc32 long")

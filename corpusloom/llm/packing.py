@@ -10,6 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
 from .tokens import Encoder, default_tokenizer
 
 #: Longest piece of the part of a document that doesn't fill a window of its own.
@@ -172,4 +173,4 @@ def pack(docs: DataFrame, capacity: int = 2048, end_id: int = 1, tokenizer: str
                 yield from rows(done)
         yield from rows(packer.finish())
 
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(pieces, schema)
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(lean(pieces), schema)

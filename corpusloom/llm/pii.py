@@ -13,6 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
 from .crf import Crf, batches, padded
 
 KINDS = ["email", "ip", "card", "phone"]
@@ -285,7 +286,7 @@ def find_spans(docs: DataFrame, tagger: Tagger | None = None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([asdict(b) for b in base], kind), pa.array([asdict(s) for s in spans], kind)], ["doc_id", "text", "base", "spans"])
 
     span = "array<struct<start:long,end:long,kind:string>>"
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(tag, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text string, base {span}, spans {span}")
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(lean(tag), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text string, base {span}, spans {span}")
 
 
 def redact(text: str, spans: list) -> str:
@@ -321,5 +322,5 @@ def redacted(docs: DataFrame, tagger: Tagger | None = None) -> DataFrame:
                 new = [g and redact(g, [{"start": a, "end": b, "kind": KINDS[k]} for a, b, k in s]) for g, s in zip(given, spans)]
                 yield part.set_column(place, part.schema.field(place), pa.array(new, part.schema.field(place).type))
 
-    out = docs.mapInArrow(clean, docs.schema)
+    out = docs.mapInArrow(lean(clean), docs.schema)
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

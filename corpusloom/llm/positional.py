@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, NON_WORD_BYTES, Words, column_bytes, pieces, stored
+from .common import CHUNK_BYTES, NON_WORD_BYTES, Words, column_bytes, lean, pieces, stored
 
 #: Empty positions between two documents of a segment; no phrase or slop may be longer.
 GAP = 1024
@@ -48,7 +48,7 @@ def build_index(docs: DataFrame) -> DataFrame:
                 row = [ids[low:high], starts.astype(np.int64), counts.astype(np.int64), terms, first.astype(np.uint32), place[by]]
                 yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in row], [x.split()[0] for x in SEGMENT.split(", ")])
 
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text")).mapInArrow(segments, SEGMENT)
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text")).mapInArrow(lean(segments), SEGMENT)
 
 
 class Phrases:
@@ -158,7 +158,7 @@ def matches(index: DataFrame, phrases: Phrases, slop: int = 0) -> DataFrame:
                 docs = [None if d == -(1 << 63) else d for d in s["docs"].tolist()]
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array(docs, pa.int64()), "n_words": pa.array(s["doc_words"], pa.int64()), "spans": pa.array(spans, pa.list_(pa.list_(pa.int64()))), "items": pa.array([sorted({p.names[i] for i in x}) for x in items], pa.list_(pa.string()))})
 
-    return index.mapInArrow(search, "doc_id long, n_words long, spans array<array<long>>, items array<string>")
+    return index.mapInArrow(lean(search), "doc_id long, n_words long, spans array<array<long>>, items array<string>")
 
 
 def contamination(docs: DataFrame, items: DataFrame, width: int = 13, slop: int = 0) -> DataFrame:

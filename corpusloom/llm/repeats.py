@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, byte_codes, column_bytes, mix, pieces, plan_bytes, powers
+from .common import CHUNK_BYTES, byte_codes, column_bytes, lean_group, mix, pieces, plan_bytes, powers
 from .induced import repeated
 
 LENGTH, GRAM = 200, 50
@@ -130,7 +130,7 @@ def anchors_asked(blocks: DataFrame, shards: int) -> DataFrame:
         cut = lambda x, kind: pa.array([x[by[cuts[i] : cuts[i + 1]]].astype(kind).tobytes() for i in some], pa.binary())
         return pa.Table.from_arrays([pa.array(some.astype(np.int32)), pa.array([key[0].as_py()] * len(some), pa.int32()), cut(keys, "<u8"), cut(counts, "<u4")], ["shard", "block", "keys", "counts"])
 
-    return blocks.groupBy("block").applyInArrow(ask, "shard int, block int, keys binary, counts binary")
+    return blocks.groupBy("block").applyInArrow(lean_group(ask), "shard int, block int, keys binary, counts binary")
 
 
 def anchors_answered(asks: DataFrame) -> DataFrame:
@@ -151,7 +151,7 @@ def anchors_answered(asks: DataFrame) -> DataFrame:
         out = pa.Table.from_arrays([table.column("block").combine_chunks(), pa.array(again, pa.binary()), pa.array(hot, pa.binary())], ["block", "again", "hot"])
         return out.filter(pa.array([bool(x or y) for x, y in zip(again, hot)], pa.bool_()))
 
-    return asks.groupBy("shard").applyInArrow(answer, "block int, again binary, hot binary")
+    return asks.groupBy("shard").applyInArrow(lean_group(answer), "block int, again binary, hot binary")
 
 
 SENT = "shard int, block int, anchors binary, contents binary, counts binary, sizes binary, bytes binary, strings binary, string_counts binary, hot binary"
@@ -196,7 +196,7 @@ def runs_sent(blocks: DataFrame, answers: DataFrame, shards: int) -> DataFrame:
         names = [c.split()[0] for c in SENT.split(", ")]
         return pa.Table.from_arrays([pa.array(c, pa.int32() if i < 2 else pa.binary()) for i, c in enumerate(zip(*rows))] if rows else [pa.array([], pa.int32() if i < 2 else pa.binary()) for i in range(len(names))], names)
 
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(send, SENT)
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lean_group(send), SENT)
 
 
 def _spread(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -251,7 +251,7 @@ def repeats_found(sent: DataFrame) -> DataFrame:
         kinds = [pa.int32(), *[pa.binary()] * 5]
         return pa.Table.from_arrays([pa.array([r[i] for r in out], kinds[i]) for i in range(6)], ["block", "contents", "counts", "ranges", "strings", "hot"])
 
-    return sent.groupBy("shard").applyInArrow(find, "block int, contents binary, counts binary, ranges binary, strings binary, hot binary")
+    return sent.groupBy("shard").applyInArrow(lean_group(find), "block int, contents binary, counts binary, ranges binary, strings binary, hot binary")
 
 
 def repeated_spans(docs: DataFrame, block_bytes: int = 12 << 20, with_text: bool = False) -> DataFrame:
@@ -330,4 +330,4 @@ def repeated_spans(docs: DataFrame, block_bytes: int = 12 << 20, with_text: bool
         return pa.Table.from_arrays(columns, names)
 
     schema = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", spans array<array<long>>, kept binary" if with_text else "")
-    return rows.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(cut, schema)
+    return rows.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(lean_group(cut), schema)

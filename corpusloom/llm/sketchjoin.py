@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BASE, CHUNK_BYTES, SPACE_BYTES, Words, column_bytes, groups_for, mix, pieces, runs, stored
+from .common import BASE, CHUNK_BYTES, SPACE_BYTES, Words, column_bytes, groups_for, lean, lean_group, mix, pieces, runs, stored
 
 #: The shingle length and the threshold (numerator, denominator).
 WIDTH, NUM, DEN = 5, 3, 4
@@ -131,7 +131,7 @@ def described(docs: DataFrame) -> DataFrame:
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return _texts(docs, "doc_id").mapInArrow(look, f"doc_id {kind}, n long, h long, bits array<long>, e0 int, e1 int, e2 int")
+    return _texts(docs, "doc_id").mapInArrow(lean(look), f"doc_id {kind}, n long, h long, bits array<long>, e0 int, e1 int, e2 int")
 
 
 #: A part's key within its shard: 38 bits of hash and 2 of the kind of instance, then 40 bits of the set's hash.
@@ -181,7 +181,7 @@ def part_entries(docs: DataFrame, shards: int) -> DataFrame:
         if any(len(keys) for keys, _, _ in held):
             yield flush()
 
-    return _texts(docs).mapInArrow(emit, "shard int, blob binary")
+    return _texts(docs).mapInArrow(lean(emit), "shard int, blob binary")
 
 
 def shared_parts(entries: DataFrame) -> DataFrame:
@@ -219,7 +219,7 @@ def shared_parts(entries: DataFrame) -> DataFrame:
         k = (np.uint64(shard) << np.uint64(40)) | keys
         return pa.Table.from_arrays([pa.array(k.view(np.int64)), pa.array((keys & np.uint64(3)).astype(np.int32)), pa.array(sets.view(np.int64)), pa.array(count.astype(np.int64))], ["k", "tag", "s", "c"])
 
-    return entries.groupBy("shard").applyInArrow(group, "k long, tag int, s long, c long")
+    return entries.groupBy("shard").applyInArrow(lean_group(group), "k long, tag int, s long, c long")
 
 
 def set_values(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -245,7 +245,7 @@ def set_values(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 blobs = [packed[s.first[i] : s.first[i] + s.n[i]].tobytes() for i in take]
                 yield pa.RecordBatch.from_arrays([pa.array(h[take]), pa.array(s.n[take].astype(np.int64)), pa.array(blobs, pa.binary())], ["h", "n", "v"])
 
-    sets = _texts(docs).mapInArrow(emit, "h long, n long, v binary")
+    sets = _texts(docs).mapInArrow(lean(emit), "h long, n long, v binary")
     return (sets if few else sets.join(wanted, "h", "left_semi")).dropDuplicates(["h"])
 
 
@@ -271,7 +271,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
 
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "va", "vb")
-    return both.mapInArrow(test, "a long, b long")
+    return both.mapInArrow(lean(test), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -417,7 +417,7 @@ def _near_in_groups(rows: DataFrame) -> DataFrame:
     dealt = rows.withColumn("own", own).withColumn("other", other)
     dealt = dealt.select("k", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "h", "n", "root", "own", "bits")
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(parts, "k", "low", "high").sortWithinPartitions("k", "low", "high").mapInArrow(test, "a long, b long")
+    return dealt.repartition(parts, "k", "low", "high").sortWithinPartitions("k", "low", "high").mapInArrow(lean(test), "a long, b long")
 
 
 def _near(pairs: DataFrame, bits: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, NON_WORD_BYTES, Words, column_bytes, fold, mix, pieces, stored
+from .common import CHUNK_BYTES, NON_WORD_BYTES, Words, column_bytes, fold, lean, mix, pieces, stored
 from .crf import Crf, batches, padded
 
 #: Labelled documents of each kind that training looks at, at most (the ones of least hash).
@@ -81,7 +81,7 @@ def vocabulary(chosen: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     n_bad, n_good = int(sizes.bad), int(sizes.n - sizes.bad)
     if not n_bad or not n_good:
         return np.zeros(0, np.uint64), np.zeros(0)
-    counts = chosen.select(F.col("text").cast("binary"), "toxic").mapInArrow(count, "key long, bad long, n long")
+    counts = chosen.select(F.col("text").cast("binary"), "toxic").mapInArrow(lean(count), "key long, bad long, n long")
     counts = counts.groupBy("key").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n")).where("bad >= 3")
     good = F.col("n") - F.col("bad")
     odds = F.log((F.col("bad") + 0.5) / (n_bad + 1.0)) - F.log((good + 0.5) / (n_good + 1.0))
@@ -174,7 +174,7 @@ def _training_stretches(chosen: DataFrame, model: Model) -> list:
                 labels = [label[a : a + n].astype(int).tolist() for a, n in zip(first.tolist(), lengths.tolist()) if n <= 64]
                 yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int64())), pa.array(labels, pa.list_(pa.int64()))], ["f", "y"])
 
-    runs = chosen.select(F.col("text").cast("binary"), "toxic").mapInArrow(cut, "f array<long>, y array<long>")
+    runs = chosen.select(F.col("text").cast("binary"), "toxic").mapInArrow(lean(cut), "f array<long>, y array<long>")
     return runs.groupBy("f", "y").count().orderBy(F.desc("count"), "f", "y").limit(STRETCHES).collect()
 
 
@@ -205,7 +205,7 @@ def train(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Model:
                 e, _, _ = m.evidence(w, high - low)
                 yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in e.T), batch.column(1).slice(low, high - low)], ["a", "b", "c", "d", "toxic"])
 
-    seen = chosen.select(F.col("text").cast("binary"), "toxic").mapInArrow(look, "a double, b double, c double, d double, toxic int").toPandas()
+    seen = chosen.select(F.col("text").cast("binary"), "toxic").mapInArrow(lean(look), "a double, b double, c double, d double, toxic int").toPandas()
     x, y = seen[["a", "b", "c", "d"]].to_numpy(), (seen["toxic"].to_numpy() > 0).astype(float)
     model.weights = _logistic(x, y) if len(y) else np.array([-30.0, 0, 0, 0])
     return model
@@ -257,4 +257,4 @@ def scores(docs: DataFrame, model: Model, spans: bool = False) -> DataFrame:
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
     schema = f"{fields}, toxic_score double" + (", toxic_spans array<struct<start:long,end:long,p:double>>" if spans else "")
     given = docs.select(*kept, F.coalesce("text", F.lit("")).cast("binary").alias("__bytes"))
-    return given.mapInArrow(tag, schema)
+    return given.mapInArrow(lean(tag), schema)
