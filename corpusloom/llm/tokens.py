@@ -11,7 +11,7 @@ import numpy as np
 from .common import CHUNK_BYTES, Words, column_bytes, mix, pieces
 
 #: Pieces a worker remembers (about 30 bytes each); it starts afresh when they are more.
-KEPT = 2_000_000
+KEPT = 400_000
 
 #: Marks that often end a word.
 ENDS = ".,;:!?"
