@@ -54,6 +54,34 @@ def test_blocks_of_items_are_united(spark, docs, monkeypatch):
     assert sorted(map(str, one)) == sorted(map(str, many)) and any(x.n_hit for x in one)
 
 
+def test_blocks_keep_rows_that_share_an_id(spark, docs, monkeypatch):
+    texts = [words(1, 80), words(2, 80), words(3, 80), words(1, 80), None, None]
+    frame = docs(texts, [4, 4, None, None, None, None])
+    items = items_frame(spark, [(1, words(1, 80)[:200]), (2, words(3, 80)[:200]), (3, words(2, 80)[60:300])])
+    one = positional.contamination(frame, items).collect()
+    monkeypatch.setattr(positional.phrase_blocks, "__defaults__", (7,))
+    many = positional.contamination(frame, items).collect()
+    assert sorted(map(str, one)) == sorted(map(str, many)) and len(many) == 6
+
+
+def test_items_without_words_do_not_end_the_search(spark, docs, monkeypatch):
+    text = words(6, 60)
+    items = spark.createDataFrame([(1, words(7, 20)), (2, " ." * 40), (3, " ." * 40), (4, text)], "item_id long, text string").coalesce(1)
+    monkeypatch.setattr(positional.phrase_blocks, "__defaults__", (8,))
+    row = positional.contamination(docs([text]), items).first()
+    assert row["items"] == ["4"] and row.n_hit == row.n_words == len(split(text))
+
+
+def test_long_items_are_cut_into_overlapping_runs(spark, docs, monkeypatch):
+    monkeypatch.setattr(positional, "CHUNK_BYTES", 50)
+    monkeypatch.setattr(positional, "RUN_WINDOWS", 4)
+    texts = [words(8, 120), words(8, 120)[33:300], "x" * 300 + " y", None]
+    items = [(1, words(8, 120)), (2, words(8, 120)[100:]), (3, "x" * 300 + " Y"), (4, "y")]
+    rows = {x.doc_id: x for x in positional.contamination(docs(texts), items_frame(spark, items), width=5).collect()}
+    for i, (n, hit, found) in enumerate(brute(texts, items, 5)):
+        assert (rows[i].n_words, rows[i].n_hit, rows[i]["items"]) == (n, hit, found)
+
+
 def test_proximity(spark, docs):
     texts = ["one two three four", "one x two three four", "one x x two three four", "four three two one", None]
     rows = positional.contamination(docs(texts), items_frame(spark, [(1, "one two three four")]), slop=1).collect()
