@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import packing, pii, positional, sketchjoin, toxicity
-from corpusloom.llm.common import small_batches, stored, without
+from corpusloom.llm.common import row_key, small_batches, stored, without
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,16 +24,25 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates the document of least doc_id; documents without words or id, and rows that share the kept id, all stay."""
+    """Of each class of near duplicates one row: that of least doc_id (null ids last), and of least row key among these.
+
+    Rows are told apart by all their columns, whatever their ids; of rows equal in all, one stays too. Documents without
+    words are in no class and all stay.
+    """
     small_batches(spark)
-    classes = sketchjoin.near_duplicates(docs)
-    return without(docs, classes.where("doc_id <> component_id"))
+    named = docs.withColumn("doc_id", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", row_key(docs).alias("key")))
+    classes = sketchjoin.near_duplicates(named).where("n_shingles > 0")
+    moved = F.col("doc_id.key") != F.col("component_id.key")
+    rows = classes.groupBy(F.col("doc_id.key").alias("key")).agg(F.max(moved).alias("gone"), F.count("*").alias("n"))
+    rows = stored(rows.where("gone OR n > 1"), "copies")
+    return without(docs, rows.where("gone"), rows.where("NOT gone"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which less than a twentieth of the words lie in benchmark windows."""
-    found = positional.contamination(docs, _table(spark, sf_dir, "benchmark"))
-    return without(docs, found.where(positional.is_contaminated(F.col("n_hit"), F.col("n_words"))))
+    """Rows of which less than a twentieth of the words lie in benchmark windows, whatever their ids."""
+    benchmark = _table(spark, sf_dir, "benchmark")
+    found = positional.contamination(docs.select(row_key(docs).alias("doc_id"), "text"), benchmark)
+    return without(docs, found.where(positional.is_contaminated(F.col("n_hit"), F.col("n_words"))).select(F.col("doc_id").alias("key")))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -241,12 +241,29 @@ def runs(doc: np.ndarray, values: np.ndarray, width: int, first: np.ndarray) ->
     return np.concatenate([full, whole]), np.concatenate([doc[starts], short])
 
 
-#: Ids that are sent to every task at most (8 bytes each); with more, rows are shuffled to them.
+#: Row keys that are sent to every task at most (8 bytes each); with more, rows are shuffled to them.
 IDS_SENT = 1_000_000
 
 
-def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """``docs`` but for those whose doc_id is in ``gone`` (null ids stay). Texts are only shuffled if ``gone`` is long."""
-    gone = stored(gone.where("doc_id IS NOT NULL").select("doc_id").distinct(), "gone")
-    few = gone.limit(IDS_SENT + 1).count() <= IDS_SENT
-    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)
+def row_key(docs: DataFrame) -> Column:
+    """A 64-bit hash of all columns and of which are null: rows of one key are equal, and it is the same in every run."""
+    return F.xxhash64(*docs.columns, *(F.col(c).isNull() for c in docs.columns))
+
+
+def without(docs: DataFrame, gone: DataFrame, once: DataFrame | None = None) -> DataFrame:
+    """``docs`` but for the rows whose ``row_key`` is in ``gone`` (key); of equal rows whose key is in ``once``, one stays.
+
+    Texts are only shuffled for the rows in ``once`` and if a list is long.
+    """
+
+    def listed(keys: DataFrame) -> tuple[DataFrame, int]:
+        keys = stored(keys.select(F.col("key").alias("__row")).distinct(), "rows")
+        n = keys.limit(IDS_SENT + 1).count()
+        return F.broadcast(keys) if n <= IDS_SENT else keys, n
+
+    keyed = docs.withColumn("__row", row_key(docs))
+    rest = keyed.join(listed(gone if once is None else gone.select("key").unionByName(once.select("key")))[0], "__row", "left_anti").select(*docs.columns)
+    if once is None:
+        return rest
+    single, n = listed(once)
+    return rest.unionByName(keyed.join(single, "__row", "left_semi").dropDuplicates(["__row"]).select(*docs.columns)) if n else rest

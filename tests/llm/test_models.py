@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from corpusloom.llm import packing, pii, positional, pst, toolcalls
@@ -167,3 +168,18 @@ def test_pipeline_stages_equal_brute_force(spark, docs, tmp_path):
     assert {x.doc_id for x in packed} == set(kept[3])
     assert sum(x.length for x in packed) == sum(x.doc_tokens for x in {x.doc_id: x for x in packed}.values())
     assert (positional, pii, packing, np) and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_pipeline_drops_rows_not_ids(spark, docs, tmp_path):
+    item = words(500, 40)
+    texts = [words(1, 60), words(1, 60), words(2, 60), words(3, 60), words(3, 60), words(3, 60), words(4, 60), item, words(5, 60), None, None, words(6, 60)]
+    ids = [1, 2, 2, None, None, None, 5, 5, 5, None, None, None]
+    frame = docs(texts, ids).withColumn("lang", F.when(F.col("text") == texts[0], F.concat("lang", F.col("doc_id").cast("string"))).otherwise(F.col("lang")))
+    frame = frame.unionByName(docs([words(6, 60) + " end", words(4, 60)], [9, 5]))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = corpus_pipeline.drop_near_duplicates(spark, frame, str(tmp_path))
+    assert out.columns == frame.columns
+    kept = [(1, texts[0]), (2, texts[2]), (None, texts[3]), (5, texts[6]), (5, item), (5, texts[8]), (None, None), (None, None), (9, texts[11] + " end")]
+    assert sorted(map(str, kept)) == sorted(str((x.doc_id, x.text)) for x in out.collect())
+    out = corpus_pipeline.drop_contaminated(spark, frame, str(tmp_path)).collect()
+    assert len(out) == 13 and item not in {x.text for x in out}
