@@ -134,9 +134,8 @@ def described(docs: DataFrame) -> DataFrame:
     return _texts(docs, "doc_id").mapInArrow(lean(look), f"doc_id {kind}, n long, h long, bits array<long>, e0 int, e1 int, e2 int")
 
 
-#: A part's key within its shard: 38 bits of hash and 2 of the kind of instance, then 40 bits of the set's hash.
-ENTRY = 10
-SET_BITS = np.uint64(24)
+#: A part's key within its shard: 38 bits of hash and 2 of the kind of instance, then the 64 bits of the set's hash.
+ENTRY = 13
 
 
 def part_entries(docs: DataFrame, shards: int) -> DataFrame:
@@ -154,7 +153,7 @@ def part_entries(docs: DataFrame, shards: int) -> DataFrame:
             shard = shard[by]
             row = np.zeros((len(by), ENTRY), np.uint8)
             row[:, :5] = ((keys[by] >> np.uint64(26) << np.uint64(2)) | tags[by]).astype(">u8").view(np.uint8).reshape(-1, 8)[:, 3:]
-            row[:, 5:] = (sets[by] >> SET_BITS).astype(">u8").view(np.uint8).reshape(-1, 8)[:, 3:]
+            row[:, 5:] = sets[by].astype(">u8").view(np.uint8).reshape(-1, 8)
             start = np.flatnonzero(np.append(True, shard[1:] != shard[:-1]))
             ends = np.append(start, len(shard)).astype(np.int32) * ENTRY
             blob = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(row.tobytes())])
@@ -185,7 +184,7 @@ def part_entries(docs: DataFrame, shards: int) -> DataFrame:
 
 
 def shared_parts(entries: DataFrame) -> DataFrame:
-    """(k, tag, s, c): parts that several sets have, each such set (40 bits of its hash) and how many there are."""
+    """(k, tag, s, c): parts that several sets have, each such set (its hash) and how many there are."""
 
     def group(key, table):
         import pyarrow as pa
@@ -195,8 +194,7 @@ def shared_parts(entries: DataFrame) -> DataFrame:
         wide = np.zeros((len(raw), 8), np.uint8)
         wide[:, 3:] = raw[:, :5]
         keys = wide.view(">u8").ravel().astype(np.uint64)
-        wide[:, 3:] = raw[:, 5:]
-        sets = wide.view(">u8").ravel().astype(np.uint64)
+        sets = np.ascontiguousarray(raw[:, 5:]).view(">u8").ravel().astype(np.uint64)
         by = np.argsort(keys, kind="stable")
         keys, sets = keys[by], sets[by]
         some = np.zeros(len(keys), bool)
@@ -334,7 +332,7 @@ def _rarest(shared: DataFrame, classes: DataFrame) -> DataFrame:
     filled = F.when(F.col("tag") == 0, F.col("e0")).when(number == band, F.col("e2")).otherwise(F.col("e1"))
     by_set = Window.partitionBy("s", "tag")
     sums = shared.groupBy("s", "tag").agg(F.count("*").alias("many"), F.sum("c").alias("heft"))
-    keyed = classes.select("h", "n", "e0", "e1", "e2", F.shiftrightunsigned("h", 24).alias("s"))
+    keyed = classes.select("h", "n", "e0", "e1", "e2", F.col("h").alias("s"))
     # a set with more unshared parts than it can have differences needs none of its shared ones
     few = sums.join(keyed, "s").withColumn("keep", (reach + 1 - F.greatest(F.lit(0), filled - F.col("many"))).cast("int")).where("keep > 0")
     few = few.select("s", "tag", "h", "n", "heft", "keep")

@@ -69,6 +69,13 @@ def test_small_groups_and_blocks(docs, monkeypatch):
     assert [rows[i] for i in range(len(texts))] == brute(texts)
 
 
+def test_parts_name_sets_by_their_whole_hash(docs):
+    frame = docs(varied(4, 20))
+    hashes = {x.h for x in sketchjoin.described(frame).where("n > 0").collect()}
+    named = {x.s for x in sketchjoin.shared_parts(sketchjoin.part_entries(frame, 7)).collect()}
+    assert len(named) > 20 and named <= hashes
+
+
 def test_sketches_bound_the_difference():
     r = random.Random(5)
     for n in list(range(1, 70)) + [97, 192, 193, 500]:
