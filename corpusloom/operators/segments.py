@@ -185,6 +185,35 @@ def missing_counts(segments: DataFrame) -> DataFrame:
     )
 
 
+def missing_lines(segments: DataFrame) -> DataFrame:
+    """The missing report as ordered lines: counts, unique pairs, distinct ids and the full list."""
+    rows = missing_rows(segments).withColumn("transcript_id", F.coalesce("transcript_id", F.lit("")))
+    heads = [
+        (0, F.concat(F.lit("Total segments with canon_id but empty canon_content: "), F.col("segments").cast("string"))),
+        (1, F.lit("")),
+        (2, F.lit("Unique (canon_id, transcript_id) pairs — tab-separated columns:")),
+        (3, F.concat(F.lit("Count: "), F.col("pairs").cast("string"))),
+        (4, F.lit("canon_id\ttranscript_id")),
+        (6, F.lit("")),
+        (7, F.concat(F.lit("Distinct canon_id only (count "), F.col("canon_ids").cast("string"), F.lit("):"))),
+        (9, F.lit("")),
+        (10, F.lit("--- Full segment list (tab-separated) ---")),
+        (11, F.lit("json_file\tsegment_index\ttranscript_id\tcanon_id")),
+    ]
+    head = missing_counts(segments).select(F.explode(F.array(*[F.struct(F.lit(i).alias("ord"), line.alias("line")) for i, line in heads])).alias("h")).select("h.ord", "h.line")
+
+    def part(df: DataFrame, number: int, line: Column, a: str = "", n: Column | None = None, b: str = "") -> DataFrame:
+        named = lambda c: F.col(c) if c else F.lit("")
+        return df.select(F.lit(number).alias("ord"), named(a).alias("a"), (F.lit(0) if n is None else n).cast("bigint").alias("n"), named(b).alias("b"), line.alias("line"))
+
+    tabbed = lambda *names: F.concat_ws("\t", *[F.col(c).cast("string") for c in names])
+    lines = head.select("ord", F.lit("").alias("a"), F.lit(0).cast("bigint").alias("n"), F.lit("").alias("b"), "line")
+    lines = lines.unionByName(part(missing_pairs(segments), 5, tabbed("canon_id", "transcript_id"), "canon_id", None, "transcript_id"))
+    lines = lines.unionByName(part(rows.select("canon_id").distinct(), 8, F.col("canon_id"), "canon_id"))
+    lines = lines.unionByName(part(rows, 12, tabbed("json_file", "segment_index", "transcript_id", "canon_id"), "json_file", F.col("segment_index"), "transcript_id"))
+    return lines.orderBy("ord", "a", "n", "b").select("line")
+
+
 def fill_simple(rows: DataFrame, canon: DataFrame, spread: str | list[str]) -> DataFrame:
     """Id and canon text per row by the plain rules: longer lead, no strict pass, no support check."""
     tid = infer_id("transcript_content", chars=K.LEAD_CHARS_SIMPLE, strict_first=False)

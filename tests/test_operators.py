@@ -389,3 +389,16 @@ def test_turns_of_one_time_keep_their_line_order(spark):
     index = spark.createDataFrame([], "id string, title string, updated_ts bigint")
     assert C.upsert_index(index, fit).first().title == "first"
     assert [r.q for r in C.conversation_messages(turns, uid).collect()] == ["first", "second", "late"]
+
+
+def test_missing_report_lines(spark):
+    from corpusloom.operators import segments
+
+    rows = [("b.json", 2, "1.1", "an1.1", ""), ("a.json", 10, " ", "an1.2", None), ("a.json", 9, "1.1", "an1.1", " "), ("a.json", 1, "1.3", "an1.3", "text"), ("a.json", 2, "x", "", "")]
+    frame = spark.createDataFrame(rows, "json_file string, segment_index int, transcript_id string, canon_id string, canon_content string")
+    assert [r.line for r in segments.missing_lines(frame).collect()] == [
+        "Total segments with canon_id but empty canon_content: 3", "",
+        "Unique (canon_id, transcript_id) pairs — tab-separated columns:", "Count: 2", "canon_id\ttranscript_id", "an1.1\t1.1", "an1.2\t(empty)", "",
+        "Distinct canon_id only (count 2):", "an1.1", "an1.2", "",
+        "--- Full segment list (tab-separated) ---", "json_file\tsegment_index\ttranscript_id\tcanon_id", "a.json\t9\t1.1\tan1.1", "a.json\t10\t\tan1.2", "b.json\t2\t1.1\tan1.1",
+    ]
