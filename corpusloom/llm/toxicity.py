@@ -20,6 +20,8 @@ from .crf import Crf, batches, padded
 SAMPLE = 6000
 #: Terms of the vocabulary, stretches of training, at most (the strongest, the most frequent).
 TERMS, STRETCHES = 5000, 20_000
+#: Words of a stretch that training holds together; a longer one is trained on in pieces.
+PIECE = 64
 #: Bytes of a word's beginnings that count as terms of their own.
 PREFIXES = (4, 5, 6)
 #: Least likelihood ratio (G squared) and log-odds of a term, log-odds of a word that is labelled toxic.
@@ -170,8 +172,9 @@ def _training_stretches(chosen: DataFrame, model: Model) -> list:
                 may, features, odds = m.features(w)
                 label = (odds >= TOXIC_ODDS) & (toxic[low + w.doc[may]] > 0)
                 first, lengths = m.stretches(may, w.doc)
-                rows = [features[a : a + n].ravel().tolist() for a, n in zip(first.tolist(), lengths.tolist()) if n <= 64]
-                labels = [label[a : a + n].astype(int).tolist() for a, n in zip(first.tolist(), lengths.tolist()) if n <= 64]
+                cuts = [(at, min(at + PIECE, a + n)) for a, n in zip(first.tolist(), lengths.tolist()) for at in range(a, a + n, PIECE)]
+                rows = [features[a:b].ravel().tolist() for a, b in cuts]
+                labels = [label[a:b].astype(int).tolist() for a, b in cuts]
                 yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int64())), pa.array(labels, pa.list_(pa.int64()))], ["f", "y"])
 
     runs = chosen.select(F.col("text").cast("binary"), "toxic").mapInArrow(lean(cut), "f array<long>, y array<long>")

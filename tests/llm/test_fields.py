@@ -2,10 +2,12 @@ import itertools
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 
 from corpusloom.llm import pii, toxicity
+from corpusloom.llm.common import word_hash
 from corpusloom.llm.crf import Crf, batches, padded
 from llm_samples import edge_texts, words
 
@@ -142,3 +144,18 @@ def test_toxicity_without_labels_and_with_odd_rows(spark, docs):
     assert all(0 <= r.toxic_score < 0.5 for r in rows) and len(rows) == 3
     some = toxicity.train(docs(["a b", "c d"]), labels_frame(spark, [1, 1, None, 0], [0, 0, 1, None]))
     assert 0 <= toxicity.scores(docs(["a b"]), some).first().toxic_score <= 1
+
+
+def test_long_stretches_are_trained_on_in_pieces(spark):
+    model = toxicity.Model(*toxicity_terms(["bad", "worse"]), np.zeros((toxicity.Model.N_FEATURES, 2)), np.zeros((2, 2)), np.zeros(4))
+    texts = [("bad worse " * 75, 1), ("bad " * 64, 1), ("a bad end", 0), ("worse " * 65, 0)]
+    rows = toxicity._training_stretches(spark.createDataFrame(texts, "text string, toxic int"), model)
+    seen = Counter()
+    for r in rows:
+        seen[len(r.y), max(r.y)] += r["count"]
+    assert seen == {(64, 1): 3, (22, 1): 1, (1, 0): 2, (64, 0): 1}
+
+
+def toxicity_terms(terms):
+    keys = np.sort(word_hash([t.encode() for t in terms]))
+    return keys, np.full(len(keys), 3.0)
