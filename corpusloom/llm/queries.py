@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitpack, packing, pii, positional, pst, repeats, sketchjoin, spotsigs, toolcalls, toxicity
+from . import bitpack, packing, pii, positional, pst, repeats, sketchjoin, spotsigs, toolcalls, toxicity, urlrules
 from .common import fold, small_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -160,3 +160,35 @@ def tool_calls(spark, sf_dir):
     schemas = spark.createDataFrame(TOOLS, "name string, field string, kind string, required boolean, low double, high double")
     linked = toolcalls.link(calls, results, schemas)
     return linked.withColumn("errors", F.array_join("errors", ", "))
+
+
+#: Rules of the URL filter: host, path, verdict.
+URL_RULES = [
+    ("org", "/", "allow"),
+    ("example.org", "/es/", "block"),
+    ("example.org", "/en/1", "block"),
+    ("com", "/fr/", "allow"),
+    ("com", "/de/", "block"),
+]
+
+OP13_SQL = """
+WITH rules(h, p, v) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'),
+                               ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+rests AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+cut AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM rests),
+fits AS (
+  SELECT c.page_id, max_by(r.h || r.p, length(r.h || r.p)) AS rule, max_by(r.v, length(r.h || r.p)) AS verdict
+  FROM cut c JOIN rules r ON (c.host = r.h OR ends_with(c.host, '.' || r.h)) AND starts_with(c.path, r.p)
+  GROUP BY c.page_id)
+SELECT c.page_id, c.host, c.path, f.rule, coalesce(f.verdict, 'allow') AS verdict FROM cut c LEFT JOIN fits f USING (page_id)
+"""
+
+
+@query("op13_url_rules", OP13_SQL)
+def url_rules(spark, sf_dir):
+    """Verdict of the longest rule on every page's URL, by a sort-merge sweep over reversed-host keys."""
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return urlrules.judged(table(spark, sf_dir, "pages"), rules)
