@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitpack, packing, pii, positional, pst, repeats, sketchjoin, spotsigs, toolcalls, toxicity, urlrules
+from . import bitpack, packing, pii, positional, pst, repeats, sketchjoin, spotsigs, squares, toolcalls, toxicity, urlrules
 from .common import fold, small_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -192,3 +192,39 @@ def url_rules(spark, sf_dir):
     """Verdict of the longest rule on every page's URL, by a sort-merge sweep over reversed-host keys."""
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return urlrules.judged(table(spark, sf_dir, "pages"), rules)
+
+
+def damaged_words(docs):
+    """``docs`` (doc_id, text) with the words of every tenth document, by hash of its id, repeating from some word on."""
+    h = fold()
+    g = F.floor(h / 10)
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+", -1), lambda w: w != "")
+    planted = F.coalesce((h % 10 == 0) & (F.size("words") > 0), F.lit(False))
+    n = F.size("words").cast("long")
+    first = g % n
+    period = 1 + F.floor((n - first) / (3 + g % 8))
+    place = lambda i: F.when(i < F.col("first"), i).otherwise(F.col("first") + (i - F.col("first")) % F.col("period"))
+    repeated = F.array_join(F.transform("words", lambda _, i: F.get("words", place(i.cast("long")).cast("int"))), " ")
+    cut = docs.select("doc_id", "text", F.when(h % 10 == 0, words).alias("words"))
+    at = cut.select("*", planted.alias("planted"), F.when(planted, first).alias("first"), F.when(planted, period).alias("period"))
+    return at.select("doc_id", F.when(F.col("planted"), repeated).otherwise(F.col("text")).alias("text"))
+
+
+@query("op12_periodic_runs")
+def periodic_runs(spark, sf_dir):
+    """Maximal runs of repeating words in every text, by square catchers over power-of-two blocks."""
+    found = squares.periodic_runs(damaged_words(table(spark, sf_dir, "documents")))
+    key = lambda r: F.struct(r.length.alias("length"), (-r.start).alias("start"), (-r.period).alias("period"))
+    best = F.array_max(F.transform("runs", key))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(r.start.cast("string"), F.lit(","), r.length.cast("string"), F.lit(","), r.period.cast("string"), F.lit("\n"))), "")
+    found = found.select("doc_id", "runs", "collapsed", best.alias("best"))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("best.start")).alias("start"),
+        F.col("best.length").alias("length"),
+        (-F.col("best.period")).alias("period"),
+        F.floor(1000 * F.col("best.length") / -F.col("best.period")).alias("exponent_milli"),
+        F.sha2(lines.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
