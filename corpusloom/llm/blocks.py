@@ -22,3 +22,9 @@ def carried(tails: DataFrame, value: str) -> DataFrame:
     """(block, before): the latest ``value`` that is not null among earlier blocks; ``tails`` has one row per block."""
     earlier = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     return tails.select("block", F.last(value, ignorenulls=True).over(earlier).alias("before"))
+
+
+def ordered_rows(rows: DataFrame, keys: list, what: str) -> DataFrame:
+    """``rows`` sorted by ``keys``, with ``block`` and ``at``: a number that grows with the order, by one inside a block."""
+    ranged = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    return stored(ranged.withColumns({"block": F.spark_partition_id(), "at": F.monotonically_increasing_id()}), what)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitpack, packing, pii, positional, pst, repeats, sketchjoin, spotsigs, squares, toolcalls, toxicity, urlrules
+from . import bitpack, conversation_repair, packing, pii, positional, pst, repeats, sketchjoin, spotsigs, squares, toolcalls, toxicity, urlrules
 from .common import fold, small_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -228,3 +228,27 @@ def periodic_runs(spark, sf_dir):
         F.sha2(lines.cast("binary"), 256).alias("runs_sha256"),
         F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
     )
+
+
+def damaged_turns(turns):
+    """``turns`` with faults dealt by a hash of conversation and turn; nulls become one blank."""
+    text_of = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    h = F.crc32(F.concat(text_of("conv_id"), F.lit(":"), text_of("turn")).cast("binary")) % 20
+    text = F.when(h == 1, "").when(h == 2, F.translate(text_of("text"), ".!?", "")).otherwise(text_of("text"))
+    copies = F.explode(F.sequence(F.lit(1), F.when(h == 3, 2).otherwise(1)))
+    rows = turns.where(h != 0).select("conv_id", "turn", F.when(h == 4, "user").otherwise(text_of("role")).alias("role"), text.alias("text"), copies.alias("copy"))
+    return rows.drop("copy")
+
+
+@query("op11_conversation_repair")
+def conversation_repair_(spark, sf_dir):
+    """Damaged conversations: their faults, the cheapest edits that repair them, and a digest of the repaired turns."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    report, repaired = conversation_repair.repair(damaged_turns(turns))
+    hashed = conversation_repair.digests(repaired)
+    all_ = turns.select("conv_id").distinct()
+    same = lambda other: F.col("conv_id").eqNullSafe(F.col(other))
+    joined = all_.join(report.withColumnRenamed("conv_id", "told"), same("told"), "left").join(hashed.withColumnRenamed("conv_id", "hashed"), same("hashed"), "left")
+    numbers = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    empty = F.sha2(F.lit("").cast("binary"), 256)
+    return joined.select("conv_id", *numbers, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", empty).alias("repaired_sha256"))
