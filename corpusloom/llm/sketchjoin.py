@@ -9,9 +9,12 @@ verified on the whole sets.
 
 Sets are joined, not documents: equal sets are one class from the start, however many documents it has. Of a group of
 sets that share a part, one pivot, whose parts are shared most, is compared with the others, and components are formed.
-In groups that still hold several components, sets of different ones are tested by wider sketches, two blocks of a
-group in a task, and only those whose sketches are near enough come out and are verified. So no group emits all its
-pairs, and no link between different components is lost.
+In groups that still hold several components, sets of different ones are tested by sketches of single bits, two blocks
+of a group in a task. A size band's sketch has at least four times as many bits as similar sets of it can have
+differences, so unrelated sets are told apart at every size. Of the sets that are near enough, each first offers the
+nearest only; these are verified, components are formed anew, and the next nearest follow, four times as many a
+round, until none in another component is left. So no group emits all its pairs, and no link between different
+components is lost.
 """
 
 from __future__ import annotations
@@ -29,12 +32,13 @@ from .common import BASE, CHUNK_BYTES, SPACE_BYTES, Words, column_bytes, groups_
 WIDTH, NUM, DEN = 5, 3, 4
 #: Parts per possible difference; more for small sets, whose parts are often empty.
 SPARE, SMALL, SPARE_SMALL = 1.25, 64, 4
-#: Bits of the sketch that candidate pairs are tested by before their sets are met.
-SKETCH = 512
+#: Bits of a sketch per possible difference of its band: candidate pairs are tested by it before their sets are met.
+BITS = 4
 #: Wanted sets whose keys are sent to every task (8 bytes each); with more, all sets are shuffled and semi-joined.
 KEYS_SENT = 1_000_000
-#: Sets of one block of a group in the second round.
-GROUP = 1024
+#: Sets of one block of a group in the later rounds; how many times more candidates each may offer a round later; words
+#: of sketches that are compared at once.
+GROUP, MORE, AT_ONCE = 1024, 4, 1 << 20
 
 
 def most_apart(a, b):
@@ -65,6 +69,27 @@ def instances(n: np.ndarray) -> list[SimpleNamespace]:
     return out
 
 
+def sketch_words(n: np.ndarray) -> np.ndarray:
+    """64-bit words of the sketch of sets of ``n`` shingles: a power of two, the same for a size band."""
+    band = np.maximum(0, np.ceil(np.log2(np.maximum(n, 1) / 3) - 1e-9)).astype(np.int64)
+    r = 3 << band
+    bits = BITS * np.maximum(1, most_apart(r, r * DEN // NUM))
+    return 1 << np.maximum(0, np.ceil(np.log2(bits / 64) - 1e-9)).astype(np.int64)
+
+
+def sketches(s: SimpleNamespace) -> tuple[np.ndarray, np.ndarray]:
+    """The sketches of several sets end to end, and where each begins (docs + 1 entries): bit i is the parity of the
+    shingles whose hash is i modulo the sketch's bits, so a sketch folds into one of half the bits by XOR of its halves."""
+    words = sketch_words(s.n)
+    first = np.append(0, np.cumsum(words))
+    place = mix(s.value + np.uint64(3)) & (words[s.doc].astype(np.uint64) * np.uint64(64) - np.uint64(1))
+    at = first[s.doc].astype(np.uint64) * np.uint64(64) + place
+    odd = np.zeros(int(first[-1]) * 64, np.uint8)
+    at, times = np.unique(at, return_counts=True)
+    odd[at.astype(np.int64)] = times & 1
+    return np.packbits(odd.reshape(-1, 64), axis=1).view(np.int64).ravel(), first
+
+
 def shingle_sets(data: np.ndarray, borders: np.ndarray) -> SimpleNamespace:
     """Distinct shingles (54-bit values, sorted) of up to 1024 documents, their document, sizes and set hashes."""
     docs = len(borders) - 1
@@ -122,9 +147,8 @@ def described(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for a, b, s in _chunks(batch, 1):
                 held = [np.bincount(doc, minlength=b - a) for _, doc, _ in parities(s, np.ones(b - a, bool))]
-                odd = np.bincount(s.doc * SKETCH + (mix(s.value + np.uint64(3)) >> np.uint64(32)).astype(np.int64) % SKETCH, minlength=(b - a) * SKETCH) & 1
-                words = np.packbits(odd.astype(np.uint8).reshape(-1, 64), axis=1).view(np.int64).ravel()
-                bits = pa.FixedSizeListArray.from_arrays(pa.array(words), SKETCH // 64).cast(pa.list_(pa.int64()))
+                words, first = sketches(s)
+                bits = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(words))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, b - a), pa.array(s.n.astype(np.int64)), pa.array(s.whole.view(np.int64)), bits, *(pa.array(e.astype(np.int32)) for e in held)],
                     ["doc_id", "n", "h", "bits", "e0", "e1", "e2"],
@@ -355,71 +379,143 @@ def _roots(docs: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame |
     roots = components(links)
     named = now.join(roots, "h", "left").withColumn("root", F.coalesce("root", "h"))
     mixed = named.groupBy("k").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("c")).where("x <> y").select("k", "c")
-    open_ = named.join(mixed, "k").join(bits, "h").select("k", "h", "n", "root", "bits", F.ceil(F.col("c") / GROUP).cast("int").alias("blocks"))
-    near = _near_in_groups(open_).distinct().join(tried, ["a", "b"], "left_anti")
-    more = stored(verified(stored(near, "pairs"), sets), "found")
-    return components(links.unionByName(more)) if more.limit(1).count() else roots
+    open_ = named.join(mixed, "k").join(bits, "h").select("k", "h", "n", "root", F.col("root").alias("now"), "bits", F.ceil(F.col("c") / GROUP).cast("int").alias("blocks"))
+    open_ = stored(open_, "open")
+    low, high, found = 0, 1, []
+    while True:
+        offers = stored(_offers(open_, low, high).distinct(), "pairs")
+        pairs = offers.where("a IS NOT NULL").join(tried, ["a", "b"], "left_anti")
+        new = stored(verified(pairs, sets), "found")
+        merged = new.limit(1).count() > 0
+        if merged:
+            found.append(new)
+        if not offers.where("a IS NULL").limit(1).count():
+            break
+        if merged:
+            by_root = offers.where("a IS NOT NULL").join(new, ["a", "b"]).select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
+            moved = components(by_root).select(F.col("h").alias("now"), F.col("root").alias("into"))
+            open_ = open_.join(moved, "now", "left").withColumn("now", F.coalesce("into", "now")).drop("into")
+            still = open_.groupBy("k").agg(F.min("now").alias("x"), F.max("now").alias("y")).where("x <> y").select("k")
+            open_ = stored(open_.join(still, "k", "left_semi"), "open")
+        low, high = high, high * MORE + 1
+    for new in found:
+        links = links.unionByName(new)
+    return components(links) if found else roots
+
+
+def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Differing bits of all pairs of sketches of one width (rows of words)."""
+    rows = max(1, AT_ONCE // max(1, y.size))
+    out = np.zeros((len(x), len(y)), np.int64)
+    for a in range(0, len(x), rows):
+        out[a : a + rows] = np.bitwise_count(x[a : a + rows, None] ^ y[None]).sum(axis=2)
+    return out
 
 
-def _near_in_groups(rows: DataFrame) -> DataFrame:
-    """(a, b): pairs of a group's sets whose sketches are as near as similar sets' must be, and whose roots differ.
+def _offers(rows: DataFrame, low: int, high: int) -> DataFrame:
+    """Pairs of a group's sets, of different components now, whose sketches are as near as those of similar sets must be.
 
-    A group of many blocks is spread over tasks by pairs of blocks; a task holds two blocks. Only near pairs come out.
+    (a, b, root_a, root_b); of a set's candidates in its block (those of other components at first, nearest first) the
+    pairs whose number, with either of the two, is ``low`` or more and under ``high``. A row of nulls says that others
+    follow. A group of many blocks is spread over tasks by pairs of blocks; a task holds two blocks.
     """
 
     def test(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         def table(batch):
-            bits = batch.column(7)
-            words = np.asarray(bits.flatten()).view(np.uint64).reshape(-1, SKETCH // 64)
-            return [np.asarray(batch.column(i)) for i in range(7)] + [words]
-
-        def pairs(g) -> tuple[np.ndarray, np.ndarray]:
-            h, n, root, own, low, high, bits = g[3], g[4], g[5], g[6], g[1][0], g[2][0], g[7]
-            left, right = np.flatnonzero(own == low), np.flatnonzero(own == high)
-            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for at in range(0, len(left), 64):
-                x = left[at : at + 64]
-                ok = root[x][:, None] != root[right][None]
-                if low == high:
-                    ok &= x[:, None] < right[None]
-                i, j = np.nonzero(ok)
-                i, j = x[i], right[j]
-                small, great = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-                fit = small * DEN >= great * NUM
-                i, j = i[fit], j[fit]
-                apart = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1)
-                near = apart <= most_apart(n[i], n[j])
-                a.append(np.maximum(h[i[near]], h[j[near]]))
-                b.append(np.minimum(h[i[near]], h[j[near]]))
-            return np.concatenate(a), np.concatenate(b)
+            bits = batch.column(8)
+            words = np.asarray(bits.flatten()).view(np.uint64)
+            sizes = np.diff(np.asarray(bits.offsets).astype(np.int64))
+            return [np.asarray(batch.column(i)) for i in range(8)] + [np.array(np.split(words, np.cumsum(sizes)[:-1]) + [None], object)[:-1]]
+
+        def candidates(n, root, left, right, bits):
+            """Near pairs (numbers of the sets) and their differing bits, size band by size band."""
+            width = np.array([len(w) for w in bits])
+            out = [np.zeros((3, 0), np.int64)]
+            for w in np.unique(width):
+                for v in (w // 2, w, 2 * w):
+                    x, y = left[width[left] == w], right[width[right] == v]
+                    if not len(x) or not len(y):
+                        continue
+                    p, q = np.stack(bits[x]), np.stack(bits[y])
+                    if v > w:
+                        q = q[:, :w] ^ q[:, w:]
+                    elif v < w:
+                        p = p[:, :v] ^ p[:, v:]
+                    apart = _apart(p, q)
+                    most = most_apart(n[x][:, None], n[y][None])
+                    small, great = np.minimum(n[x][:, None], n[y][None]), np.maximum(n[x][:, None], n[y][None])
+                    i, j = np.nonzero((apart <= most) & (small * DEN >= great * NUM) & (root[x][:, None] != root[y][None]))
+                    out.append(np.stack([x[i], y[j], apart[i, j]]))
+            return np.concatenate(out, axis=1)
+
+        def number(own, apart, other):
+            """The place of each pair among those of ``own``, nearest first."""
+            by = np.lexsort((other, apart, own))
+            first = np.append(True, own[by][1:] != own[by][:-1])
+            start = np.maximum.accumulate(np.where(first, np.arange(len(by)), 0))
+            place = np.zeros(len(by), np.int64)
+            place[by] = np.arange(len(by)) - start
+            return place
+
+        def pairs(g):
+            h, n, root, now, own, bits = g[3], g[4], g[5], g[6], g[7], g[8]
+            left, right = np.flatnonzero(own == g[1][0]), np.flatnonzero(own == g[2][0])
+            i, j, apart = candidates(n, root, left, right, bits)
+            if g[1][0] == g[2][0]:
+                i, j, apart = i[i < j], j[i < j], apart[i < j]
+                # a set is on either side here
+                both = number(np.append(i, j), np.append(apart, apart), h[np.append(j, i)])
+                place = np.minimum(both[: len(i)], both[len(i) :])
+            else:
+                place = np.minimum(number(i, apart, h[j]), number(j, apart, h[i]))
+            other = now[i] != now[j]
+            take = other & (place >= low) & (place < high)
+            i, j = i[take], j[take]
+            swap = h[i] < h[j]
+            i, j = np.where(swap, j, i), np.where(swap, i, j)
+            return h[i], h[j], now[i], now[j], bool((other & (place >= high)).any())
+
+        def out(groups):
+            found = [pairs(g) for g in groups]
+            columns = [pa.array(np.concatenate([f[c] for f in found])) for c in range(4)]
+            if any(f[4] for f in found):
+                columns = [pa.concat_arrays([c, pa.nulls(1, pa.int64())]) for c in columns]
+            return pa.RecordBatch.from_arrays(columns, ["a", "b", "root_a", "root_b"])
 
         held = None
         for batch in batches:
+            if not batch.num_rows:
+                continue
             new = table(batch)
             held = new if held is None else [np.concatenate(x) for x in zip(held, new)]
             key = np.stack(held[:3])
             cuts = np.append(0, np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1)
-            out = [pairs([c[a:b] for c in held]) for a, b in zip(cuts[:-1], cuts[1:])]
+            whole = [[c[a:b] for c in held] for a, b in zip(cuts[:-1], cuts[1:])]
             held = [c[cuts[-1] :] for c in held]
-            if out:
-                a, b = (np.concatenate(x) for x in zip(*out))
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            if whole:
+                yield out(whole)
         if held is not None and len(held[0]):
-            a, b = pairs(held)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            yield out([held])
 
     own = F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = rows.withColumn("own", own).withColumn("other", other)
-    dealt = dealt.select("k", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "h", "n", "root", "own", "bits")
+    dealt = dealt.select("k", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "h", "n", "root", "now", "own", "bits")
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(parts, "k", "low", "high").sortWithinPartitions("k", "low", "high").mapInArrow(lean(test), "a long, b long")
+    return dealt.repartition(parts, "k", "low", "high").sortWithinPartitions("k", "low", "high").mapInArrow(lean(test), "a long, b long, root_a long, root_b long")
 
 
 def _near(pairs: DataFrame, bits: DataFrame) -> DataFrame:
     """Those of ``pairs`` (a, b, sum of sizes) whose sketches differ in no more bits than similar sets may in shingles."""
     left, right = (bits.select(F.col("h").alias(x), F.col("bits").alias(f"bits_{x}")) for x in "ab")
-    apart = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("long")), F.lit(0).cast("long"), lambda n, x: n + x)
+
+    def folded(own, other):
+        half = F.size(own) / 2
+        halves = F.zip_with(F.slice(own, 1, half.cast("int")), F.slice(own, (half + 1).cast("int"), half.cast("int")), lambda x, y: x.bitwiseXOR(y))
+        return F.when(F.size(own) > F.size(other), halves).otherwise(own)
+
+    both = F.zip_with(folded(F.col("bits_a"), F.col("bits_b")), folded(F.col("bits_b"), F.col("bits_a")), lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("long"))
+    apart = F.aggregate(both, F.lit(0).cast("long"), lambda n, x: n + x)
     return pairs.join(left, "a").join(right, "b").where(apart <= F.floor(F.col("sum") * (DEN - NUM) / (DEN + NUM) + 1e-9)).select("a", "b")

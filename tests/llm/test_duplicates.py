@@ -76,6 +76,46 @@ def test_parts_name_sets_by_their_whole_hash(docs):
     assert len(named) > 20 and named <= hashes
 
 
+def one_group(docs, texts, blocks=1):
+    """All texts' sets as one group of sets that share a part, each its own component."""
+    F = sketchjoin.F
+    sets = sketchjoin.described(docs(texts)).where("n > 0").dropDuplicates(["h"])
+    return sets.select(F.lit(1).cast("long").alias("k"), "h", F.col("n").cast("long").alias("n"), F.col("h").alias("root"), F.col("h").alias("now"), "bits", F.lit(blocks).alias("blocks"))
+
+
+@pytest.mark.parametrize("blocks", [1, 3])
+def test_unrelated_long_sets_of_one_group_are_told_apart(docs, blocks):
+    texts = [" ".join(f"w{(i * 7919 + k * 104729) % 999983}" for k in range(1100 + 13 * (i % 40))) for i in range(200)]
+    group = one_group(docs, texts, blocks)
+    assert group.count() == 200 and group.agg(sketchjoin.F.min("n")).first()[0] > 1000
+    assert sketchjoin._offers(group, 0, 1).collect() == []
+
+
+@pytest.mark.parametrize("blocks", [1, 4])
+def test_each_set_offers_its_nearest_first_and_all_in_the_end(docs, blocks):
+    r = random.Random(8)
+    base = words(9, 400).split(" ")
+    texts = []
+    for _ in range(40):
+        own = list(base)
+        for _ in range(r.randint(0, 12)):
+            own[r.randrange(len(own))] = f"w{r.randrange(10**6)}"
+        texts.append(" ".join(own[: r.choice([400, 400, 360, 250, 90])]))
+    group = one_group(docs, texts, blocks)
+    sets = {s for s in map(shingles, texts)}
+    similar = sum(100 * len(a & b) >= 75 * len(a | b) for a in sets for b in sets if a is not b) // 2
+    low, high, seen = 0, 1, set()
+    while True:
+        found = sketchjoin._offers(group, low, high).collect()
+        pairs = {(x.a, x.b) for x in found if x.a is not None}
+        assert len(pairs) <= len(sets) * (high - low) * blocks
+        seen |= pairs
+        if all(x.a is not None for x in found):
+            break
+        low, high = high, high * sketchjoin.MORE + 1
+    assert len(seen) >= similar > 100 and low > 0
+
+
 def test_sketches_bound_the_difference():
     r = random.Random(5)
     for n in list(range(1, 70)) + [97, 192, 193, 500]:
