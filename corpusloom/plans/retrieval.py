@@ -9,6 +9,8 @@ from ..functions.text import search_terms
 from ..functions.vectors import cosine_distance, squared_l2
 from ..operators import records as R
 from ..operators import retrieval as V
+from ..operators import substring as S
+from ..operators import vectorindex as VX
 from ..operators.chunking import chunk_rows
 from .corpus import chunks_sql, docs_sql
 from .registry import query, table
@@ -335,3 +337,65 @@ def passage_order(spark, sf):
 def source_keys(spark, sf):
     found = V.search_bundle(chunk_table(spark, sf), QUESTION, query_vector(spark, sf), K_RESULTS)
     return V.source_keys(found).select(F.array_join("sources", "|").alias("sources"))
+
+
+#: Lists of the stored vector index and results per query.
+INDEX_LISTS, INDEX_N = 16, 50
+
+
+@query(
+    "vector_index_many",
+    f"""WITH p AS (SELECT q.vec_id AS qid, e.vec_id, list_distance(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) ** 2 AS d
+      FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0),
+    r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d, vec_id) AS rank FROM p)
+    SELECT qid, vec_id, rank, round(d, 6) AS distance FROM r WHERE rank <= {INDEX_N}""",
+)
+def vector_index_many(spark, sf):
+    """The vectors nearest to every twentieth one, by the stored index over all its lists: the exact result."""
+    rows = _vector_rows(spark, sf).select("pos", "embedding")
+    queries = rows.where(F.col("pos") % 20 == 0).select(F.col("pos").alias("qid"), F.col("embedding").alias("vector"))
+    found = VX.search(VX.build(rows, INDEX_LISTS), queries, INDEX_N)
+    return found.select("qid", F.col("pos").alias("vec_id"), "rank", F.round("distance", 6).alias("distance"))
+
+
+@query(
+    "vector_index_cosine",
+    """SELECT vec_id, round(1 - list_cosine_similarity(embedding::DOUBLE[], q), 6) AS distance FROM embeddings,
+    (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0)
+    ORDER BY 1 - list_cosine_similarity(embedding::DOUBLE[], q), vec_id LIMIT 50""",
+)
+def vector_index_cosine(spark, sf):
+    """The exact scan's result from the stored index, by directions."""
+    rows = _vector_rows(spark, sf).select("pos", "embedding")
+    query = rows.where("pos = 0").select(F.col("pos").alias("qid"), F.col("embedding").alias("vector"))
+    found = VX.search(VX.build(rows, INDEX_LISTS, "cosine"), query, 50)
+    return found.select(F.col("pos").alias("vec_id"), F.round("distance", 6).alias("distance"))
+
+
+@query(
+    "substring_index_terms",
+    f"""WITH {CHUNKS_SQL}, hits AS (SELECT pos, suttaid, min(term) AS term FROM (
+      {' UNION ALL '.join(f"SELECT pos, suttaid, {i} AS term FROM chunks WHERE contains(lower(text), {sql_quote(t)})" for i, t in enumerate(TERMS))}
+    ) GROUP BY pos, suttaid) SELECT * FROM hits""",
+)
+def substring_index_terms(spark, sf):
+    """Chunks that hold a term, through the trigram index of all chunks."""
+    chunks = chunk_table(spark, sf).select("pos", "suttaid", "text")
+    found = S.find(S.build(chunks), [t for t in TERMS])
+    return found.groupBy("pos", "suttaid").agg(F.min("term").alias("term"))
+
+
+#: Rare and short terms, in any case.
+RARE_TERMS = ["Copyright", "password", "@example", "zq", "tionsh the"]
+
+
+@query(
+    "substring_index_counts",
+    f"""WITH {CHUNKS_SQL} SELECT * FROM (
+      {' UNION ALL '.join(f"SELECT {i} AS term, count(*) AS n, sum(pos) AS places FROM chunks WHERE contains(lower(text), {sql_quote(t.lower())}) HAVING count(*) > 0" for i, t in enumerate(RARE_TERMS))})""",
+)
+def substring_index_counts(spark, sf):
+    """How many chunks hold each of several rare terms, and where, through the trigram index."""
+    chunks = chunk_table(spark, sf).select("pos", "text")
+    found = S.find(S.build(chunks), RARE_TERMS)
+    return found.groupBy("term").agg(F.count("*").alias("n"), F.sum("pos").alias("places"))
