@@ -16,7 +16,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import constants as K
-from .sequences import Prepared, ratio
+from .sequences import Bounds, Prepared, ratio
 
 # --- spoken identifiers -------------------------------------------------------
 
@@ -107,34 +107,45 @@ def sequence_ratio(a: Column, b: Column) -> Column:
     return similarity(a, b)
 
 
-def best_in_tile(block: Column, tile: Column, k: int) -> Column:
-    """For each text of a block the ``k`` entries of a tile most similar to it.
+def best_in_tile(block: Column, floors: Column, tile: Column, k: int) -> Column:
+    """For each text of a block the ``k`` entries of a tile most similar to it, and how many pairs were scored.
 
-    ``block`` is ``array<string>``, ``tile`` ``array<struct<pos:bigint,opening:string>>``,
-    both of bounded length; each text gets at most ``k`` ``(score, pos)`` pairs. An entry
-    is skipped only when an upper bound of its ratio is below the k-th score found so
-    far, so the answer is the same as scoring all of them.
+    ``block`` is ``array<string>``, ``floors`` the k-th score that each text has elsewhere (0: none), ``tile``
+    ``array<struct<pos:bigint,opening:string>>``, all of bounded length. A text meets the entries in the order of the
+    upper bounds of their ratios, until the bound is below the k-th score so far; entries below the floor may
+    be missing, so the answer is the same as scoring all of them.
     """
-
-    @F.arrow_udf("array<array<struct<score:double,pos:bigint>>>")
-    def best(blocks: pa.Array, tiles: pa.Array) -> pa.Array:
-        shaped = []
-        for texts, entries in zip(blocks.to_pylist(), tiles.to_pylist()):
-            counts = [Counter(t) for t in texts]
-            out: list[list] = [[] for _ in texts]
-            for entry in entries:
-                opening = Prepared(entry["opening"])
-                for text, count, top in zip(texts, counts, out):
-                    floor = top[-1][0] if len(top) == k else 0.0
-                    score = ratio(text, opening, floor, count)
+    scores = pa.list_(pa.list_(pa.struct([("score", pa.float64()), ("pos", pa.int64())])))
+
+    @F.arrow_udf("struct<best:array<array<struct<score:double,pos:bigint>>>,scored:bigint>")
+    def best(blocks: pa.Array, floors: pa.Array, tiles: pa.Array) -> pa.Array:
+        shaped, scored = [], []
+        prepared: dict = {}
+        for texts, least, entries in zip(blocks.to_pylist(), floors.to_pylist(), tiles.to_pylist()):
+            if prepared.get("entries") != entries:
+                openings = [Prepared(e["opening"]) for e in entries]
+                prepared = {"entries": entries, "openings": openings, "bounds": Bounds([o.text for o in openings], openings)}
+            openings, n = prepared["openings"], 0
+            bounds = Bounds(texts).to(prepared["bounds"])
+            out = []
+            for text, own, bound, order in zip(texts, least, bounds.tolist(), (-bounds).argsort(axis=1, kind="stable").tolist()):
+                top: list = []
+                for j in order:
+                    floor = max(own, top[-1][0]) if len(top) == k else own
+                    if bound[j] < floor:
+                        break
+                    n += 1
+                    score = ratio(text, openings[j], floor)
                     if score is not None:
-                        top.append((score, entry["pos"]))
+                        top.append((score, entries[j]["pos"]))
                         top.sort(key=lambda pair: (-pair[0], pair[1]))
                         del top[k:]
-            shaped.append([[{"score": s, "pos": p} for s, p in top] for top in out])
-        return pa.array(shaped, pa.list_(pa.list_(pa.struct([("score", pa.float64()), ("pos", pa.int64())]))))
+                out.append([{"score": s, "pos": p} for s, p in top])
+            shaped.append(out)
+            scored.append(n)
+        return pa.StructArray.from_arrays([pa.array(shaped, scores), pa.array(scored, pa.int64())], ["best", "scored"])
 
-    return best(block, tile)
+    return best(block, floors, tile)
 
 
 # --- chunk spans --------------------------------------------------------------

@@ -2,8 +2,9 @@
 
 The library walks every character of a range again and again. In a text of 200 or
 more characters only rare characters may start a block, so this version visits only
-those; in a shorter text it lets substring search do the walking. It can also stop as
-soon as a required ratio is out of reach.
+those; in a shorter text it holds all pairs of equal characters as the bits of one
+number and finds the longest run by shifting that along its diagonal. It can also stop
+as soon as a required ratio is out of reach.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections import Counter
 
+import numpy as np
+
 
 class Prepared:
     """A second text with the places of the characters that may start a block."""
@@ -24,6 +27,38 @@ class Prepared:
         for at, ch in enumerate("" if self.plain else text):
             if self.counts[ch] <= limit:
                 self.places.setdefault(ch, []).append(at)
+        # a row of bits per character, one column wider than the text, in whole bytes
+        self.bytes = len(text) // 8 + 1
+        bits: dict[str, int] = {}
+        for at, ch in enumerate(text if self.plain else ""):
+            bits[ch] = bits.get(ch, 0) | 1 << at
+        self.rows = {ch: b.to_bytes(self.bytes, "little") for ch, b in bits.items()}
+
+
+#: Rows from which the bit table beats substring search.
+_ROWS = 20
+
+
+def _bit_table(a: str, other: Prepared) -> int:
+    """Bit (i * row + j) is set where ``a[i]`` equals the other text's character j."""
+    none = bytes(other.bytes)
+    return int.from_bytes(b"".join([other.rows.get(ch, none) for ch in a]), "little")
+
+
+def _longest_in_table(table: int, other: Prepared, low_a, high_a, low_b, high_b):
+    """Longest common run inside the ranges, the first in ``a`` and then in ``b`` among equals."""
+    row = other.bytes * 8
+    rows = high_a - low_a
+    part = table >> low_a * row & (1 << rows * row) - 1
+    if low_b or high_b < len(other.text):
+        columns = ((1 << high_b) - (1 << low_b)).to_bytes(other.bytes, "little")
+        part &= int.from_bytes(columns * rows, "little")
+    size, ends = 0, 0
+    while part:  # the ends of runs of size + 1 characters
+        ends, size = part, size + 1
+        part &= part << row + 1
+    first = (ends & -ends).bit_length() - 1
+    return low_a + first // row - size + 1, first % row - size + 1, size
 
 
 def _longest_plain(a, b, low_a, high_a, low_b, high_b):
@@ -71,6 +106,7 @@ def ratio(a: str, other: Prepared, floor: float = 0.0, counts: Counter | None =
         common = sum(min(n, counts[ch]) for ch, n in other.counts.items())
         if 2.0 * common / total < floor:
             return None
+    table = _bit_table(a, other) if other.plain else 0
     seeds = [(i, other.places[ch]) for i, ch in enumerate(a) if ch in other.places]
     starts = [i for i, _ in seeds]
     matched, possible = 0, min(len(a), len(b))
@@ -78,7 +114,9 @@ def ratio(a: str, other: Prepared, floor: float = 0.0, counts: Counter | None =
     while ranges:
         low_a, high_a, low_b, high_b = ranges.pop()
         possible -= min(high_a - low_a, high_b - low_b)
-        if other.plain:
+        if other.plain and high_a - low_a >= _ROWS:
+            i, j, size = _longest_in_table(table, other, low_a, high_a, low_b, high_b)
+        elif other.plain:
             i, j, size = _longest_plain(a, b, low_a, high_a, low_b, high_b)
         else:
             i, j, size = _longest(a, starts, seeds, b, low_a, high_a, low_b, high_b)
@@ -93,3 +131,44 @@ def ratio(a: str, other: Prepared, floor: float = 0.0, counts: Counter | None =
         if floor > 0.0 and 2.0 * (matched + possible) / total < floor:
             return None
     return 2.0 * matched / total
+
+
+#: Buckets that characters and their runs of ``_RUN`` are hashed to; collisions only raise a bound.
+_CHARS, _RUNS, _RUN = 128, 1024, 4
+
+
+class Bounds:
+    """Counts of several texts' characters and runs, from which upper bounds of all their ratios follow at once."""
+
+    def __init__(self, texts: list[str], others: list[Prepared] | None = None):
+        self.length = np.array([len(t) for t in texts])
+        self.chars = np.zeros((len(texts), _CHARS), np.int32)
+        self.runs = np.zeros((len(texts), _RUNS), np.int32)
+        self.seeds = np.zeros((len(texts), _CHARS), np.int32)
+        self.plain = np.array([o.plain for o in others or []], bool)
+        for row, text in enumerate(texts):
+            code = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
+            np.add.at(self.chars[row], code % _CHARS, 1)
+            if len(code) >= _RUN:
+                run = sum(code[i : len(code) - _RUN + 1 + i] * 31**i for i in range(_RUN))
+                np.add.at(self.runs[row], run % _RUNS, 1)
+            for ch, at in (others[row].places if others else {}).items():
+                self.seeds[row, ord(ch) % _CHARS] += len(at)
+
+    def to(self, openings: Bounds):
+        """Upper bounds of the ratios of these texts (rows) with prepared ``openings`` (columns).
+
+        Matched characters are common to both texts. In a long text a block of them holds a rare character, but for one at
+        the very beginning; so there are no more blocks than rare characters in common, and each has three characters
+        more than it has runs of four.
+        """
+        out = np.ones((len(self.length), len(openings.length)))
+        for j in range(out.shape[1]):
+            most = np.minimum(self.chars, openings.chars[j]).sum(axis=1, dtype=np.int64)
+            if not openings.plain[j]:
+                blocks = np.minimum(self.chars, openings.seeds[j]).sum(axis=1, dtype=np.int64) + 1
+                common = np.minimum(self.runs, openings.runs[j]).sum(axis=1, dtype=np.int64)
+                most = np.minimum(most, common + (_RUN - 1) * blocks)
+            total = self.length + openings.length[j]
+            out[:, j] = np.where(total > 0, 2.0 * most / np.maximum(total, 1), 1.0)
+        return out

@@ -19,6 +19,7 @@ from ..functions.text import (
     text_or_blank,
     title_and_opening,
 )
+from ..storage import stored
 from .dedup import keep_first, top_per_key
 
 #: Canon entries of a tile and texts of a block, which meet as one row.
@@ -136,34 +137,65 @@ def canon_index(corpus: DataFrame) -> DataFrame:
     )
 
 
-def candidate_scores(units: DataFrame, canon: DataFrame, k: int = K.TOP_K_DEFAULT) -> DataFrame:
-    """The ``k`` canon openings of the same book most similar to each unit: ``unit_id, pos, score, rank``.
+def _meetings(units: DataFrame, canon: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """Keyed units, and what came of the blocks of texts and tiles of openings that met: ``book, _keys, _pairs, _best, _scored``.
 
-    Equal texts are scored once: units are first reduced to distinct (book, key). Canon
-    entries are packed into tiles by their place in the book, texts into blocks, and a
-    block meets a tile as one row that yields at most ``k`` entries per text; so a tile
-    travels once per block, and no task ever holds a whole book. ``canon`` carries its
-    order in ``pos``.
+    Both sides are in order of length. A block first meets the tile nearest to it in length; its k-th scores are the
+    floors with which it meets the other tiles of the book, but for those whose lengths alone keep them below.
     """
     keyed = units.withColumn("_key", F.substring(normalize_for_similarity("text"), 1, K.SIMILARITY_CHARS))
     openings = canon.select(
         "book", "pos", F.substring(normalize_for_similarity("opening"), 1, K.SIMILARITY_CHARS).alias("opening")
     )
-    place = F.row_number().over(Window.partitionBy("book", "_span").orderBy("pos")) - 1
-    spans = openings.withColumn("_span", F.floor(F.col("pos") / SPAN))
+    spans = openings.where("opening IS NOT NULL").withColumn("_span", F.floor(F.col("pos") / SPAN))
+    place = F.row_number().over(Window.partitionBy("book", "_span").orderBy(F.length("opening"), "pos")) - 1
+    lengths = lambda c: (F.min(F.length(c)).alias("_low"), F.max(F.length(c)).alias("_high"))
     tiles = spans.withColumn("_tile", F.floor(place / TILE)).groupBy("book", "_span", "_tile").agg(
-        F.array_sort(F.collect_list(F.struct("pos", "opening"))).alias("_entries")
+        F.array_sort(F.collect_list(F.struct("pos", "opening"))).alias("_entries"), *lengths("opening")
     )
     texts = keyed.select("book", "_key").filter(F.col("_key").isNotNull()).distinct()
     salted = texts.withColumn("_salt", F.pmod(F.xxhash64("_key"), F.lit(SALTS)))
-    number = F.row_number().over(Window.partitionBy("book", "_salt").orderBy("_key")) - 1
+    number = F.row_number().over(Window.partitionBy("book", "_salt").orderBy(F.length("_key"), "_key")) - 1
     blocks = salted.withColumn("_block", F.floor(number / TEXTS)).groupBy("book", "_salt", "_block").agg(
-        F.collect_list("_key").alias("_keys")
+        F.collect_list("_key").alias("_keys"), *lengths("_key")
     )
-    # The keys are few bytes and the comparison dear, so the meetings are dealt out evenly.
+    tiles, blocks = stored(tiles, "tiles"), stored(blocks, "blocks")
+
+    # the keys are few bytes and the comparison dear, so the meetings are dealt out evenly
     n = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pairs = blocks.join(tiles.drop("_span", "_tile"), "book").repartition(n)
-    met = pairs.select("book", "_keys", native.best_in_tile(F.col("_keys"), F.col("_entries"), k).alias("_best"))
+    tile_key, block_key = ["book", "_span", "_tile"], ["book", "_salt", "_block"]
+
+    def met(meet: DataFrame, floors: Column) -> DataFrame:
+        done = meet.repartition(n).withColumn("_met", native.best_in_tile(F.col("_keys"), floors, F.col("_entries"), k))
+        pairs = F.size("_keys").cast("long") * F.size("_entries")
+        return done.select(*block_key, "_span", "_tile", "_keys", pairs.alias("_pairs"), F.col("_met.best").alias("_best"), F.col("_met.scored").alias("_scored"))
+
+    ends = tiles.select(*tile_key, F.col("_low").alias("_tl"), F.col("_high").alias("_th"))
+    away = F.abs(F.col("_low") + F.col("_high") - F.col("_tl") - F.col("_th"))
+    both = blocks.drop("_keys").join(ends, "book").withColumn("_away", away)
+    near = top_per_key(both, block_key, ["_away", "_span", "_tile"], 1).select(*block_key, "_span", "_tile")
+    none = F.transform("_keys", lambda _: F.lit(0.0))
+    first = stored(met(near.join(blocks, block_key).join(tiles.select(*tile_key, "_entries"), tile_key), none), "met")
+    kth = F.transform("_best", lambda top: F.when(F.size(top) == k, F.get(top, F.lit(k - 1)).score).otherwise(0.0))
+    floors = first.select(*block_key, kth.alias("_floors"))
+    # twice the shorter length over both bounds the ratio
+    short = F.least("_th", "_high")
+    reach = F.coalesce(F.try_divide(2.0 * short, short + F.greatest("_tl", "_low", short)), F.lit(1.0))
+    later = both.join(near, [*block_key, "_span", "_tile"], "left_anti").join(floors, block_key)
+    later = later.where(reach >= F.array_min("_floors")).select(*block_key, "_span", "_tile", "_floors")
+    rest = met(later.join(blocks, block_key).join(tiles.select(*tile_key, "_entries"), tile_key), F.col("_floors"))
+    return keyed, first.unionByName(rest)
+
+
+def candidate_scores(units: DataFrame, canon: DataFrame, k: int = K.TOP_K_DEFAULT) -> DataFrame:
+    """The ``k`` canon openings of the same book most similar to each unit: ``unit_id, pos, score, rank``.
+
+    Equal texts are scored once: units are first reduced to distinct (book, key). Canon
+    entries are packed into tiles by length, texts into blocks, and a block meets a tile
+    as one row that yields at most ``k`` entries per text; so a tile travels once per
+    block, and no task ever holds a whole book. ``canon`` carries its order in ``pos``.
+    """
+    keyed, met = _meetings(units, canon, k)
     each = met.select("book", F.explode(F.arrays_zip("_keys", "_best")).alias("_r"))
     scored = each.select("book", F.col("_r._keys").alias("_key"), F.explode("_r._best").alias("_b")).select(
         "book", "_key", F.col("_b.pos").alias("pos"), F.col("_b.score").alias("score")
@@ -178,6 +210,12 @@ def candidate_scores(units: DataFrame, canon: DataFrame, k: int = K.TOP_K_DEFAUL
     )
 
 
+def candidate_work(units: DataFrame, canon: DataFrame, k: int = K.TOP_K_DEFAULT) -> DataFrame:
+    """``book, pairs, scored``: pairs of distinct texts and openings that met, and how many of them had to be scored."""
+    met = _meetings(units, canon, k)[1]
+    return met.groupBy("book").agg(F.sum("_pairs").alias("pairs"), F.sum("_scored").alias("scored"))
+
+
 def top_gap(scores: DataFrame) -> DataFrame:
     """Top score and the gap to the second per unit; one candidate alone has no second."""
     first = F.max(F.when(F.col("rank") == 1, F.col("score")))
