@@ -6,6 +6,9 @@ from pyspark.sql import functions as F
 
 from ..operators import chunking as C
 from ..operators import records as R
+from ..sources.arrays import read_array_files, read_bundle_object
+from ..sources.sinks import export_pretty, write_bundle_object
+from ..storage import shared_folder
 from .registry import query, table
 from .standins import RECORDS_SQL, SQL_WS, records, sql_strip, transcripts
 
@@ -123,3 +126,28 @@ def chunk_specs(spark, sf):
     return specs.select(
         "book", "kind", "suttaid", "commentary_id", "source", "chunk_index", F.md5("text").alias("chunk_md5")
     )
+
+
+@query("json_array_read", "SELECT doc_id, md5(text) AS text_md5 FROM documents WHERE text IS NOT NULL")
+def json_array_read(spark, sf):
+    """Documents written as one JSON array by many tasks, and that file read by many tasks."""
+    docs = table(spark, sf, "documents").select("doc_id", "text").where("text IS NOT NULL")
+    path = f"{shared_folder(spark, 'array')}/all.json"
+    export_pretty(docs, path)
+    back = read_array_files(spark, path, "doc_id bigint, text string")
+    return back.select("doc_id", F.md5("text").alias("text_md5"))
+
+
+@query(
+    "bundle_object_read",
+    "SELECT CAST(vec_id AS VARCHAR) AS suttaid, CAST(label AS VARCHAR) AS book, len(embedding) AS dims FROM embeddings",
+)
+def bundle_object_read(spark, sf):
+    """Stored vectors written as one bundle object by many tasks, and read back in parallel."""
+    rows = table(spark, sf, "embeddings").select(
+        F.col("label").cast("string").alias("book"), F.lit("sutta").alias("kind"), F.col("vec_id").cast("string").alias("suttaid"),
+        F.lit("").alias("text"), "embedding",
+    )
+    path = f"{shared_folder(spark, 'bundle')}/vectors.json"
+    write_bundle_object(rows, path, "stored")
+    return read_bundle_object(spark, path).select("suttaid", "book", F.size("embedding").alias("dims"))

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import json
+import uuid
 
+from pyspark.errors import UnsupportedOperationException
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.text import safe_name, strip
+from .bundles import parent_of
 
 def write_index(chunks: DataFrame, path: str) -> None:
     """Rebuild a chunk table; only the books present in ``chunks`` are replaced."""
@@ -91,21 +94,85 @@ def write_conversations(conversations: DataFrame, path: str) -> dict:
     return seen.get
 
 
-def export_pretty(rows: DataFrame, path: str) -> int:
-    """All rows as one pretty JSON array, as a person reads it; returns their number.
+def _joined(spark, head: str, folder: str, between: str, tail: str, path: str) -> None:
+    """The part files of ``folder`` as one file, with text before, between and behind; it appears when it is whole.
 
-    One file is one stream: rows pass in turn, a partition at a time, to the path's file system.
+    Where the file system can concatenate files (as HDFS does), only their names pass here; elsewhere the parts are
+    copied as streams of bytes.
     """
-    spark, n = rows.sparkSession, 0
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
-    try:
-        for n, row in enumerate(rows.select(F.to_json(F.struct("*")).alias("x")).toLocalIterator(), 1):
-            shown = json.dumps(json.loads(row.x), ensure_ascii=False, indent=2).replace("\n", "\n  ")
-            out.write(bytearray(f"{',' if n > 1 else '['}\n  {shown}".encode()))
-        out.write(bytearray(b"\n]\n" if n else b"[]\n"))
-    finally:
+    jvm = spark._jvm
+    hadoop = jvm.org.apache.hadoop
+    conf = spark._jsc.hadoopConfiguration()
+    target, place = hadoop.fs.Path(path), hadoop.fs.Path(folder)
+    fs = place.getFileSystem(conf)
+    parts = sorted((f.getPath() for f in fs.listStatus(place) if f.getPath().getName().startswith("part-") and f.getLen()), key=lambda p: p.getName())
+
+    def small(name: str, text: str):
+        file = hadoop.fs.Path(f"{folder}/{name}")
+        out = fs.create(file, True)
+        out.write(bytearray(text.encode("utf-8")))
         out.close()
+        return file
+
+    whole = small("_whole", head)
+    pieces = [p for i, part in enumerate(parts) for p in ([small(f"_between-{i}", between)] if i and between else []) + [part]]
+    pieces.append(small("_tail", tail))
+    array = spark.sparkContext._gateway.new_array(hadoop.fs.Path, len(pieces))
+    for i, piece in enumerate(pieces):
+        array[i] = piece
+    try:
+        fs.concat(whole, array)
+    except UnsupportedOperationException:
+        whole = hadoop.fs.Path(f"{folder}/_copied")
+        out = fs.create(whole, True)
+        try:
+            for piece in [hadoop.fs.Path(f"{folder}/_whole"), *pieces]:
+                source = fs.open(piece)
+                hadoop.io.IOUtils.copyBytes(source, out, 1 << 16, False)
+                source.close()
+        finally:
+            out.close()
+    fs.delete(target, False)
+    if not fs.rename(whole, target):
+        raise OSError(f"can't move the finished file to {path}")
+    fs.delete(place, True)
+
+
+def _json_parts(rows: DataFrame, folder: str, indent: int | None, before: str) -> int:
+    """Rows as JSON text in part files, encoded in their tasks: after ``before``, with commas between; returns their number."""
+    import pyarrow as pa
+
+    def encode(batches):
+        first = True
+        for batch in batches:
+            out = []
+            for text in batch.column(0).to_pylist():
+                shown = json.dumps(json.loads(text), ensure_ascii=False, indent=indent).replace("\n", before if indent else "\n")
+                # the writer ends each row with its brace
+                out.append(("" if first else ",") + before + shown[:-1])
+                first = False
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
+
+    seen = Observation("rows")
+    lines = rows.select(F.to_json(F.struct("*")).alias("x")).observe(seen, F.count(F.lit(1)).alias("n")).mapInArrow(encode, "value string")
+    lines.write.option("lineSep", "}").text(folder)
+    return seen.get["n"]
+
+
+def export_pretty(rows: DataFrame, path: str) -> int:
+    """All rows as one pretty JSON array, as a person reads it; returns their number. Tasks encode it part by part."""
+    folder = f"{parent_of(path)}_parts-{uuid.uuid4().hex}"
+    n = _json_parts(rows, folder, 2, "\n  ")
+    _joined(rows.sparkSession, "[", folder, ",", "\n]\n" if n else "]\n", path)
+    return n
+
+
+def write_bundle_object(chunks: DataFrame, path: str, embedding_model: str) -> int:
+    """One portable table as a single JSON object, as ``read_bundle`` reads it; returns the number of chunks."""
+    folder = f"{parent_of(path)}_parts-{uuid.uuid4().hex}"
+    n = _json_parts(chunks, folder, None, "\n")
+    head = json.dumps({"format": K.BUNDLE_FORMAT, "embedding_model": embedding_model}, ensure_ascii=False)[:-1]
+    _joined(chunks.sparkSession, head + ', "chunks": [', folder, ",", "\n]}\n", path)
     return n
 
 
@@ -125,9 +192,14 @@ def write_lines(lines: DataFrame, path: str) -> None:
 
 
 def write_merged_books(pieces: DataFrame, path: str) -> None:
-    """Merged transcripts: a folder per book whose files, in name order, hold its pieces in order."""
+    """Merged transcripts: a folder per book whose files, in name order, hold its pieces in order.
+
+    Pieces end with a line break, which is the one the writer adds.
+    """
+    whole = F.when(F.endswith("text", F.lit("\n")), F.substr("text", F.lit(1), F.length("text") - 1))
+    text = F.coalesce(whole, F.raise_error(F.lit("a piece without a line break at its end")).cast("string"))
     ordered = pieces.repartitionByRange("book", "ord", "file_name").sortWithinPartitions("book", "ord", "file_name")
-    ordered.select("book", "text").write.mode("overwrite").option("lineSep", "").partitionBy("book").text(path)
+    ordered.select("book", text.alias("text")).write.mode("overwrite").partitionBy("book").text(path)
 
 
 def write_snapshots(snapshots: DataFrame, path: str) -> None:
