@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import text_or_blank
+from ..functions.text import let, text_or_blank
 from ..storage import shared_folder, stored
 
 #: Rows of a segment, as a power of two; folders of posting lists.
@@ -35,9 +35,11 @@ def _hay(case_sensitive: bool) -> Column:
 
 def trigrams(text: Column) -> Column:
     """The distinct substrings of three characters."""
-    chars = F.split(text, "")
-    starts = F.when(F.char_length(text) >= 3, F.sequence(F.lit(0), F.char_length(text) - 3)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(starts, lambda i: F.concat(F.get(chars, i), F.get(chars, i + 1), F.get(chars, i + 2))))
+    starts = lambda chars: F.sequence(F.lit(0), F.size(chars) - 3)
+    cut = lambda chars: F.transform(starts(chars), lambda i: F.concat(F.get(chars, i), F.get(chars, i + 1), F.get(chars, i + 2)))
+    # bound once, or each substring would split the text again
+    all_ = let(F.split(text, ""), lambda chars: F.when(F.size(chars) >= 3, cut(chars)).otherwise(F.array().cast("array<string>")))
+    return F.array_distinct(all_)
 
 
 def _bucket(tri: Column) -> Column:
