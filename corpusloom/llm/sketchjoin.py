@@ -12,9 +12,10 @@ sets that share a part, one pivot, whose parts are shared most, is compared with
 In groups that still hold several components, sets of different ones are tested by sketches of single bits, two blocks
 of a group in a task. A size band's sketch has at least four times as many bits as similar sets of it can have
 differences, so unrelated sets are told apart at every size. Of the sets that are near enough, each first offers the
-nearest only; these are verified, components are formed anew, and the next nearest follow, four times as many a
-round, until none in another component is left. So no group emits all its pairs, and no link between different
-components is lost.
+nearest only; these are verified, components are formed anew, and the next nearest follow, many more each round,
+until none in another component is left. Sets that share several groups are compared in one of them, as far as the
+first few groups of either (by hash) tell. So no group emits all its pairs, and no link between different components
+is lost.
 """
 
 from __future__ import annotations
@@ -36,9 +37,9 @@ SPARE, SMALL, SPARE_SMALL = 1.25, 64, 4
 BITS = 4
 #: Wanted sets whose keys are sent to every task (8 bytes each); with more, all sets are shuffled and semi-joined.
 KEYS_SENT = 1_000_000
-#: Sets of one block of a group in the later rounds; how many times more candidates each may offer a round later; words
-#: of sketches that are compared at once.
-GROUP, MORE, AT_ONCE = 1024, 4, 1 << 20
+#: Sets of one block of a group in the later rounds; how many times more candidates each may offer a round later; groups
+#: that a set is marked with; pairs that are compared at once.
+GROUP, MORE, MARKS, AT_ONCE = 1024, 64, 8, 1 << 18
 
 
 def most_apart(a, b):
@@ -379,11 +380,15 @@ def _roots(docs: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame |
     roots = components(links)
     named = now.join(roots, "h", "left").withColumn("root", F.coalesce("root", "h"))
     mixed = named.groupBy("k").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("c")).where("x <> y").select("k", "c")
-    open_ = named.join(mixed, "k").join(bits, "h").select("k", "h", "n", "root", F.col("root").alias("now"), "bits", F.ceil(F.col("c") / GROUP).cast("int").alias("blocks"))
-    open_ = stored(open_, "open")
-    low, high, found = 0, 1, []
+    rows = named.join(mixed, "k").select("k", "h", "n", "root", F.ceil(F.col("c") / GROUP).cast("int").alias("blocks"))
+    rows = stored(rows, "rows")
+    marks = rows.groupBy("h").agg(F.slice(F.array_sort(F.collect_list(F.xxhash64("k"))), 1, MARKS).alias("marks"))
+    open_ = stored(rows.join(bits.join(marks, "h"), "h"), "open")
+    low, high, found, merges = 0, 1, [], None
     while True:
-        offers = stored(_offers(open_, low, high).distinct(), "pairs")
+        moved = None if merges is None else components(merges).select(F.col("h").alias("root"), F.col("root").alias("into"))
+        current = open_.withColumn("now", F.col("root")) if moved is None else open_.join(moved, "root", "left").withColumn("now", F.coalesce("into", "root"))
+        offers = stored(_offers(current, low, high).distinct(), "pairs")
         pairs = offers.where("a IS NOT NULL").join(tried, ["a", "b"], "left_anti")
         new = stored(verified(pairs, sets), "found")
         merged = new.limit(1).count() > 0
@@ -392,95 +397,107 @@ def _roots(docs: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame |
         if not offers.where("a IS NULL").limit(1).count():
             break
         if merged:
-            by_root = offers.where("a IS NOT NULL").join(new, ["a", "b"]).select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
-            moved = components(by_root).select(F.col("h").alias("now"), F.col("root").alias("into"))
-            open_ = open_.join(moved, "now", "left").withColumn("now", F.coalesce("into", "now")).drop("into")
-            still = open_.groupBy("k").agg(F.min("now").alias("x"), F.max("now").alias("y")).where("x <> y").select("k")
-            open_ = stored(open_.join(still, "k", "left_semi"), "open")
+            by_root = offers.join(new, ["a", "b"]).select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct()
+            merges = stored(by_root if merges is None else merges.unionByName(by_root), "merges")
         low, high = high, high * MORE + 1
     for new in found:
         links = links.unionByName(new)
     return components(links) if found else roots
 
 
-def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Differing bits of all pairs of sketches of one width (rows of words)."""
-    rows = max(1, AT_ONCE // max(1, y.size))
-    out = np.zeros((len(x), len(y)), np.int64)
-    for a in range(0, len(x), rows):
-        out[a : a + rows] = np.bitwise_count(x[a : a + rows, None] ^ y[None]).sum(axis=2)
-    return out
-
-
 def _offers(rows: DataFrame, low: int, high: int) -> DataFrame:
     """Pairs of a group's sets, of different components now, whose sketches are as near as those of similar sets must be.
 
-    (a, b, root_a, root_b); of a set's candidates in its block (those of other components at first, nearest first) the
-    pairs whose number, with either of the two, is ``low`` or more and under ``high``. A row of nulls says that others
-    follow. A group of many blocks is spread over tasks by pairs of blocks; a task holds two blocks.
+    (a, b, root_a, root_b), with the components as they were at first; of a set's candidates in its block (those of
+    other components at first, nearest first) the pairs whose number, with either of the two, is ``low`` or more and
+    under ``high``. A row of nulls says that others follow. A group of many blocks is spread over tasks by pairs of
+    blocks; a task holds two blocks. ``rows``: k, h, n, root, now, blocks, bits, marks (the least hashes of its groups).
     """
 
     def test(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        def table(batch):
-            bits = batch.column(8)
-            words = np.asarray(bits.flatten()).view(np.uint64)
-            sizes = np.diff(np.asarray(bits.offsets).astype(np.int64))
-            return [np.asarray(batch.column(i)) for i in range(8)] + [np.array(np.split(words, np.cumsum(sizes)[:-1]) + [None], object)[:-1]]
+        def ragged(column):
+            return np.asarray(column.flatten()).view(np.uint64), np.diff(np.asarray(column.offsets).astype(np.int64))
 
-        def candidates(n, root, left, right, bits):
-            """Near pairs (numbers of the sets) and their differing bits, size band by size band."""
-            width = np.array([len(w) for w in bits])
-            out = [np.zeros((3, 0), np.int64)]
-            for w in np.unique(width):
+        def table(batch):
+            words, sizes = ragged(batch.column(8))
+            bits = np.array(np.split(words, np.cumsum(sizes)[:-1]) + [None], object)[:-1]
+            named, sizes = ragged(batch.column(9))
+            marks = np.zeros((batch.num_rows, MARKS), np.int64)
+            there = np.arange(MARKS)[None] < sizes[:, None]
+            marks[there] = named.view(np.int64)
+            return [np.asarray(batch.column(i)) for i in range(8)] + [bits, marks, np.asarray(batch.column(10)), there]
+
+        def together(cuts, own, first, second):
+            """All pairs (left block, right block) of the groups between ``cuts``, some groups at a time."""
+            left, right = np.flatnonzero(own == first), np.flatnonzero(own == second)
+            a, b = np.searchsorted(left, cuts), np.searchsorted(right, cuts)
+            n, m = np.diff(a), np.diff(b)
+            sizes = n * m
+            group, last = 0, len(sizes)
+            while group < last:
+                upto = max(group + 1, int(np.searchsorted(np.cumsum(sizes[group:]), AT_ONCE)) + group)
+                sets_ = np.arange(a[group], a[upto])
+                of = np.repeat(np.arange(group, upto), n[group:upto])
+                times = m[of]
+                i = np.repeat(sets_, times)
+                j = np.arange(len(i)) - np.repeat(np.cumsum(times) - times, times) + np.repeat(b[of], times)
+                yield left[i], right[j], np.repeat(of, times)
+                group = upto
+
+        def apart(i, j, bits, width):
+            """Differing bits of pairs of sketches, the wider of two folded to the narrower."""
+            out = np.zeros(len(i), np.int64)
+            for w in np.unique(width[i]):
                 for v in (w // 2, w, 2 * w):
-                    x, y = left[width[left] == w], right[width[right] == v]
-                    if not len(x) or not len(y):
-                        continue
-                    p, q = np.stack(bits[x]), np.stack(bits[y])
-                    if v > w:
-                        q = q[:, :w] ^ q[:, w:]
-                    elif v < w:
-                        p = p[:, :v] ^ p[:, v:]
-                    apart = _apart(p, q)
-                    most = most_apart(n[x][:, None], n[y][None])
-                    small, great = np.minimum(n[x][:, None], n[y][None]), np.maximum(n[x][:, None], n[y][None])
-                    i, j = np.nonzero((apart <= most) & (small * DEN >= great * NUM) & (root[x][:, None] != root[y][None]))
-                    out.append(np.stack([x[i], y[j], apart[i, j]]))
-            return np.concatenate(out, axis=1)
-
-        def number(own, apart, other):
+                    some = np.flatnonzero((width[i] == w) & (width[j] == v)) if v else i[:0]
+                    step = max(1, (4 << 20) // max(w, v))
+                    for at in range(0, len(some), step):
+                        part = some[at : at + step]
+                        p, q = np.stack(bits[i[part]]), np.stack(bits[j[part]])
+                        p, q = (p, q[:, :w] ^ q[:, w:]) if v > w else (p[:, :v] ^ p[:, v:], q) if v < w else (p, q)
+                        out[part] = np.bitwise_count(p ^ q).sum(axis=1)
+            return out
+
+        def candidates(cuts, g):
+            first, second, n, root, own, bits, marks, mark, there = g[1], g[2], g[4], g[5], g[7], g[8], g[9], g[10], g[11]
+            width = np.array([len(w) for w in bits])
+            kept = [np.zeros((4, 0), np.int64)]
+            for i, j, of in together(cuts, own, first, second):
+                small, great = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+                ok = (root[i] != root[j]) & (small * DEN >= great * NUM) & ((first[i] != second[i]) | (i < j))
+                i, j, of = i[ok], j[ok], of[ok]
+                bits_apart = apart(i, j, bits, width)
+                near = bits_apart <= most_apart(n[i], n[j])
+                i, j, of, bits_apart = i[near], j[near], of[near], bits_apart[near]
+                # left to an earlier group that both are marked with
+                shared = (marks[i][:, :, None] == marks[j][:, None, :]) & (there[i] & (marks[i] < mark[i][:, None]))[:, :, None] & there[j][:, None, :]
+                mine = ~shared.any(axis=(1, 2))
+                kept.append(np.stack([i[mine], j[mine], of[mine], bits_apart[mine]]))
+            return np.concatenate(kept, axis=1)
+
+        def number(own, far, other):
             """The place of each pair among those of ``own``, nearest first."""
-            by = np.lexsort((other, apart, own))
-            first = np.append(True, own[by][1:] != own[by][:-1])
-            start = np.maximum.accumulate(np.where(first, np.arange(len(by)), 0))
+            by = np.lexsort((other, far, own))
+            start = np.maximum.accumulate(np.where(np.append(True, own[by][1:] != own[by][:-1]), np.arange(len(by)), 0)) if len(by) else by
             place = np.zeros(len(by), np.int64)
             place[by] = np.arange(len(by)) - start
             return place
 
-        def pairs(g):
-            h, n, root, now, own, bits = g[3], g[4], g[5], g[6], g[7], g[8]
-            left, right = np.flatnonzero(own == g[1][0]), np.flatnonzero(own == g[2][0])
-            i, j, apart = candidates(n, root, left, right, bits)
-            if g[1][0] == g[2][0]:
-                i, j, apart = i[i < j], j[i < j], apart[i < j]
-                # a set is on either side here
-                both = number(np.append(i, j), np.append(apart, apart), h[np.append(j, i)])
-                place = np.minimum(both[: len(i)], both[len(i) :])
-            else:
-                place = np.minimum(number(i, apart, h[j]), number(j, apart, h[i]))
+        def out(cuts, g):
+            h, now, root = g[3], g[6], g[5]
+            i, j, _, far = candidates(cuts, g)
+            both = number(np.append(i, j), np.append(far, far), h[np.append(j, i)])
+            place = np.minimum(both[: len(i)], both[len(i) :])
             other = now[i] != now[j]
             take = other & (place >= low) & (place < high)
+            more = bool((other & (place >= high)).any())
             i, j = i[take], j[take]
             swap = h[i] < h[j]
             i, j = np.where(swap, j, i), np.where(swap, i, j)
-            return h[i], h[j], now[i], now[j], bool((other & (place >= high)).any())
-
-        def out(groups):
-            found = [pairs(g) for g in groups]
-            columns = [pa.array(np.concatenate([f[c] for f in found])) for c in range(4)]
-            if any(f[4] for f in found):
+            columns = [pa.array(c) for c in (h[i], h[j], root[i], root[j])]
+            if more:
                 columns = [pa.concat_arrays([c, pa.nulls(1, pa.int64())]) for c in columns]
             return pa.RecordBatch.from_arrays(columns, ["a", "b", "root_a", "root_b"])
 
@@ -492,17 +509,16 @@ def _offers(rows: DataFrame, low: int, high: int) -> DataFrame:
             held = new if held is None else [np.concatenate(x) for x in zip(held, new)]
             key = np.stack(held[:3])
             cuts = np.append(0, np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1)
-            whole = [[c[a:b] for c in held] for a, b in zip(cuts[:-1], cuts[1:])]
-            held = [c[cuts[-1] :] for c in held]
-            if whole:
-                yield out(whole)
+            if len(cuts) > 1:
+                yield out(cuts, [c[: cuts[-1]] for c in held])
+                held = [c[cuts[-1] :] for c in held]
         if held is not None and len(held[0]):
-            yield out([held])
+            yield out(np.array([0, len(held[0])]), held)
 
     own = F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = rows.withColumn("own", own).withColumn("other", other)
-    dealt = dealt.select("k", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "h", "n", "root", "now", "own", "bits")
+    dealt = dealt.select("k", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "h", "n", "root", "now", "own", "bits", "marks", F.xxhash64("k").alias("mark"))
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return dealt.repartition(parts, "k", "low", "high").sortWithinPartitions("k", "low", "high").mapInArrow(lean(test), "a long, b long, root_a long, root_b long")
 

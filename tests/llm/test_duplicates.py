@@ -64,6 +64,8 @@ def test_components_equal_brute_force(docs, seed):
 def test_small_groups_and_blocks(docs, monkeypatch):
     monkeypatch.setattr(sketchjoin, "GROUP", 3)
     monkeypatch.setattr(sketchjoin, "KEYS_SENT", 2)
+    monkeypatch.setattr(sketchjoin, "MORE", 2)
+    monkeypatch.setattr(sketchjoin, "AT_ONCE", 7)
     texts = varied(3, 40)
     rows = {r.doc_id: (r.n_shingles, r.component_id) for r in sketchjoin.near_duplicates(docs(texts)).collect()}
     assert [rows[i] for i in range(len(texts))] == brute(texts)
@@ -80,7 +82,7 @@ def one_group(docs, texts, blocks=1):
     """All texts' sets as one group of sets that share a part, each its own component."""
     F = sketchjoin.F
     sets = sketchjoin.described(docs(texts)).where("n > 0").dropDuplicates(["h"])
-    return sets.select(F.lit(1).cast("long").alias("k"), "h", F.col("n").cast("long").alias("n"), F.col("h").alias("root"), F.col("h").alias("now"), "bits", F.lit(blocks).alias("blocks"))
+    return sets.select(F.lit(1).cast("long").alias("k"), "h", F.col("n").cast("long").alias("n"), F.col("h").alias("root"), F.col("h").alias("now"), "bits", F.lit(blocks).alias("blocks"), F.array(F.xxhash64(F.lit(1).cast("long"))).alias("marks"))
 
 
 @pytest.mark.parametrize("blocks", [1, 3])
@@ -116,6 +118,20 @@ def test_each_set_offers_its_nearest_first_and_all_in_the_end(docs, blocks):
     assert len(seen) >= similar > 100 and low > 0
 
 
+def test_pairs_of_several_groups_come_out_of_one(docs):
+    F = sketchjoin.F
+    base = words(9, 300).split(" ")
+    texts = [" ".join(base[:i] + [f"w{i}"] + base[i + 1 :]) for i in range(0, 300, 12)]
+    one = one_group(docs, texts).drop("k", "marks")
+    groups = one.crossJoin(docs([""] * 5).select(F.col("doc_id").alias("k")))
+    marks = groups.groupBy("h").agg(F.array_sort(F.collect_list(F.xxhash64("k"))).alias("marks"))
+    found = sketchjoin._offers(groups.join(marks, "h"), 0, 1000).collect()
+    assert len(found) == len({(x.a, x.b) for x in found}) == 25 * 24 // 2
+    # the marks don't tell of any common group: all groups offer the pair
+    apart = groups.withColumn("marks", F.array(F.xxhash64("h", "k")))
+    assert len(sketchjoin._offers(apart, 0, 1000).collect()) == 5 * 25 * 24 // 2
+
+
 def test_sketches_bound_the_difference():
     r = random.Random(5)
     for n in list(range(1, 70)) + [97, 192, 193, 500]:
