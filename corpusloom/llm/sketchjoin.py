@@ -446,29 +446,38 @@ def _offers(rows: DataFrame, low: int, high: int) -> DataFrame:
                 yield left[i], right[j], np.repeat(of, times)
                 group = upto
 
-        def apart(i, j, bits, width):
+        def apart(i, j, tables, width, row):
             """Differing bits of pairs of sketches, the wider of two folded to the narrower."""
             out = np.zeros(len(i), np.int64)
-            for w in np.unique(width[i]):
+            for w, left in tables.items():
+                here = np.flatnonzero(width[i] == w)
                 for v in (w // 2, w, 2 * w):
-                    some = np.flatnonzero((width[i] == w) & (width[j] == v)) if v else i[:0]
-                    step = max(1, (4 << 20) // max(w, v))
+                    if v not in tables:
+                        continue
+                    some = here[width[j[here]] == v]
+                    if not len(some):
+                        continue
+                    right = tables[v][:, :w] ^ tables[v][:, w:] if v > w else tables[v]
+                    own = left[:, :v] ^ left[:, v:] if v < w else left
+                    step = max(1, (1 << 20) // w)
                     for at in range(0, len(some), step):
                         part = some[at : at + step]
-                        p, q = np.stack(bits[i[part]]), np.stack(bits[j[part]])
-                        p, q = (p, q[:, :w] ^ q[:, w:]) if v > w else (p[:, :v] ^ p[:, v:], q) if v < w else (p, q)
-                        out[part] = np.bitwise_count(p ^ q).sum(axis=1)
+                        out[part] = np.bitwise_count(own[row[i[part]]] ^ right[row[j[part]]]).sum(axis=1)
             return out
 
         def candidates(cuts, g):
             first, second, n, root, own, bits, marks, mark, there = g[1], g[2], g[4], g[5], g[7], g[8], g[9], g[10], g[11]
             width = np.array([len(w) for w in bits])
+            tables, row = {}, np.zeros(len(bits), np.int64)
+            for w in np.unique(width).tolist():
+                mine = np.flatnonzero(width == w)
+                tables[w], row[mine] = np.stack(bits[mine]), np.arange(len(mine))
             kept = [np.zeros((4, 0), np.int64)]
             for i, j, of in together(cuts, own, first, second):
                 small, great = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
                 ok = (root[i] != root[j]) & (small * DEN >= great * NUM) & ((first[i] != second[i]) | (i < j))
                 i, j, of = i[ok], j[ok], of[ok]
-                bits_apart = apart(i, j, bits, width)
+                bits_apart = apart(i, j, tables, width, row)
                 near = bits_apart <= most_apart(n[i], n[j])
                 i, j, of, bits_apart = i[near], j[near], of[near], bits_apart[near]
                 # left to an earlier group that both are marked with
