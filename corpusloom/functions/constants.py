@@ -77,18 +77,12 @@ MAX_SUGGESTION_CHARS = 320
 
 # --- small-talk classifier ----------------------------------------------------
 GREETING_MAX_CHARS = 140
-SUBSTANTIVE_WORDS = [
-    "what", "why", "when", "where", "who", "whom", "which",
-    "explain", "meaning", "define", "sutta", "suttas", "dhamma", "buddha",
-    "noble", "eightfold", "path", "meditation", "jhana", "karma", "rebirth", "nibbana", "nirvana",
-    "teach", "teaching", "compare", "difference", "according", "chapter", "verse", "quote",
-    "paraphrase", "discourse", "canon",
-]
-SUBSTANTIVE_AFTER_HOW = [
-    "do", "does", "did", "can", "could", "should", "would", "is", "are", "was", "were",
-    "many", "much", "long", "far", "often", "come", "work",
-]
-SUBSTANTIVE_ID_FORMS = [r"an\d+\s*\.", r"c?an\s*\d"]
+SUBSTANTIVE = (
+    r"\b(?:what|why|when|where|who|whom|which|"
+    r"how\s+(?:do|does|did|can|could|should|would|is|are|was|were|many|much|long|far|often|come|work)|"
+    r"explain|meaning|define|sutta|suttas|dhamma|buddha|noble|eightfold|path|meditation|jhana|karma|rebirth|nibbana|nirvana|"
+    r"teach|teaching|compare|difference|according|chapter|verse|quote|paraphrase|discourse|canon|an\d+\s*\.|c?an\s*\d)\b"
+)
 GREETING_PHRASES = [
     "hi", "hello", "hey", "yo", "sup", "howdy", "greetings", "hi there", "hey there", "hello there",
     "good morning", "good afternoon", "good evening", "good day", "thanks", "thank you", "thankyou",

@@ -283,8 +283,6 @@ def is_small_talk(c: Column | str) -> Column:
     """A short greeting or thanks that needs no retrieval."""
     q = strip(c)
     low = F.lower(q)
-    after_how = "|".join(K.SUBSTANTIVE_AFTER_HOW)
-    hints = "|".join(K.SUBSTANTIVE_WORDS + [rf"how\s+(?:{after_how})"] + K.SUBSTANTIVE_ID_FORMS)
     probe = F.regexp_replace(F.regexp_replace(low, r"[!?.]+\z", ""), f"[{K.WS_CLASS}]+", " ")
     tokens = F.regexp_extract_all(probe, F.lit("[a-z']+"), F.lit(0))
     small = F.array(*[F.lit(w) for w in K.GREETING_TOKENS])
@@ -299,6 +297,6 @@ def is_small_talk(c: Column | str) -> Column:
         | (F.length(q) > K.GREETING_MAX_CHARS)
         | F.rlike(q, F.lit(r"(?U)\d"))
         | (q.contains("?") & ~F.rlike(low, F.lit(r"(?U)how\s+are\s+you")))
-        | F.rlike(low, F.lit(rf"(?iU)\b(?:{hints})\b"))
+        | F.rlike(low, F.lit(f"(?iU){K.SUBSTANTIVE}"))
     )
     return ~refused & (probe.isin(*K.GREETING_PHRASES) | only_small)

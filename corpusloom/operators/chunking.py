@@ -22,15 +22,14 @@ def chunk_rows(df: DataFrame, text: str = "text", size: int = K.CHUNK_SIZE, over
 def number_chunks(df: DataFrame, order: str, text: str = "text", size: int = K.CHUNK_SIZE, overlap: int = K.CHUNK_OVERLAP) -> DataFrame:
     """Chunks with their table-wide running number.
 
-    ``order`` is a unique integral position of each document. Only (order, count)
-    pairs take part in the prefix sum; texts are joined to their document's start.
+    ``order`` is a unique integral position of each document. Texts are cut once; the
+    chunks stay with their document while its start is summed.
     """
     others = [c for c in df.columns if c != text]
     cut = df.withColumn("_chunks", native.chunk_texts(F.col(text), size, overlap))
-    counts = cut.select(order, F.size("_chunks").alias("_count"))
-    starts = with_running_start(counts, order, "_count", "_start").select(order, "_start")
+    counted = cut.select(*others, "_chunks", F.size("_chunks").alias("_count"))
     return (
-        cut.join(starts, order)
+        with_running_start(counted, order, "_count", "_start")
         .select(*others, "_start", F.posexplode("_chunks").alias("chunk_index", text))
         .withColumn("global_chunk_index", F.col("_start") + F.col("chunk_index"))
         .drop("_start")

@@ -1,61 +1,40 @@
 """Neighbour and position operators that never gather one whole group in one task.
 
-A plain ``lag`` over ``partitionBy(group)`` sends a group holding a third of all
-rows to a single task. Here every group is cut into blocks of its integral order
-column; windows run inside blocks only, and what crosses a block border is carried
-by joins on (group, block) over tables that shrink by the block size at each level.
-Order values must be unique inside their group.
+A plain ``lag`` over ``partitionBy(group)`` sends a group holding a third of all rows to a
+single task. Here all rows are put in the order of group and order column by one range
+partitioning, which cuts a large group wherever the sampled quantiles fall, and stored;
+windows run inside its partitions only. What crosses a border - the last row, or a sum - is
+carried by a table of one row per partition.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 4096
-_LEVELS = 2
-
+from ..storage import stored
 
-def _block(order: Column) -> Column:
-    return F.floor(order / F.lit(BLOCK)).cast("bigint")
+#: Order values of one block, for callers that cut groups themselves.
+BLOCK = 4096
 
 
-def _previous_keys(keys: DataFrame, group: list[str], order: str, levels: int) -> DataFrame:
-    """(group, order, _prev): the preceding order value of every row, over narrow key columns."""
-    w = Window.partitionBy(*group)
-    if levels == 0:
-        return keys.withColumn("_prev", F.lag(order).over(w.orderBy(order)))
-    blk = f"_blk{levels}"
-    keys = keys.withColumn(blk, _block(F.col(order)))
-    inner = keys.withColumn("_in", F.lag(order).over(Window.partitionBy(*group, blk).orderBy(order)))
-    blocks = keys.groupBy(*group, blk).agg(F.max(order).alias("_last"))
-    before = _previous_keys(blocks.select(*group, blk), group, blk, levels - 1)
-    carried = before.withColumnRenamed("_prev", "_pb").join(
-        blocks.select(*group, F.col(blk).alias("_pb"), "_last"), [*group, "_pb"], "left"
-    )
-    return inner.join(carried.select(*group, blk, "_last"), [*group, blk], "left").select(
-        *group, order, F.coalesce("_in", "_last").alias("_prev")
-    )
+def _in_order(df: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` sorted, with its partition (``_part``) and a number that grows with the order (``_at``); stored, so both stay."""
+    ranged = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    return stored(ranged.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}), "ordered")
 
 
 def with_previous(df: DataFrame, group: list[str], order: str, values: list[str], alias: str) -> DataFrame:
     """Add ``alias``: a struct of ``values`` on the preceding row of the group (NULL on the first row)."""
-    packed = F.struct(*values)
-    cut = df.withColumn("_blk", _block(F.col(order)))
-    w = Window.partitionBy(*group, "_blk").orderBy(order)
-    rows = cut.withColumn("_in", F.lag(packed).over(w)).withColumn("_first", F.row_number().over(w) == 1)
-    tails = cut.groupBy(*group, "_blk").agg(F.max_by(packed, order).alias("_tail"))
-    before = _previous_keys(
-        cut.select(*group, "_blk").distinct(), group, "_blk", _LEVELS - 1
-    ).withColumnRenamed("_prev", "_pb")
-    carried = before.join(
-        tails.withColumnRenamed("_blk", "_pb"), [*group, "_pb"], "left"
-    ).select(*group, "_blk", "_tail")
-    return (
-        rows.join(carried, [*group, "_blk"], "left")
-        .withColumn(alias, F.when(F.col("_first"), F.col("_tail")).otherwise(F.col("_in")))
-        .drop("_blk", "_in", "_first", "_tail")
-    )
+    rows = _in_order(df, [*group, order])
+    packed = F.struct(F.struct(*group).alias("g"), F.struct(*values).alias("v"))
+    inside = F.lag(packed).over(Window.partitionBy("_part").orderBy("_at"))
+    tails = rows.groupBy("_part").agg(F.max_by(packed, "_at").alias("_tail"))
+    borders = tails.select("_part", F.lag("_tail").over(Window.orderBy("_part")).alias("_border"))
+    joined = rows.withColumn("_in", inside).join(borders, "_part", "left")
+    before = joined.withColumn("_before", F.coalesce("_in", "_border"))
+    same = F.col("_before.g").eqNullSafe(F.struct(*group))
+    return before.withColumn(alias, F.when(same, F.col("_before.v"))).drop("_part", "_at", "_in", "_border", "_before")
 
 
 def with_next(df: DataFrame, group: list[str], order: str, values: list[str], alias: str) -> DataFrame:
@@ -74,26 +53,14 @@ def drop_consecutive(df: DataFrame, group: list[str], order: str, values: list[s
 
 
 def with_running_start(df: DataFrame, order: str, amount: str, alias: str) -> DataFrame:
-    """Add ``alias``: the total of ``amount`` over all rows with a smaller ``order``.
-
-    A table-wide prefix sum in three levels: rows inside a block, blocks inside a
-    block of blocks, and the rest, each small enough for its window.
-    """
-    cut = df.withColumn("_b1", _block(F.col(order))).withColumn("_b2", _block(F.col("_b1")))
-
-    def exclusive(w):
-        return F.coalesce(
-            F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("bigint")
-        )
-
-    level1 = cut.groupBy("_b2", "_b1").agg(F.sum(amount).cast("bigint").alias("_n"))
-    level2 = level1.groupBy("_b2").agg(F.sum("_n").alias("_n"))
-    top = level2.withColumn("_t", exclusive(Window.orderBy("_b2"))).select("_b2", "_t")
-    mid = level1.withColumn("_m", exclusive(Window.partitionBy("_b2").orderBy("_b1"))).select("_b2", "_b1", "_m")
-    starts = mid.join(top, "_b2").select("_b1", (F.col("_m") + F.col("_t")).alias("_s"))
-    return (
-        cut.join(starts, "_b1")
-        .withColumn("_n", F.col(amount).cast("bigint"))
-        .withColumn(alias, exclusive(Window.partitionBy("_b1").orderBy(order)) + F.col("_s"))
-        .drop("_b1", "_b2", "_n", "_s")
-    )
+    """Add ``alias``: the total of ``amount`` over all rows with a smaller ``order``."""
+    rows = _in_order(df, [order])
+
+    def exclusive(value: str, w):
+        total = F.sum(F.col(value).cast("bigint")).over(w.rowsBetween(Window.unboundedPreceding, -1))
+        return F.coalesce(total, F.lit(0).cast("bigint"))
+
+    totals = rows.groupBy("_part").agg(F.sum(amount).cast("bigint").alias("_n"))
+    starts = totals.select("_part", exclusive("_n", Window.orderBy("_part")).alias("_s"))
+    inside = rows.withColumn("_i", exclusive(amount, Window.partitionBy("_part").orderBy("_at")))
+    return inside.join(starts, "_part").withColumn(alias, F.col("_i") + F.col("_s")).drop("_part", "_at", "_i", "_s")

@@ -138,31 +138,33 @@ def recent_messages(spark, sf):
     return C.recent_messages(table(spark, sf, "conversations"), n=3).select("conv_id", "turn", "role")
 
 
+#: Phrases that every conversation's turns are tried with besides their own text.
+TRIED = ["Hello There!!", " thanks  ", "how are you?", "whats up", "ok, thanks a lot", "What is the path?", "an 4.12"]
+
+
 @query(
     "greeting_classifier",
-    f"""WITH base AS (
-      SELECT conv_id, turn, v, {sql_strip('v')} AS q FROM (
-        SELECT conv_id, turn, CASE turn % 6 WHEN 0 THEN text WHEN 1 THEN 'Hello There!!' WHEN 2 THEN ' thanks  ' || role
-          WHEN 3 THEN 'how are you?' WHEN 4 THEN 'whats up' ELSE text || ' hi' END AS v FROM conversations)),
+    f"""WITH said AS (
+      SELECT conv_id, turn, -1 AS tried, text AS v FROM conversations
+      UNION ALL SELECT conv_id, turn, i, p || CASE WHEN i = 1 THEN role ELSE '' END FROM conversations,
+        (VALUES {', '.join(f"({i}, {sql_quote(t)})" for i, t in enumerate(TRIED))}) AS t(i, p)
+      UNION ALL SELECT conv_id, turn, {len(TRIED)}, text || ' hi' FROM conversations),
+    base AS (SELECT conv_id, turn, tried, {sql_strip('v')} AS q FROM said),
     probe AS (SELECT *, lower(q) AS low, regexp_replace(regexp_replace(lower(q), '[!?.]+$', ''), '[ \\t\\n\\r]+', ' ', 'g') AS p FROM base),
     tok AS (SELECT *, regexp_extract_all(p, '[a-z'']+') AS t FROM probe)
-    SELECT conv_id, turn, NOT (q = '' OR length(q) > 140 OR regexp_matches(q, '[0-9]')
+    SELECT conv_id, turn, tried, NOT (q = '' OR length(q) > 140 OR regexp_matches(q, '[0-9]')
         OR (contains(q, '?') AND NOT regexp_matches(low, 'how\\s+are\\s+you'))
-        OR regexp_matches(low, '\\b({'|'.join(K.SUBSTANTIVE_WORDS)}|how\\s+({'|'.join(K.SUBSTANTIVE_AFTER_HOW)})|an\\d+\\s*\\.|c?an\\s*\\d)\\b'))
+        OR regexp_matches(low, {sql_quote(K.SUBSTANTIVE)}))
       AND (list_contains([{', '.join(sql_quote(x) for x in K.GREETING_PHRASES)}], p)
         OR (length(p) <= 10 AND len(t) BETWEEN 1 AND 5
           AND len(list_filter(t, lambda x: NOT list_contains([{', '.join(sql_quote(x) for x in K.GREETING_TOKENS)}], x))) = 0)) AS small_talk
     FROM tok""",
 )
 def greeting_classifier(spark, sf):
-    t = F.col("turn") % 6
-    said = (
-        F.when(t == 0, F.col("text")).when(t == 1, F.lit("Hello There!!"))
-        .when(t == 2, F.concat(F.lit(" thanks  "), "role")).when(t == 3, F.lit("how are you?"))
-        .when(t == 4, F.lit("whats up")).otherwise(F.concat("text", F.lit(" hi")))
-    )
-    c = table(spark, sf, "conversations").withColumn("said", said)
-    return c.select("conv_id", "turn", is_small_talk("said").alias("small_talk"))
+    """Every turn's whole text, the same with a greeting behind it, and fixed phrases."""
+    texts = [F.col("text"), *[F.concat(F.lit(t), "role") if i == 1 else F.lit(t) for i, t in enumerate(TRIED)], F.concat("text", F.lit(" hi"))]
+    said = table(spark, sf, "conversations").select("conv_id", "turn", F.posexplode(F.array(*texts)).alias("tried", "said"))
+    return said.select("conv_id", "turn", (F.col("tried") - 1).alias("tried"), is_small_talk("said").alias("small_talk"))
 
 
 @query(

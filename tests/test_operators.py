@@ -56,12 +56,11 @@ def test_chunk_numbers_equal_a_global_row_number(spark):
     rng = random.Random(3)
     docs = [(i * 3 + rng.randint(0, 2), "word. " * rng.randint(0, 900)) for i in range(300)]
     df = spark.createDataFrame(docs, "o bigint, text string")
-    old = ordered.BLOCK
-    ordered.BLOCK = 16
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
         got = chunking.number_chunks(df, "o").orderBy("o", "chunk_index").collect()
     finally:
-        ordered.BLOCK = old
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     assert [r.global_chunk_index for r in got] == list(range(len(got)))
 
 
@@ -75,14 +74,17 @@ def test_neighbours_across_blocks(spark, block):
             at += rng.choice([1, 1, 1, 9, 40])
             rows.append((g, at, rng.choice("xy")))
     df = spark.createDataFrame(rows, "g string, o bigint, v string")
-    old = ordered.BLOCK
-    ordered.BLOCK = block
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(min(block, 16)))
     try:
+        assert ordered._in_order(df, ["g", "o"]).select("_part").distinct().count() > 1
         prev = {(r.g, r.o): r.p for r in ordered.with_previous(df, ["g"], "o", ["o", "v"], "p").collect()}
         nxt = {(r.g, r.o): r.n for r in ordered.with_next(df, ["g"], "o", ["o", "v"], "n").collect()}
         kept = sorted((r.g, r.o, r.v) for r in ordered.drop_consecutive(df, ["g"], "o", ["v"]).collect())
     finally:
-        ordered.BLOCK = old
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     expected = []
     for g in "ab":
         mine = [r for r in rows if r[0] == g]
