@@ -129,6 +129,16 @@ def conversion_counts(conversations: DataFrame) -> DataFrame:
     )
 
 
+def turn_counts(turns: DataFrame, group: str = "conv_id") -> DataFrame:
+    """The counts of ``conversion_counts`` for conversations made of flat turns, without gathering their texts."""
+    each = turns.groupBy(group).agg(F.count_if(F.col("role").isNotNull() | F.col("text").isNotNull()).alias("n"))
+    return each.agg(
+        F.count("*").alias("total_conversations"),
+        F.count_if(F.col("n") > 0).alias("written"),
+        F.count_if(F.col("n") == 0).alias("skipped_empty"),
+    )
+
+
 # --- turns ----------------------------------------------------------------------
 
 

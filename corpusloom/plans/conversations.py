@@ -101,10 +101,10 @@ def conversation_role_map(spark, sf):
     WHERE NOT (pr IS NOT DISTINCT FROM role AND pt IS NOT DISTINCT FROM text) GROUP BY ALL""",
 )
 def conversation_drop_repeats_nested(spark, sf):
-    """Every turn is written twice; the repeats go inside the message arrays."""
+    """Every turn is written twice; the repeats go before the message arrays are made, and what is left inside them."""
     twice = table(spark, sf, "conversations").withColumn("_c", F.explode(F.array(F.lit(0), F.lit(1))))
-    n = C.nest_turns(twice.withColumn("turn", F.col("turn") * 2 + F.col("_c")))
-    kept = n.withColumn("messages", C.drop_repeats(F.col("messages")))
+    flat = drop_consecutive(twice.withColumn("turn", F.col("turn") * 2 + F.col("_c")), ["conv_id"], "turn", ["role", "text"])
+    kept = C.nest_turns(flat).withColumn("messages", C.drop_repeats(F.col("messages")))
     body = F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(":"), m["content"])), "|")
     return kept.select("conv_id", body.alias("body"))
 
@@ -312,4 +312,4 @@ def html_escaped(spark, sf):
     """SELECT count(*) AS total_conversations, count(*) AS written, 0::BIGINT AS skipped_empty FROM (SELECT DISTINCT conv_id FROM conversations)""",
 )
 def conversation_counts(spark, sf):
-    return C.conversion_counts(nested(spark, sf))
+    return C.turn_counts(table(spark, sf, "conversations").select("conv_id", "role", "text"))
