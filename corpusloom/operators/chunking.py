@@ -36,6 +36,86 @@ def number_chunks(df: DataFrame, order: str, text: str = "text", size: int = K.C
     )
 
 
+#: Characters of a piece that are taken at once, and chunks that are given on at once.
+STRIDE, TOGETHER = 1 << 16, 256
+
+
+def chunk_pieces(
+    pieces: DataFrame, group: str, order: list[str], text: str = "text", between: str = "\n\n",
+    size: int = K.CHUNK_SIZE, overlap: int = K.CHUNK_OVERLAP,
+) -> DataFrame:
+    """Chunks of texts that are given in ordered pieces: ``group, chunk_index`` and the chunk in place of the piece.
+
+    The same chunks as those of the pieces joined by ``between``, but the joined text never exists: pieces pass in
+    order, and a chunk is cut as soon as what decides its end has been seen. Null pieces count as empty ones.
+    """
+    if not 0 <= overlap < size // 2:
+        raise ValueError("overlap must be smaller than half the chunk size")
+    ahead = size + max(K.SENTENCE_SLACK, K.SPACE_SLACK)
+    kind = pieces.schema[group].dataType.simpleString()
+
+    def cut(batches):
+        import pyarrow as pa
+
+        held = {"key": None, "open": False, "buffer": "", "n": 0, "blank": [], "words": False}
+        keys, numbers, texts = [], [], []
+
+        def give(chunk: str) -> None:
+            # a text of blanks has no chunk: they wait until something else follows them
+            held["blank"].append(chunk)
+            held["words"] = held["words"] or chunk.strip() != ""
+            for one in held["blank"] if held["words"] else []:
+                keys.append(held["key"])
+                numbers.append(held["n"])
+                texts.append(one)
+                held["n"] += 1
+            if held["words"]:
+                held["blank"] = []
+
+        def add(part: str) -> None:
+            buffer = held["buffer"] + part
+            at = 0
+            while len(buffer) - at > ahead:
+                start, stop = next(native.chunk_spans(buffer[at : at + ahead + 1], size, overlap))
+                give(buffer[at : at + stop])
+                at += stop - overlap
+            held["buffer"] = buffer[at:]
+
+        def end() -> None:
+            for start, stop in native.chunk_spans(held["buffer"], size, overlap):
+                give(held["buffer"][start:stop])
+
+        def batch():
+            out = pa.RecordBatch.from_arrays(
+                [pa.array(keys, pieces_type[0]), pa.array(numbers, pa.int32()), pa.array(texts, pa.string())], [group, "chunk_index", text]
+            )
+            for column in (keys, numbers, texts):
+                column.clear()
+            return out
+
+        pieces_type: list = []
+        for b in batches:
+            pieces_type[:] = [b.schema.field(0).type]
+            for key, piece in zip(b.column(0).to_pylist(), b.column(1)):
+                piece = piece.as_py() or ""
+                if not held["open"] or key != held["key"]:
+                    if held["open"]:
+                        end()
+                    held.update(key=key, open=True, buffer="", n=0, blank=[], words=False)
+                else:
+                    add(between)
+                for low in range(0, len(piece), STRIDE):
+                    add(piece[low : low + STRIDE])
+                    if len(keys) >= TOGETHER:
+                        yield batch()
+        if held["open"]:
+            end()
+            yield batch()
+
+    rows = pieces.select(group, *order, text).repartition(group).sortWithinPartitions(group, *order).select(group, text)
+    return rows.mapInArrow(cut, f"{group} {kind}, chunk_index int, {text} string")
+
+
 def transcript_chunk_id(stem: Column, prefix: str = "txt") -> Column:
     return F.concat(
         F.lit(f"{prefix}-"), stem, F.lit("-c"), F.col("chunk_index").cast("string"),

@@ -151,3 +151,16 @@ def bundle_object_read(spark, sf):
     path = f"{shared_folder(spark, 'bundle')}/vectors.json"
     write_bundle_object(rows, path, "stored")
     return read_bundle_object(spark, path).select("suttaid", "book", F.size("embedding").alias("dims"))
+
+
+@query(
+    "conversation_chunks_from_turns",
+    "WITH RECURSIVE src AS (SELECT conv_id AS k, string_agg(role || ': ' || text, chr(10) || chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id), "
+    + chunks_sql("src")
+    + " SELECT k AS conv_id, chunk_index, length(chunk) AS n_chars, md5(chunk) AS chunk_md5 FROM chunks",
+)
+def conversation_chunks_from_turns(spark, sf):
+    """Chunks of whole conversations, cut from their turns as they pass, without joining a conversation's text."""
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", F.concat("role", F.lit(": "), "text").alias("text"))
+    cut = C.chunk_pieces(turns, "conv_id", ["turn"])
+    return cut.select("conv_id", "chunk_index", F.char_length("text").alias("n_chars"), F.md5("text").alias("chunk_md5"))

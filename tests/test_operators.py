@@ -404,3 +404,27 @@ def test_missing_report_lines(spark):
         "Distinct canon_id only (count 2):", "an1.1", "an1.2", "",
         "--- Full segment list (tab-separated) ---", "json_file\tsegment_index\ttranscript_id\tcanon_id", "a.json\t9\t1.1\tan1.1", "a.json\t10\t\tan1.2", "b.json\t2\t1.1\tan1.1",
     ]
+
+
+def test_chunks_from_pieces_equal_those_of_the_whole_text(spark, monkeypatch):
+    monkeypatch.setattr(chunking, "STRIDE", 700)
+    monkeypatch.setattr(chunking, "TOGETHER", 3)
+    rng = random.Random(12)
+    rows = []
+    for g in range(40):
+        for i in range(rng.choice([1, 2, 5, 60])):
+            piece = rng.choice([None, "", " " * rng.randint(0, 4000), "word. " * rng.randint(0, 900), "x" * rng.randint(0, 5000), "é word " * rng.randint(0, 300)])
+            rows.append((g, i, piece))
+    rows += [(None, 0, "a key that is null. " * 200), (99, 0, " "), (99, 1, None)]
+    df = spark.createDataFrame(rows, "g bigint, i int, text string")
+    found = {}
+    for r in chunking.chunk_pieces(df, "g", ["i"], between="\n\n").collect():
+        found.setdefault(r.g, {})[r.chunk_index] = r.text
+    whole = {}
+    for g, i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
+        whole[g] = t or "" if g not in whole else whole[g] + "\n\n" + (t or "")
+    from corpusloom.functions.native import chunk_spans
+
+    want = {g: [t[a:b] for a, b in chunk_spans(t)] for g, t in whole.items() if t.strip()}
+    assert {g: [c[k] for k in sorted(c)] for g, c in found.items()} == want
+    assert all(sorted(c) == list(range(len(c))) for c in found.values())
