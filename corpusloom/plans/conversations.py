@@ -11,6 +11,8 @@ from ..functions.scoring import is_small_talk
 from ..functions.text import escape_html, question_title
 from ..operators import conversations as C
 from ..operators.ordered import drop_consecutive
+from ..storage import shared_folder
+from ..streaming.index import feedback_over_time, merge_batch, stored_index
 from .registry import query, table
 from .search import sql_quote
 from .standins import sql_squeeze, sql_strip
@@ -269,6 +271,35 @@ def history_index_upsert(spark, sf):
     return C.upsert_index(known.unionByName(gone), turns)
 
 
+@query(
+    "live_index_batches",
+    f"""WITH {TURNS_SQL}, ok AS (SELECT * FROM turns WHERE trim(q) <> '' AND trim(a) <> '' AND trim(a) <> '(no answer)')
+    SELECT id, substr(min(lpad(ts::VARCHAR, 20, '0') || q), 21) AS title, max(ts) AS updated_ts FROM ok GROUP BY id""",
+)
+def live_index_batches(spark, sf):
+    """The log merged into the stored index quarter by quarter, one quarter twice, as the stream's batches are."""
+    turns = C.accepted_turns(turn_log(spark, sf)).select(F.col("conversation_id").alias("id"), "ts", "q")
+    cuts = turns.approxQuantile("ts", [0.25, 0.5, 0.75], 0.01) or [0.0]
+    folder = shared_folder(spark, "live-index")
+    part = sum((F.col("ts") >= c).cast("int") for c in cuts)
+    for number in [*range(len(cuts) + 1), 1]:
+        some = turns.where(part == number).groupBy("id").agg(F.min(F.struct("ts", "q")).alias("f"), F.max("ts").alias("updated_ts"))
+        merge_batch(some.select("id", F.col("f.ts").alias("first_ts"), F.col("f.q").alias("q"), "updated_ts"), number, folder)
+    return stored_index(spark, folder)
+
+
+@query(
+    "feedback_windows",
+    """SELECT (epoch_us(ts) // 1000 // 3600000) * 3600000 AS start,
+    CASE WHEN value < 30 THEN -1 WHEN value < 60 THEN 0 ELSE 1 END AS rating, count(*) AS n FROM events GROUP BY ALL""",
+)
+def feedback_windows(spark, sf):
+    """Ratings per hour of event time: the batch twin of the stream's windows."""
+    rating = F.when(F.col("value") < 30, -1).when(F.col("value") < 60, 0).otherwise(1)
+    rows = table(spark, sf, "events").select(rating.alias("rating"), F.unix_millis(F.col("ts").cast("timestamp")).alias("timestamp"))
+    return feedback_over_time(rows)
+
+
 @query(
     "append_log_counts",
     """SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, sum((props->>'$.k')::INT)::BIGINT AS k_total,
