@@ -1,5 +1,6 @@
 """Operators against brute force on small fixtures, and their invariants."""
 
+import difflib
 import random
 
 import pytest
@@ -43,7 +44,6 @@ def test_chunks_cover_text(t):
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet="aabbcdefgh ", max_size=420), st.text(alphabet="aabbcdefgh ", max_size=420), st.floats(0, 1))
 def test_ratio_equals_the_standard_library(a, b, floor):
-    import difflib
     from collections import Counter
 
     want = difflib.SequenceMatcher(None, a, b).ratio()
@@ -263,7 +263,6 @@ def test_units(spark):
 
 @pytest.mark.parametrize("limit", [64, 3])
 def test_candidates_equal_brute_force(spark, monkeypatch, limit):
-    import difflib
 
     rng = random.Random(5)
     words = "noble path right view effort mind faith energy power wisdom seven five".split()
@@ -428,3 +427,26 @@ def test_chunks_from_pieces_equal_those_of_the_whole_text(spark, monkeypatch):
     want = {g: [t[a:b] for a, b in chunk_spans(t)] for g, t in whole.items() if t.strip()}
     assert {g: [c[k] for k in sorted(c)] for g, c in found.items()} == want
     assert all(sorted(c) == list(range(len(c))) for c in found.values())
+
+
+@pytest.mark.parametrize("tile,texts", [(3, 4), (5, 2), (64, 128)])
+def test_candidates_over_many_tiles_equal_brute_force(spark, monkeypatch, tile, texts):
+    monkeypatch.setattr(mapping, "TILE", tile)
+    monkeypatch.setattr(mapping, "TEXTS", texts)
+    monkeypatch.setattr(mapping, "SPAN", 25)
+    rng = random.Random(tile)
+    word = lambda: "".join(rng.choice("abcdeg") for _ in range(rng.randint(1, 5)))
+    openings = [" ".join(word() for _ in range(rng.choice([1, 3, 12, 40, 70])))[:320].strip() for _ in range(60)]
+    openings += openings[:4] + ["a" * 250]
+    own = [" ".join(word() for _ in range(rng.choice([1, 5, 30, 60])))[:300].strip() for _ in range(20)] + openings[2:9] + ["a"]
+    canon = spark.createDataFrame([(1 + i % 2, i, o) for i, o in enumerate(openings)], "book int, pos bigint, opening string")
+    units = spark.createDataFrame([(f"u{i}", 1 + i % 2, t) for i, t in enumerate(own)], "unit_id string, book int, text string")
+    found: dict = {}
+    for r in mapping.candidate_scores(units, canon, 4).orderBy("unit_id", "rank").collect():
+        found.setdefault(r.unit_id, []).append((round(r.score, 12), r.pos))
+    for i, t in enumerate(own):
+        scores = [(difflib.SequenceMatcher(None, t[:320], o[:320]).ratio(), p) for p, o in enumerate(openings) if p % 2 == i % 2]
+        want = sorted(scores, key=lambda s: (-s[0], s[1]))[:4]
+        assert found[f"u{i}"] == [(round(s, 12), p) for s, p in want], (t, i)
+    work = mapping.candidate_work(units, canon, 4).agg(F.sum("pairs").alias("pairs"), F.sum("scored").alias("scored")).first()
+    assert work.pairs >= work.scored > 0
