@@ -1,6 +1,7 @@
 import itertools
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -69,6 +70,41 @@ def test_base_patterns_equal_plain_search():
         assert pii.base_spans(text) == plain_base(text), text
 
 
+def test_base_patterns_equal_plain_search_on_any_characters():
+    r = random.Random(8)
+    for alphabet in ("0129.", "01 -4", "+0( )-.9", "a@.0_", "0.@+- a9é"):
+        for _ in range(3000):
+            text = "".join(r.choice(alphabet) for _ in range(r.randint(0, 40)))
+            assert pii.base_spans(text) == plain_base(text), text
+
+
+def test_luhn_and_shapes_equal_the_plain_rules():
+    r = random.Random(9)
+    for _ in range(500):
+        d = [r.randrange(10) for _ in range(r.randint(1, 30))]
+        total = sum(x if i % 2 == 0 else sum(divmod(2 * x, 10)) for i, x in enumerate(d[::-1]))
+        assert pii.luhn("".join(map(str, d))) == (total % 10 == 0)
+        word = "".join(r.choice("aAbÉß0123.@-二") for _ in range(r.randint(0, 90)))
+        out = []
+        for c in word:
+            s = "9" if c in "0123456789" else ("A" if c.isupper() else "a") if c.isalpha() else c
+            if not (s in "Aa" and out[-1:] == [s] or s == "9" and out[-5:] == ["9"] * 5):
+                out.append(s)
+        assert pii.shape(word) == "".join(out)
+
+
+def test_very_long_texts_take_linear_time():
+    field, n = pii.Tagger.train(), 1_000_000
+    texts = ["7" * n, "7." * (n // 2), "1.2." * (n // 4), "+" * n, "+1(" * (n // 3), "a" * n + "@" + "b" * n, "@" * n, "a@b." * (n // 4), "7 " * (n // 20), "4-" * (n // 2), "a9" * (n // 2)]
+    for text in texts:
+        start = time.perf_counter()
+        base = pii.base_spans(text)
+        field.added([text])
+        assert time.perf_counter() - start < 10, text[:9]
+        assert all(0 <= a < b <= len(text) for a, b, _ in base)
+    assert pii.base_spans("7" * n + " 10.0.0.1 " + "+" * n) == [(n + 1, n + 9, 1)]
+
+
 def test_labelled_table_is_learnt():
     tagger = pii.Tagger.train()
     for marked in pii.LABELLED:
