@@ -4,7 +4,9 @@ A chunk table has ``pos`` (unique, insertion order), ``source, suttaid,
 commentary_id, kind, book, conversation_id, text`` and ``embedding``. Every scan
 over it ends in a top-n whose size follows from ``k`` alone. That small result is
 fetched once (``bounded``), so the rules that look at neighbours do not repeat the
-scan, and the ids they ask for reach the next scan as literals.
+scan, and the ids they ask for reach the next scan as literals. Where every stored
+vector competes, one map-only pass measures and scores all chunks and stores those
+that compete (``scored``); cuts and rules read columns of that table.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from ..functions import native
 from ..functions.scoring import lexical_score
 from ..functions.text import search_terms, text_or_blank
 from ..functions.vectors import usable_vector
+from ..storage import stored
 from .dedup import keep_first, prefix_key, top_per_key
 
 #: Parts of a term's rows that are cut on their own before they meet.
@@ -77,19 +80,21 @@ def with_distance(chunks: DataFrame, vector: list[float], metric: str) -> DataFr
     return usable.withColumn("distance", native.distance_to(F.col("embedding"), vector, metric)).drop("embedding")
 
 
+def _found(terms: list[str], case_sensitive: bool) -> Column:
+    """Indexes of the terms a row's text holds, in order."""
+    hay = text_or_blank("text") if case_sensitive else F.lower(text_or_blank("text"))
+    if not terms:
+        return F.array().cast("array<int>")
+    return F.array_compact(F.array(*[F.when(hay.contains(t if case_sensitive else t.lower()), F.lit(i)) for i, t in enumerate(terms)]))
+
+
 def keyword_rows(chunks: DataFrame, terms: list[str], *, case_sensitive: bool, per_term: int | None) -> DataFrame:
     """Rows holding a term, with the index of the term that found them (``term``).
 
     All terms are tested in one scan. With a fetch limit, every term yields its first
     rows by position; a row cut for one term may still enter through a later one.
     """
-    hay = text_or_blank("text") if case_sensitive else F.lower(text_or_blank("text"))
-    found = F.array_compact(
-        F.array(*[F.when(hay.contains(t if case_sensitive else t.lower()), F.lit(i)) for i, t in enumerate(terms)])
-        if terms
-        else F.array().cast("array<int>")
-    )
-    hit = chunks.withColumn("_found", found).filter(F.size("_found") > 0)
+    hit = chunks.withColumn("_found", _found(terms, case_sensitive)).filter(F.size("_found") > 0)
     if per_term is None:
         return hit.withColumn("term", F.array_min("_found")).drop("_found")
     each = hit.withColumn("term", F.explode("_found")).drop("_found")
@@ -98,6 +103,19 @@ def keyword_rows(chunks: DataFrame, terms: list[str], *, case_sensitive: bool, p
     return top_per_key(parts.drop("_part"), ["term"], ["pos"], per_term)
 
 
+def scored(chunks: DataFrame, query: str, vector: list[float], profile: Profile) -> DataFrame:
+    """Chunks with a usable vector (term -1, distance) or else a query term (its index, no distance), and their lexical
+    score: one pass without a shuffle, stored."""
+    terms = search_terms(query, boost=profile.boost)
+    usable = usable_vector("embedding")
+    # a text is looked through only where no vector lets the row compete
+    measured = chunks.withColumn("term", F.when(usable, F.lit(-1)).otherwise(F.array_min(_found(terms, profile.case_sensitive))))
+    measured = measured.filter(F.col("term").isNotNull())
+    distance = F.when(F.col("term") < 0, native.distance_to(F.when(usable, F.col("embedding")), vector, profile.metric))
+    columns = [c for c in chunks.columns if c != "embedding"]
+    return stored(measured.select(*columns, distance.alias("distance"), "term", lexical_score("text", query).alias("lexical")), "candidates")
+
+
 def candidates(chunks: DataFrame, query: str, vector: list[float], k: int, profile: Profile) -> DataFrame:
     """Vector rows and the keyword rows they do not already cover, with their lexical score."""
     if not 1 <= k <= 20:
@@ -105,27 +123,21 @@ def candidates(chunks: DataFrame, query: str, vector: list[float], k: int, profi
     columns = [c for c in PAYLOAD if c in chunks.columns]
     base = chunks.select(*columns, "embedding")
     if profile.nearest_only:
-        near = nearest(base, vector, vector_limit(k), profile.metric)
+        near = bounded(nearest(base, vector, vector_limit(k), profile.metric).withColumn("term", F.lit(-1)), vector_limit(k))
+        terms = search_terms(query, boost=profile.boost)
+        words = keyword_rows(base, terms, case_sensitive=profile.case_sensitive, per_term=term_limit(k)).drop("embedding")
+        words = words.withColumn("distance", F.lit(None).cast("double"))
     else:
-        near = with_distance(base, vector, profile.metric)
-    near = near.withColumn("term", F.lit(-1))
-    if profile.nearest_only:
-        near = bounded(near, vector_limit(k))
+        both = scored(base, query, vector, profile)
+        near, words = both.filter("term < 0"), both.filter("term >= 0")
 
     key = prefix_key(200, *profile.key)
     names = [f"_p{i}" for i in range(len(key))]
-    words = keyword_rows(
-        base if profile.nearest_only else base.filter(~usable_vector("embedding")),
-        search_terms(query, boost=profile.boost),
-        case_sensitive=profile.case_sensitive,
-        per_term=term_limit(k) if profile.nearest_only else None,
-    ).drop("embedding")
     words = keep_first(words, key, ["term", "pos"]).withColumns(dict(zip(names, key)))
     covered = near.select(*[c.alias(n) for n, c in zip(names, key)]).distinct()
-    fresh = words.join(covered, names, "left_anti").drop(*names).withColumn("distance", F.lit(None).cast("double"))
-    pool = near.unionByName(fresh).withColumn("lexical", lexical_score("text", query))
+    pool = near.unionByName(words.join(covered, names, "left_anti").drop(*names))
     if profile.nearest_only:
-        pool = bounded(pool, vector_limit(k) + K.TERMS_SCRIPTURE * term_limit(k))
+        pool = bounded(pool.withColumn("lexical", lexical_score("text", query)), vector_limit(k) + K.TERMS_SCRIPTURE * term_limit(k))
     return pool
 
 
@@ -199,7 +211,7 @@ def quota_pick(ranked: DataFrame, k: int) -> DataFrame:
 def neighbours(top: DataFrame, pool: DataFrame) -> DataFrame:
     """From one pass over the pool: the best reading and commentary of every id in the result
     (``_for`` = id) and of the pool as a whole (``_for`` = ``*``). At most two rows per result row plus two."""
-    ids = [r.suttaid for r in top.select("suttaid").distinct().collect() if r.suttaid]
+    ids = sorted({r.suttaid for r in top.select("suttaid").collect() if r.suttaid})
     mine = F.when(F.col("suttaid").isin(ids), F.concat(F.lit("="), "suttaid")) if ids else F.lit(None).cast("string")
     side = pool.withColumn("_kind", _kind()).filter(F.col("_kind").isin("commentary", "sutta"))
     keyed = side.withColumn("_for", F.explode(F.array_compact(F.array(mine, F.lit("*")))))
@@ -258,10 +270,9 @@ def _finish(top: DataFrame, pool: DataFrame, k: int) -> DataFrame:
 
 
 def search_bundle(chunks: DataFrame, query: str, vector: list[float], k: int = K.FORCED_K) -> DataFrame:
-    """Portable vector table: every stored vector competes. Two passes over the table."""
+    """Portable vector table: every stored vector competes. One pass over the table."""
     pool = candidates(chunks, query, vector, k, BUNDLE)
-    head = bounded(best(pool, candidate_limit(k)), candidate_limit(k))
-    return _finish(bounded(quota_pick(head, k), k), pool, k)
+    return _finish(bounded(quota_pick(best(pool, candidate_limit(k)), k), k), pool, k)
 
 
 def search_book(chunks: DataFrame, query: str, vector: list[float], k: int, scorer=None) -> DataFrame:
