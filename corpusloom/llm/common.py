@@ -241,6 +241,14 @@ def runs(doc: np.ndarray, values: np.ndarray, width: int, first: np.ndarray) ->
     return np.concatenate([full, whole]), np.concatenate([doc[starts], short])
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """``name``, with underscores added until no column is called so (case doesn't count)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 #: Row keys that are sent to every task at most (8 bytes each); with more, rows are shuffled to them.
 IDS_SENT = 1_000_000
 
@@ -253,17 +261,18 @@ def row_key(docs: DataFrame) -> Column:
 def without(docs: DataFrame, gone: DataFrame, once: DataFrame | None = None) -> DataFrame:
     """``docs`` but for the rows whose ``row_key`` is in ``gone`` (key); of equal rows whose key is in ``once``, one stays.
 
-    Texts are only shuffled for the rows in ``once`` and if a list is long.
+    Texts are only shuffled for the rows in ``once`` and if a list is long. Columns of any name stay as they are.
     """
+    row = free_name(docs.columns, "__row")
 
     def listed(keys: DataFrame) -> tuple[DataFrame, int]:
-        keys = stored(keys.select(F.col("key").alias("__row")).distinct(), "rows")
+        keys = stored(keys.select(F.col("key").alias(row)).distinct(), "rows")
         n = keys.limit(IDS_SENT + 1).count()
         return F.broadcast(keys) if n <= IDS_SENT else keys, n
 
-    keyed = docs.withColumn("__row", row_key(docs))
-    rest = keyed.join(listed(gone if once is None else gone.select("key").unionByName(once.select("key")))[0], "__row", "left_anti").select(*docs.columns)
+    keyed = docs.withColumn(row, row_key(docs))
+    rest = keyed.join(listed(gone if once is None else gone.select("key").unionByName(once.select("key")))[0], row, "left_anti").select(*docs.columns)
     if once is None:
         return rest
     single, n = listed(once)
-    return rest.unionByName(keyed.join(single, "__row", "left_semi").dropDuplicates(["__row"]).select(*docs.columns)) if n else rest
+    return rest.unionByName(keyed.join(single, row, "left_semi").dropDuplicates([row]).select(*docs.columns)) if n else rest

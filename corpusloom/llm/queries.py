@@ -76,7 +76,7 @@ def toxic_documents(spark, sf_dir):
     scored = toxicity.scores(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
     return scored.select(
         "doc_id",
-        (F.pmod(fold(), F.lit(5)) == 0).alias("held_out"),
+        F.coalesce(F.pmod(fold(), F.lit(5)) == 0, F.lit(False)).alias("held_out"),
         F.col("toxic_score").alias("score"),
         (F.col("toxic_score") >= 0.5).cast("int").alias("predicted"),
     )

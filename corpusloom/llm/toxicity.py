@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, NON_WORD_BYTES, Words, column_bytes, fold, lean, mix, pieces, stored
+from .common import CHUNK_BYTES, NON_WORD_BYTES, Words, column_bytes, fold, free_name, lean, mix, pieces, stored
 from .crf import Crf, batches, padded
 
 #: Labelled documents of each kind that training looks at, at most (the ones of least hash).
@@ -53,13 +53,16 @@ def _documents(batch, column: int) -> Iterator[tuple[int, int, Words]]:
 def sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> DataFrame:
     """At most ``size`` labelled documents of either kind, none of them held out: text, toxic.
 
-    A document with several labels is toxic if one of them says so; null labels and ids don't count.
+    A document with several labels is toxic if one of them says so; null labels, ids and texts don't count. Of rows that
+    share an id the text of least hash is the document, so that the bound holds for rows too.
     """
     known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(F.pmod(fold(), F.lit(5)) != 0)
     known = known.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     some = [known.where(c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(size) for c in ("toxic > 0", "toxic <= 0")]
     picked = some[0].unionByName(some[1])
-    return docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(picked), "doc_id").select("text", "toxic")
+    rows = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(picked), "doc_id")
+    least = F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("least")
+    return rows.groupBy("doc_id", "toxic").agg(least).select("least.text", "toxic")
 
 
 def vocabulary(chosen: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -227,16 +230,20 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def scores(docs: DataFrame, model: Model, spans: bool = False) -> DataFrame:
-    """All columns of ``docs`` and ``toxic_score`` (0 to 1); with ``spans`` also toxic_spans: start, end, probability.
+def scores(docs: DataFrame, model: Model, spans: bool = False, name: str = "toxic_score") -> DataFrame:
+    """All columns of ``docs`` and the score (0 to 1) as ``name``; with ``spans`` also toxic_spans: start, end, probability.
 
     Spans are words of probability one half or more, in bytes of the text's UTF-8. A null text counts as empty; an
-    empty one has the score of a text without offending words. Nothing is shuffled.
+    empty one has the score of a text without offending words; every row, also one that repeats or has no id, is scored
+    for itself; an empty table gives no rows. A column of ``docs`` that has the name of a result is replaced; give
+    another ``name`` (``free_name``) to keep it. Nothing is shuffled.
     """
     import pyarrow as pa
 
     parts = model.parts()
-    kept = [c for c in docs.columns if c not in ("toxic_score", "toxic_spans")]
+    made = [name, *["toxic_spans"] * spans]
+    kept = [c for c in docs.columns if c.lower() not in made]
+    raw = free_name(kept, "__bytes")
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("p", pa.float64())]))
 
     def tag(batches_: Iterator) -> Iterator:
@@ -255,9 +262,9 @@ def scores(docs: DataFrame, model: Model, spans: bool = False) -> DataFrame:
                             d = int(w.doc[i])
                             rows[d].append({"start": int(w.start[i] - borders[d]), "end": int(w.end[i] - borders[d]), "p": q})
                     columns.append(pa.array(rows, kind))
-                yield pa.RecordBatch.from_arrays(columns, [*kept, "toxic_score", *["toxic_spans"] * spans])
+                yield pa.RecordBatch.from_arrays(columns, [*kept, *made])
 
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
-    schema = f"{fields}, toxic_score double" + (", toxic_spans array<struct<start:long,end:long,p:double>>" if spans else "")
-    given = docs.select(*kept, F.coalesce("text", F.lit("")).cast("binary").alias("__bytes"))
+    schema = f"{fields}, `{name}` double" + (", toxic_spans array<struct<start:long,end:long,p:double>>" if spans else "")
+    given = docs.select(*kept, F.coalesce("text", F.lit("")).cast("binary").alias(raw))
     return given.mapInArrow(lean(tag), schema)

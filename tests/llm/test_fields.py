@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 
 from corpusloom.llm import pii, toxicity
-from corpusloom.llm.common import word_hash
+from corpusloom.llm.common import free_name, row_key, without, word_hash
 from corpusloom.llm.crf import Crf, batches, padded
 from llm_samples import edge_texts, words
 
@@ -182,6 +182,25 @@ def test_toxicity_without_labels_and_with_odd_rows(spark, docs):
     assert 0 <= toxicity.scores(docs(["a b"]), some).first().toxic_score <= 1
 
 
+def test_the_sample_is_bounded_in_rows_where_ids_repeat(spark, docs):
+    texts, toxic = toxic_corpus(60)
+    frame = docs(texts * 3 + [None], [*range(60)] * 3 + [1])
+    labels = labels_frame(spark, toxic)
+    rows = toxicity.sample(frame, labels, 10).collect()
+    assert sorted(Counter(r.toxic for r in rows).values()) == [10, 10]
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, toxicity.sample(docs(texts), labels, 10).collect()))
+
+
+def test_columns_named_like_results_stay(spark, docs):
+    assert free_name(["A", "b", "b_"], "B") == "B__" and free_name(["A"], "c") == "c"
+    frame = docs([words(1, 9), None]).withColumnRenamed("source", "toxic_score").withColumnRenamed("lang", "__row")
+    model = toxicity.train(frame, labels_frame(spark, []))
+    rows = toxicity.scores(frame, model, name=free_name(frame.columns, "toxic_score")).collect()
+    assert [(r.toxic_score, 0 <= r.toxic_score_ < 0.5) for r in rows] == [("s", True)] * 2
+    rest = without(frame, frame.where("text IS NULL").select(row_key(frame).alias("key")))
+    assert rest.columns == frame.columns and [r["__row"] for r in rest.collect()] == ["en"]
+
+
 def test_long_stretches_are_trained_on_in_pieces(spark):
     model = toxicity.Model(*toxicity_terms(["bad", "worse"]), np.zeros((toxicity.Model.N_FEATURES, 2)), np.zeros((2, 2)), np.zeros(4))
     texts = [("bad worse " * 75, 1), ("bad " * 64, 1), ("a bad end", 0), ("worse " * 65, 0)]
