@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import packing, pii, positional, sketchjoin, toxicity
-from corpusloom.llm.common import row_key, small_batches, stored, without
+from corpusloom.llm.common import free_name, row_key, small_batches, stored, without
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,9 +18,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is under one half; trained on the labels of those at hand."""
+    """Documents whose toxicity score is under one half, with their columns as given (also one named toxic_score);
+    trained on the labels of those at hand."""
     model = toxicity.train(docs, _table(spark, sf_dir, "labels"))
-    return toxicity.scores(docs, model).where("toxic_score < 0.5").select(*docs.columns)
+    name = free_name([*docs.columns, "toxic_spans"], "toxic_score")
+    return toxicity.scores(docs, model, name=name).where(F.col(name) < 0.5).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
