@@ -33,10 +33,10 @@ MEMORY = {
 }
 
 
-def small_batches(spark: SparkSession) -> SparkSession:
-    """Set ``MEMORY`` where the session leaves it open."""
+def small_batches(spark: SparkSession, smaller: dict[str, str] | None = None) -> SparkSession:
+    """Set ``MEMORY``, changed by ``smaller``, where the session leaves it open."""
     own = spark._jsparkSession.sessionState().conf()
-    for key, value in MEMORY.items():
+    for key, value in {**MEMORY, **(smaller or {})}.items():
         if not own.contains(key):
             spark.conf.set(key, value)
     return spark
