@@ -13,8 +13,17 @@ from corpusloom.llm import packing, pii, positional, sketchjoin, toxicity
 from corpusloom.llm.common import free_name, row_key, small_batches, stored, without
 
 
+#: All stages run in one session, whose memory grows from stage to stage: their batches are half as large as usual.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "512", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20), "spark.sql.parquet.columnarReaderBatchSize": "512"}
+
+
+def _small(spark: SparkSession) -> SparkSession:
+    """``BATCHES`` where the session leaves them open, else what it has set itself."""
+    return small_batches(spark, BATCHES)
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return small_batches(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return _small(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +40,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Rows are told apart by all their columns, whatever their ids; of rows equal in all, one stays too. Documents without
     words are in no class and all stay.
     """
-    small_batches(spark)
+    _small(spark)
     named = docs.withColumn("doc_id", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", row_key(docs).alias("key")))
     classes = sketchjoin.near_duplicates(named).where("n_shingles > 0")
     moved = F.col("doc_id.key") != F.col("component_id.key")
@@ -49,13 +58,13 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The same documents with personal data in their texts replaced by its kind; n_chars is that of the new text."""
-    small_batches(spark)
+    _small(spark)
     return pii.redacted(docs)
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents' tokens in near-equal windows of at most 2048."""
-    small_batches(spark)
+    _small(spark)
     return packing.pack(docs)
 
 
