@@ -109,10 +109,11 @@ def read_array_files(spark: SparkSession, path: str | list[str], schema: str, pa
 
     folder = F.regexp_extract("path", "/json_file=([^/]*)/", 1)
     name = F.coalesce(F.nullif(folder, F.lit("")), F.element_at(F.split("path", "/"), -1))
-    rows = parsed.join(whole, "path", "left_semi").withColumn("path", decoded(F.col("path")))
+    # a row per file, as many as Spark lists on the driver; a shuffle by path would bring a file's text to one task
+    rows = parsed.join(F.broadcast(whole), "path", "left_semi").withColumn("path", decoded(F.col("path")))
     rows = rows.select(name.alias("json_file"), F.col("item").cast("int").alias("segment_index"), _objects(F.col("v"), schema).alias("_r"))
 
-    lines = numbered_lines(spark, path).join(whole.select(decoded(F.col("path")).alias("path")), "path", "left_anti")
+    lines = numbered_lines(spark, path).join(F.broadcast(whole.select(decoded(F.col("path")).alias("path"))), "path", "left_anti")
     lines = lines.where(F.element_at(F.split("path", "/"), -1).rlike(fnmatch.translate(pattern)) & (strip("value") != ""))
     counted = lines.withColumn("_block", F.floor(F.col("line_no") / LINES))
     place = F.row_number().over(Window.partitionBy("path", "_block").orderBy("line_no")) - 1

@@ -2,6 +2,7 @@ import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from corpusloom.sources import arrays, bundles, files, sinks
 
@@ -62,6 +63,21 @@ def test_equals_the_reader_of_whole_files(spark, folder, size):
         spark.conf.unset("spark.sql.files.openCostInBytes")
 
 
+def test_the_text_of_one_file_never_meets_in_one_task(spark, tmp_path):
+    (tmp_path / "one.json").write_text(json.dumps(objects(6, 400)))
+    own = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
+    try:
+        rows = arrays.read_array_files(spark, str(tmp_path), DDL)
+        counts = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(counts) == 400 and max(counts) < 200
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 @pytest.mark.parametrize("before", [True, False])
 def test_bundle_object(spark, tmp_path, before):
     r = random.Random(3)
