@@ -8,16 +8,22 @@ left is verified on the text. Only folders that hold such rows are read again.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import let, text_or_blank
+from ..functions.text import text_or_blank
 from ..storage import shared_folder, stored
 
 #: Rows of a segment, as a power of two; folders of posting lists.
 SEGMENT_BITS, BUCKETS = 13, 64
+#: Characters whose trigrams are sorted at a time.
+CHARS = 1 << 21
 
 
 @dataclass(frozen=True)
@@ -33,13 +39,51 @@ def _hay(case_sensitive: bool) -> Column:
     return text_or_blank("text") if case_sensitive else F.lower(text_or_blank("text"))
 
 
-def trigrams(text: Column) -> Column:
-    """The distinct substrings of three characters."""
-    starts = lambda chars: F.sequence(F.lit(0), F.size(chars) - 3)
-    cut = lambda chars: F.transform(starts(chars), lambda i: F.concat(F.get(chars, i), F.get(chars, i + 1), F.get(chars, i + 2)))
-    # bound once, or each substring would split the text again
-    all_ = let(F.split(text, ""), lambda chars: F.when(F.size(chars) >= 3, cut(chars)).otherwise(F.array().cast("array<string>")))
-    return F.array_distinct(all_)
+def _codes(text: bytes) -> np.ndarray:
+    """The code points of UTF-8 bytes; each broken sequence counts as one odd character."""
+    return np.frombuffer(text.decode("utf-8", "replace").encode("utf-32-le"), np.uint32).astype(np.int64)
+
+
+def _lists(texts: list[np.ndarray], rows: np.ndarray, bits: int) -> pa.RecordBatch:
+    """``tri, segment, offsets``: for each trigram of some texts (as code points) the rows that hold it, by segment."""
+    flat = np.concatenate(texts)
+    place = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    inside = np.flatnonzero(place[:-2] == place[2:])
+    keys = (flat[:-2] << 42 | flat[1:-1] << 21 | flat[2:])[inside]
+    # stable, so that a trigram's rows stay in their order
+    order = np.argsort(keys, kind="stable")
+    keys, own = keys[order], rows[place[inside[order]]]
+    fresh = np.ones(len(keys), bool)
+    fresh[1:] = (keys[1:] != keys[:-1]) | (own[1:] != own[:-1])
+    keys, own = keys[fresh], own[fresh]
+    segment = own >> bits
+    first = np.ones(len(keys), bool)
+    first[1:] = (keys[1:] != keys[:-1]) | (segment[1:] != segment[:-1])
+    at = np.flatnonzero(first)
+    points = np.stack([keys[at] >> 42, keys[at] >> 21 & 0x1FFFFF, keys[at] & 0x1FFFFF], axis=1).astype(np.uint32)
+    spelt = points.tobytes().decode("utf-32-le")
+    tri = pa.array([spelt[i : i + 3] for i in range(0, len(spelt), 3)], pa.string())
+    offsets = pa.array((own & (1 << bits) - 1).astype(np.int32))
+    ends = pa.array(np.append(at, len(own)).astype(np.int32))
+    return pa.RecordBatch.from_arrays([tri, pa.array(segment[at]), pa.ListArray.from_arrays(ends, offsets)], ["tri", "segment", "offsets"])
+
+
+def _partial_lists(batches: Iterator[pa.RecordBatch], bits: int, chars: int) -> Iterator[pa.RecordBatch]:
+    """Lists of ``chars`` characters at a time; long texts are taken piece by piece."""
+    for batch in batches:
+        texts, rows, size = [], [], 0
+        for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            codes = _codes(text)
+            for start in range(0, max(len(codes) - 2, 0), chars):
+                piece = codes[start : start + chars + 2]
+                texts.append(piece)
+                rows.append(row)
+                size += len(piece)
+                if size >= chars:
+                    yield _lists(texts, np.array(rows, np.int64), bits)
+                    texts, rows, size = [], [], 0
+        if texts:
+            yield _lists(texts, np.array(rows, np.int64), bits)
 
 
 def _bucket(tri: Column) -> Column:
@@ -54,12 +98,16 @@ def build(rows: DataFrame, case_sensitive: bool = False) -> SubstringIndex:
     placed = placed.withColumns({"row": F.monotonically_increasing_id(), "folder": F.spark_partition_id()})
     placed.write.partitionBy("folder").parquet(f"{folder}/rows")
     kept = spark.read.schema(placed.schema).parquet(f"{folder}/rows")
-    each = kept.select("row", F.explode(trigrams(_hay(case_sensitive))).alias("tri"))
-    offset = F.col("row").bitwiseAND(F.lit((1 << SEGMENT_BITS) - 1)).cast("int")
-    listed = each.groupBy("tri", F.shiftright("row", SEGMENT_BITS).alias("segment")).agg(F.array_sort(F.collect_list(offset)).alias("offsets"))
-    listed = listed.withColumns({"n": F.size("offsets"), "bucket": _bucket(F.col("tri"))})
-    # sorted by trigram, so a scan skips row groups; cut by segment too, so a common trigram is written by several tasks
-    listed.repartitionByRange("bucket", "tri", "segment").sortWithinPartitions("bucket", "tri", "segment").write.partitionBy("bucket").parquet(f"{folder}/postings")
+    some = kept.select("row", _hay(case_sensitive).cast("binary").alias("text")).mapInArrow(partial(_partial_lists, bits=SEGMENT_BITS, chars=CHARS), "tri string, segment long, offsets array<int>")
+    # a folder's lists are dealt to several tasks, by segment too, as a common trigram has many
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    part = F.pmod(F.xxhash64("tri", "segment"), F.lit(max(1, 4 * n // BUCKETS))).cast("int")
+    dealt = some.withColumns({"bucket": _bucket(F.col("tri")), "part": part}).repartition("bucket", "part")
+    lists = F.sort_array(F.array_distinct(F.flatten(F.collect_list("offsets"))))
+    listed = dealt.groupBy("bucket", "part", "tri", "segment").agg(lists.alias("offsets"))
+    listed = listed.select("tri", "segment", F.size("offsets").alias("n"), "offsets", "bucket")
+    # sorted by trigram, so a scan skips row groups
+    listed.sortWithinPartitions("bucket", "tri", "segment").write.partitionBy("bucket").parquet(f"{folder}/postings")
     postings = spark.read.schema("tri string, segment long, n int, offsets array<int>, bucket int").parquet(f"{folder}/postings")
     return SubstringIndex(postings, kept.select(*rows.columns, "row", "folder"), case_sensitive)
 

@@ -34,3 +34,20 @@ def test_rare_terms_read_few_rows(spark):
     assert count[0] == 1 and count.get(1, 0) < 0.1 * len(own)
     plan = index.postings.where("bucket in (3) and tri in ('abc')")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [In(tri" in plan or "EqualTo(tri,abc)" in plan
+
+
+def test_lists_of_many_rows_meet_in_one_row():
+    """Before lists are shuffled, a trigram's rows are put together; texts longer than a turn are taken in pieces."""
+    import pyarrow as pa
+
+    own = texts(2, 40) + ["ab" * 300]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(own))), pa.array([(t or "").encode() for t in own])], ["row", "text"])
+    told = [(tri, row) for part in S._partial_lists([batch], 13, 50) for tri, row in zip(part["tri"].to_pylist(), part["offsets"].to_pylist())]
+    found = {(tri, row) for tri, rows in told for row in rows}
+    assert found == {(t[i : i + 3], row) for row, t in enumerate(own) for i in range(len(t or "") - 2)}
+    assert sum(part.num_rows for part in S._partial_lists([batch], 13, 1 << 21)) == len({tri for tri, _ in found})
+
+
+def test_broken_text_is_found_by_its_sound_parts(spark):
+    rows = spark.range(1).selectExpr("id as pos", "cast(concat(X'ff', cast('needle' as binary), X'c3') as string) as text")
+    assert [r.term for r in S.find(S.build(rows), ["needle", "need le"]).collect()] == [0]
