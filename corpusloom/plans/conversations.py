@@ -11,7 +11,7 @@ from ..functions.scoring import is_small_talk
 from ..functions.text import escape_html, question_title
 from ..operators import conversations as C
 from ..operators.ordered import drop_consecutive
-from ..storage import shared_folder
+from ..storage import shared_folder, stored
 from ..streaming.index import feedback_over_time, merge_batch, stored_index
 from .registry import query, table
 from .search import sql_quote
@@ -278,13 +278,16 @@ def history_index_upsert(spark, sf):
 )
 def live_index_batches(spark, sf):
     """The log merged into the stored index quarter by quarter, one quarter twice, as the stream's batches are."""
-    turns = C.accepted_turns(turn_log(spark, sf)).select(F.col("conversation_id").alias("id"), "ts", "q")
-    cuts = turns.approxQuantile("ts", [0.25, 0.5, 0.75], 0.01) or [0.0]
+    log = turn_log(spark, sf)
+    turns = C.accepted_turns(log).select(F.col("conversation_id").alias("id"), "ts", "q")
+    cuts = log.approxQuantile("ts", [0.25, 0.5, 0.75], 0.01) or [0.0]
     folder = shared_folder(spark, "live-index")
     part = sum((F.col("ts") >= c).cast("int") for c in cuts)
+    # the log is read once: a row per conversation and quarter is what a batch brings
+    each = turns.groupBy(part.alias("part"), "id").agg(F.min(F.struct("ts", "q")).alias("f"), F.max("ts").alias("updated_ts"))
+    each = stored(each.select("part", "id", F.col("f.ts").alias("first_ts"), F.col("f.q").alias("q"), "updated_ts"), "live-batches")
     for number in [*range(len(cuts) + 1), 1]:
-        some = turns.where(part == number).groupBy("id").agg(F.min(F.struct("ts", "q")).alias("f"), F.max("ts").alias("updated_ts"))
-        merge_batch(some.select("id", F.col("f.ts").alias("first_ts"), F.col("f.q").alias("q"), "updated_ts"), number, folder)
+        merge_batch(each.where(F.col("part") == number).drop("part"), number, folder)
     return stored_index(spark, folder)
 
 

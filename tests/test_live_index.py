@@ -92,3 +92,21 @@ def test_feedback_windows_drop_state_and_equal_the_batch(spark, tmp_path):
     batch = I.feedback_over_time(spark.createDataFrame(timely, "rating int, timestamp bigint"))
     final = [tuple(r) for r in batch.collect() if r.start < 9 * hour]
     assert sorted(found) == sorted(final)
+
+
+def test_the_log_is_read_once_for_all_batches(spark, tmp_path, monkeypatch):
+    from corpusloom.plans import conversations as P
+
+    n, seen = 400, spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = spark.createDataFrame([(uuid(i % 7), 10 * i, f"q{i}", "a", 1, i) for i in range(n)], "conversation_id string, ts bigint, q string, a string, latency_ms bigint, event_id bigint")
+    monkeypatch.setattr(P, "turn_log", lambda *_: rows.mapInArrow(counted, rows.schema))
+    found = table(P.live_index_batches(spark, "unused"))
+    assert found == [(uuid(i), f"q{i}", max(10 * k for k in range(n) if k % 7 == i)) for i in range(7)]
+    # once for the cuts, once for the batches
+    assert seen.value == 2 * n
