@@ -137,16 +137,32 @@ def canon_index(corpus: DataFrame) -> DataFrame:
     )
 
 
+def similarity_key(c: Column | str, chars: int = K.SIMILARITY_CHARS) -> Column:
+    """The first characters of the normalised text; where a text's start has enough of them, the rest isn't normalised.
+
+    Each step works character by character or on runs, so a start's form is the start of the whole's; only the case of a
+    capital sigma hangs on what follows.
+    """
+    t = text_or_blank(c)
+    n = chars + chars // 2
+    start = F.substring(t, 1, n)
+    sure = ~F.contains(start, F.lit("Σ"))
+    early = let(
+        normalize_for_similarity(start),
+        lambda key: F.when(((F.length(key) >= chars) & sure) | (F.length(t) <= n), key),
+    )
+    return F.substring(F.coalesce(early, normalize_for_similarity(t)), 1, chars)
+
+
 def _meetings(units: DataFrame, canon: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     """Keyed units, and what came of the blocks of texts and tiles of openings that met: ``book, _keys, _pairs, _best, _scored``.
 
     Both sides are in order of length. A block first meets the tile nearest to it in length; its k-th scores are the
     floors with which it meets the other tiles of the book, but for those whose lengths alone keep them below.
     """
-    keyed = units.withColumn("_key", F.substring(normalize_for_similarity("text"), 1, K.SIMILARITY_CHARS))
-    openings = canon.select(
-        "book", "pos", F.substring(normalize_for_similarity("opening"), 1, K.SIMILARITY_CHARS).alias("opening")
-    )
+    # texts are normalised once, for the blocks and for the units' rows
+    keyed = stored(units.select("unit_id", "book", similarity_key("text").alias("_key")), "keys")
+    openings = canon.select("book", "pos", similarity_key("opening").alias("opening"))
     spans = openings.where("opening IS NOT NULL").withColumn("_span", F.floor(F.col("pos") / SPAN))
     place = F.row_number().over(Window.partitionBy("book", "_span").orderBy(F.length("opening"), "pos")) - 1
     lengths = lambda c: (F.min(F.length(c)).alias("_low"), F.max(F.length(c)).alias("_high"))

@@ -450,3 +450,20 @@ def test_candidates_over_many_tiles_equal_brute_force(spark, monkeypatch, tile,
         assert found[f"u{i}"] == [(round(s, 12), p) for s, p in want], (t, i)
     work = mapping.candidate_work(units, canon, 4).agg(F.sum("pairs").alias("pairs"), F.sum("scored").alias("scored")).first()
     assert work.pairs >= work.scored > 0
+
+
+def test_similarity_keys_of_long_texts(spark, monkeypatch):
+    """The key is that of the whole text, and the rest of a text behind it is not normalised."""
+    K = mapping.K.SIMILARITY_CHARS
+    own = ["", None, "Short one", "word, " * 500, " \n\t" * 900 + "Late  Words " * 90, "A" * 318 + " ..." * 300 + "end", "İ" * 400, "ΑΣ" + "ʰ" * 2000 + "α", "x" * 319 + "Σ" + "'" * 1000 + "y"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(own)], "i int, text string")
+    whole = F.substring(mapping.normalize_for_similarity("text"), 1, K)
+    rows = df.select("i", mapping.similarity_key("text").alias("key"), whole.alias("whole")).collect()
+    assert all(r.key == r.whole for r in rows) and len(rows) == len(own)
+    units = df.select(F.col("i").cast("string").alias("unit_id"), F.lit(1).alias("book"), "text")
+    canon = spark.createDataFrame([(0, 1, "word word")], "pos bigint, book int, opening string")
+    stored_columns = []
+    keep = mapping.stored
+    monkeypatch.setattr(mapping, "stored", lambda d, what: stored_columns.append(d.columns) or keep(d, what))
+    assert mapping.candidate_scores(units, canon, 1).count() == len(own)
+    assert ["unit_id", "book", "_key"] in stored_columns
