@@ -1,9 +1,9 @@
 """A stored substring index: posting lists of character trigrams in segments of rows, intersected and verified.
 
-Rows are numbered in the order of their position and cut into segments. For each trigram and segment there is one list of
-the segment's rows that hold it, so a list never outgrows its segment, however common the trigram. A term's rows
-are in the lists of all its trigrams: these are intersected segment by segment, the shortest list first, and what is
-left is verified on the text. Only folders that hold such rows are read again.
+Rows are numbered as they are stored and cut into segments. For each trigram and segment there are lists of the
+segment's rows that hold it, one for each turn of its characters, so a list never outgrows its segment, however common
+the trigram. A term's rows are in the lists of all its trigrams: these are intersected segment by segment, the shortest
+first, and what is left is verified on the text. Only folders that hold such rows are read again.
 """
 
 from __future__ import annotations
@@ -20,10 +20,10 @@ from pyspark.sql import functions as F
 from ..functions.text import text_or_blank
 from ..storage import shared_folder, stored
 
-#: Rows of a segment, as a power of two; folders of posting lists.
+#: Rows of a segment, as a power of two (at most 15); folders of posting lists.
 SEGMENT_BITS, BUCKETS = 13, 64
 #: Characters whose trigrams are sorted at a time.
-CHARS = 1 << 21
+CHARS = 1 << 22
 
 
 @dataclass(frozen=True)
@@ -41,38 +41,50 @@ def _hay(case_sensitive: bool) -> Column:
 
 def _codes(text: bytes) -> np.ndarray:
     """The code points of UTF-8 bytes; each broken sequence counts as one odd character."""
-    return np.frombuffer(text.decode("utf-8", "replace").encode("utf-32-le"), np.uint32).astype(np.int64)
+    return np.frombuffer(text.decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
 
 
-def _lists(texts: list[np.ndarray], rows: np.ndarray, bits: int) -> pa.RecordBatch:
-    """``tri, segment, offsets``: for each trigram of some texts (as code points) the rows that hold it, by segment."""
+def _lists(texts: list[np.ndarray], rows: list[int], bits: int) -> Iterator[pa.RecordBatch]:
+    """``tri, segment, offsets``: for each trigram of some texts (as code points) of one segment the rows that hold it."""
     flat = np.concatenate(texts)
+    # the characters that occur are numbered, so that a trigram and its text are one number
+    seen = np.zeros(0x110000, bool)
+    seen[flat] = True
+    alphabet = np.flatnonzero(seen)
+    wide, low = max(1, (len(alphabet) - 1).bit_length()), (len(texts) - 1).bit_length()
+    if 3 * wide + low > 63:
+        half = len(texts) // 2
+        yield from _lists(texts[:half], rows[:half], bits)
+        yield from _lists(texts[half:], rows[half:], bits)
+        return
+    number = np.zeros(0x110000, np.int32)
+    number[alphabet] = np.arange(len(alphabet))
+    own = number[flat].astype(np.int64)
     place = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
-    inside = np.flatnonzero(place[:-2] == place[2:])
-    keys = (flat[:-2] << 42 | flat[1:-1] << 21 | flat[2:])[inside]
-    # stable, so that a trigram's rows stay in their order
-    order = np.argsort(keys, kind="stable")
-    keys, own = keys[order], rows[place[inside[order]]]
-    fresh = np.ones(len(keys), bool)
-    fresh[1:] = (keys[1:] != keys[:-1]) | (own[1:] != own[:-1])
-    keys, own = keys[fresh], own[fresh]
-    segment = own >> bits
-    first = np.ones(len(keys), bool)
-    first[1:] = (keys[1:] != keys[:-1]) | (segment[1:] != segment[:-1])
-    at = np.flatnonzero(first)
-    points = np.stack([keys[at] >> 42, keys[at] >> 21 & 0x1FFFFF, keys[at] & 0x1FFFFF], axis=1).astype(np.uint32)
+    keys = (own[:-2] << 2 * wide | own[1:-1] << wide | own[2:]) << low | place[2:]
+    keys = keys[place[:-2] == place[2:]]
+    keys.sort()
+    keys = keys[np.append(True, keys[1:] != keys[:-1])]
+    tri = keys >> low
+    at = np.flatnonzero(np.append(True, tri[1:] != tri[:-1]))
+    offsets = (np.array(rows, np.int64) & (1 << bits) - 1).astype(np.int16)[keys & (1 << low) - 1]
+    tri, mask = tri[at], (1 << wide) - 1
+    points = alphabet[np.stack([tri >> 2 * wide, tri >> wide & mask, tri & mask], axis=1)].astype(np.uint32)
     spelt = points.tobytes().decode("utf-32-le")
-    tri = pa.array([spelt[i : i + 3] for i in range(0, len(spelt), 3)], pa.string())
-    offsets = pa.array((own & (1 << bits) - 1).astype(np.int32))
-    ends = pa.array(np.append(at, len(own)).astype(np.int32))
-    return pa.RecordBatch.from_arrays([tri, pa.array(segment[at]), pa.ListArray.from_arrays(ends, offsets)], ["tri", "segment", "offsets"])
+    names = pa.array([spelt[i : i + 3] for i in range(0, len(spelt), 3)], pa.string())
+    segment = pa.array(np.full(len(at), rows[0] >> bits, np.int64))
+    ends = pa.array(np.append(at, len(keys)).astype(np.int32))
+    yield pa.RecordBatch.from_arrays([names, segment, pa.ListArray.from_arrays(ends, pa.array(offsets))], ["tri", "segment", "offsets"])
 
 
 def _partial_lists(batches: Iterator[pa.RecordBatch], bits: int, chars: int) -> Iterator[pa.RecordBatch]:
-    """Lists of ``chars`` characters at a time; long texts are taken piece by piece."""
+    """Lists of a segment, or of ``chars`` characters of it at a time; long texts are taken piece by piece."""
+    texts, rows, size = [], [], 0
     for batch in batches:
-        texts, rows, size = [], [], 0
         for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if texts and row >> bits != rows[0] >> bits:
+                yield from _lists(texts, rows, bits)
+                texts, rows, size = [], [], 0
             codes = _codes(text)
             for start in range(0, max(len(codes) - 2, 0), chars):
                 piece = codes[start : start + chars + 2]
@@ -80,10 +92,10 @@ def _partial_lists(batches: Iterator[pa.RecordBatch], bits: int, chars: int) ->
                 rows.append(row)
                 size += len(piece)
                 if size >= chars:
-                    yield _lists(texts, np.array(rows, np.int64), bits)
+                    yield from _lists(texts, rows, bits)
                     texts, rows, size = [], [], 0
-        if texts:
-            yield _lists(texts, np.array(rows, np.int64), bits)
+    if texts:
+        yield from _lists(texts, rows, bits)
 
 
 def _bucket(tri: Column) -> Column:
@@ -91,24 +103,24 @@ def _bucket(tri: Column) -> Column:
 
 
 def build(rows: DataFrame, case_sensitive: bool = False) -> SubstringIndex:
-    """Index ``rows`` (pos, text and any further columns but row, folder, segment). Null texts count as empty."""
+    """Index ``rows`` (text and any further columns but row, folder, segment). Null texts count as empty.
+
+    Rows are computed once, in the partitions in which they come; each of these is a folder.
+    """
     spark = rows.sparkSession
     folder = shared_folder(spark, "substring-index")
-    placed = rows.repartitionByRange("pos").sortWithinPartitions("pos")
-    placed = placed.withColumns({"row": F.monotonically_increasing_id(), "folder": F.spark_partition_id()})
+    placed = rows.withColumns({"row": F.monotonically_increasing_id(), "folder": F.spark_partition_id()})
     placed.write.partitionBy("folder").parquet(f"{folder}/rows")
     kept = spark.read.schema(placed.schema).parquet(f"{folder}/rows")
-    some = kept.select("row", _hay(case_sensitive).cast("binary").alias("text")).mapInArrow(partial(_partial_lists, bits=SEGMENT_BITS, chars=CHARS), "tri string, segment long, offsets array<int>")
+    some = kept.select("row", _hay(case_sensitive).cast("binary").alias("text")).mapInArrow(partial(_partial_lists, bits=SEGMENT_BITS, chars=CHARS), "tri string, segment long, offsets array<smallint>")
     # a folder's lists are dealt to several tasks, by segment too, as a common trigram has many
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     part = F.pmod(F.xxhash64("tri", "segment"), F.lit(max(1, 4 * n // BUCKETS))).cast("int")
     dealt = some.withColumns({"bucket": _bucket(F.col("tri")), "part": part}).repartition("bucket", "part")
-    lists = F.sort_array(F.array_distinct(F.flatten(F.collect_list("offsets"))))
-    listed = dealt.groupBy("bucket", "part", "tri", "segment").agg(lists.alias("offsets"))
-    listed = listed.select("tri", "segment", F.size("offsets").alias("n"), "offsets", "bucket")
+    listed = dealt.select("tri", "segment", F.size("offsets").alias("n"), "offsets", "bucket")
     # sorted by trigram, so a scan skips row groups
     listed.sortWithinPartitions("bucket", "tri", "segment").write.partitionBy("bucket").parquet(f"{folder}/postings")
-    postings = spark.read.schema("tri string, segment long, n int, offsets array<int>, bucket int").parquet(f"{folder}/postings")
+    postings = spark.read.schema("tri string, segment long, n int, offsets array<smallint>, bucket int").parquet(f"{folder}/postings")
     return SubstringIndex(postings, kept.select(*rows.columns, "row", "folder"), case_sensitive)
 
 
@@ -122,11 +134,12 @@ def candidates(index: SubstringIndex, terms: list[str]) -> DataFrame:
     names = sorted({tri for _, tri in told})
     # literals, so that folders and row groups without these trigrams are not read
     buckets = [r.b for r in wanted.select(_bucket(F.col("tri")).alias("b")).distinct().collect()]
-    lists = index.postings.where(F.col("bucket").isin(buckets) & F.col("tri").isin(names)).drop("bucket")
+    lists = index.postings.where(F.col("bucket").isin(buckets) & F.col("tri").isin(names))
+    lists = lists.groupBy("tri", "segment").agg(F.sum("n").alias("n"), F.flatten(F.collect_list("offsets")).alias("offsets"))
     group = lists.join(F.broadcast(wanted), "tri").groupBy("term", "segment")
     met = group.agg(F.count("*").alias("have"), F.first("need").alias("need"), F.array_sort(F.collect_list(F.struct("n", "offsets"))).alias("lists"))
     both = F.aggregate(F.slice("lists", 2, 1 << 30), F.col("lists")[0].offsets, lambda acc, one: F.array_intersect(acc, one.offsets))
-    found = met.where("have = need").select("term", "segment", F.explode(both).alias("offset"))
+    found = met.where("have = need").select("term", "segment", F.explode(F.array_distinct(both)).alias("offset"))
     row = F.shiftleft("segment", SEGMENT_BITS) + F.col("offset")
     return found.select("term", row.alias("row"), F.shiftright(row, 33).cast("int").alias("folder"))
 

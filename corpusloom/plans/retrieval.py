@@ -32,14 +32,18 @@ def query_vector(spark: SparkSession, sf: str) -> list[float]:
 CHUNK_ROOM = 1 << 20
 
 
-def chunk_table(spark: SparkSession, sf: str) -> DataFrame:
-    """Chunks of record documents; the first chunk of a record's reading has the vector with ``vec_id = doc_id``."""
-    docs = R.to_documents(records(spark, sf).drop("rec_i"))
-    cut = chunk_rows(docs)
+def placed_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks of record documents with the id of their vector; no vector has a negative one."""
+    cut = chunk_rows(R.to_documents(records(spark, sf).drop("rec_i")))
     first = (F.col("doc_ord") == 0) & (F.col("chunk_index") == 0)
     # rows without a vector get keys of their own, so that they don't meet in one task
     place = (F.col("pos") * 4 + F.col("doc_ord")) * CHUNK_ROOM + F.col("chunk_index")
-    placed = cut.withColumn("vec_id", F.when(first, F.col("pos")).otherwise(-1 - place)).withColumn("pos", place)
+    return cut.withColumn("vec_id", F.when(first, F.col("pos")).otherwise(-1 - place)).withColumn("pos", place)
+
+
+def chunk_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks of record documents; the first chunk of a record's reading has the vector with ``vec_id = doc_id``."""
+    placed = placed_chunks(spark, sf)
     vectors = table(spark, sf, "embeddings").select("vec_id", "embedding")
     return placed.join(vectors, "vec_id", "left").select(
         "pos", "source", "suttaid", "commentary_id", F.col("lang").alias("conversation_id"), "kind",
@@ -380,7 +384,8 @@ def vector_index_cosine(spark, sf):
 )
 def substring_index_terms(spark, sf):
     """Chunks that hold a term, through the trigram index of all chunks."""
-    chunks = chunk_table(spark, sf).select("pos", "suttaid", "text")
+    # without their vectors: a chunk that had several would still be one row here
+    chunks = placed_chunks(spark, sf).select("pos", "suttaid", "text")
     found = S.find(S.build(chunks), [t for t in TERMS])
     return found.groupBy("pos", "suttaid").agg(F.min("term").alias("term"))
 

@@ -51,3 +51,43 @@ def test_lists_of_many_rows_meet_in_one_row():
 def test_broken_text_is_found_by_its_sound_parts(spark):
     rows = spark.range(1).selectExpr("id as pos", "cast(concat(X'ff', cast('needle' as binary), X'c3') as string) as text")
     assert [r.term for r in S.find(S.build(rows), ["needle", "need le"]).collect()] == [0]
+
+
+def test_rows_are_computed_once(spark):
+    """The index numbers rows where they come, so what they are made of is not computed a second time for their order."""
+    from pyspark.sql import functions as F
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(text):
+        seen.add(1)
+        return text
+
+    rows = spark.range(200).repartition(4).select(F.col("id").alias("pos"), F.udf(count)(F.concat(F.lit("row "), F.col("id").cast("string"))).alias("text"))
+    index = S.build(rows)
+    assert seen.value == 200
+    assert {r.pos for r in S.find(index, ["row 19"]).collect()} == {19, *range(190, 200)}
+
+
+def test_lists_in_several_turns_equal_a_scan(spark, monkeypatch):
+    monkeypatch.setattr(S, "SEGMENT_BITS", 5)
+    monkeypatch.setattr(S, "CHARS", 60)
+    own = texts(3, 120) + ["ab" * 200 + "needle"]
+    rows = spark.createDataFrame(list(enumerate(own)), "pos long, text string").repartition(2)
+    index = S.build(rows)
+    assert index.postings.groupBy("tri", "segment").count().where("count > 1").count() > 0
+    terms = ["abc", "aba", "b a", "needle", "babababab"]
+    found = sorted((r.pos, r.term) for r in S.find(index, terms).collect())
+    assert found == sorted((i, k) for i, t in enumerate(own) for k, q in enumerate(terms) if q in (t or "").lower())
+
+
+def test_lists_of_texts_with_very_many_characters():
+    import numpy as np
+
+    points = np.append(np.arange(1, 0xD800), np.arange(0xE000, 0x50000)).astype(np.uint32)
+    own = np.array_split(points, 100)
+    parts = list(S._lists(own, list(range(100)), 13))
+    told = {(tri, row) for part in parts for tri, rows in zip(part["tri"].to_pylist(), part["offsets"].to_pylist()) for row in rows}
+    spelt = [t.tobytes().decode("utf-32-le") for t in own]
+    assert told == {(t[i : i + 3], row) for row, t in enumerate(spelt) for i in range(len(t) - 2)}
+    assert len(parts) > 1
