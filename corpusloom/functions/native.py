@@ -16,7 +16,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import constants as K
-from .sequences import Bounds, Prepared, ratio
+from .sequences import Bounds, Prepared, Texts, ratio
 
 # --- spoken identifiers -------------------------------------------------------
 
@@ -127,15 +127,18 @@ def best_in_tile(block: Column, floors: Column, tile: Column, k: int) -> Column:
                 prepared = {"entries": entries, "openings": openings, "bounds": Bounds([o.text for o in openings], openings)}
             openings, n = prepared["openings"], 0
             bounds = Bounds(texts).to(prepared["bounds"])
+            numbered = Texts(texts)
+            tables = [o.tables(numbered) if o.plain else None for o in openings]
             out = []
-            for text, own, bound, order in zip(texts, least, bounds.tolist(), (-bounds).argsort(axis=1, kind="stable").tolist()):
+            for i, (text, own, bound, order) in enumerate(zip(texts, least, bounds.tolist(), (-bounds).argsort(axis=1, kind="stable").tolist())):
                 top: list = []
                 for j in order:
                     floor = max(own, top[-1][0]) if len(top) == k else own
                     if bound[j] < floor:
                         break
                     n += 1
-                    score = ratio(text, openings[j], floor)
+                    table = numbered.table(i, tables[j]) if openings[j].plain else None
+                    score = ratio(text, openings[j], floor, table=table)
                     if score is not None:
                         top.append((score, entries[j]["pos"]))
                         top.sort(key=lambda pair: (-pair[0], pair[1]))

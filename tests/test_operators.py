@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators import conversations as C
 from corpusloom.functions.native import chunk_spans
-from corpusloom.functions.sequences import Prepared, ratio
+from corpusloom.functions.sequences import Bounds, Prepared, Texts, ratio
 from corpusloom.operators import answers as A
 from corpusloom.operators import alignment as Al
 from corpusloom.operators import chunking, dedup, mapping, models, ordered, records, retrieval, segments, subtitles
@@ -467,3 +467,33 @@ def test_similarity_keys_of_long_texts(spark, monkeypatch):
     monkeypatch.setattr(mapping, "stored", lambda d, what: stored_columns.append(d.columns) or keep(d, what))
     assert mapping.candidate_scores(units, canon, 1).count() == len(own)
     assert ["unit_id", "book", "_key"] in stored_columns
+
+
+def test_bounds_hold_and_tables_are_those_of_the_texts():
+    rng = random.Random(11)
+    own, openings = [""], ["", "x"]
+    for alphabet in ("ab", "abcdefg ", "etaoinshrdlu     cmfwypvbgkqjxz0123456789", "aé😀 ß一"):
+        say = lambda: "".join(rng.choice(alphabet) for _ in range(rng.choice([1, 3, 30, 150, 199, 200, 260, 320])))  # noqa: B023, E731
+        openings += [say() for _ in range(6)]
+        own += [say() for _ in range(4)] + [o[: len(o) // 2] + say() for o in openings[-3:]] + openings[-2:]
+    prepared = [Prepared(o) for o in openings]
+    bounds, numbered = Bounds(own).to(Bounds(openings, prepared)), Texts(own)
+    for j, other in enumerate(prepared):
+        tables = other.tables(numbered) if other.plain else None
+        for i, text in enumerate(own):
+            want = difflib.SequenceMatcher(None, text, other.text).ratio()
+            assert ratio(text, other, table=numbered.table(i, tables) if other.plain else None) == want
+            assert bounds[i, j] >= want - 1e-12
+    assert Bounds([""]).to(Bounds(openings, prepared)).shape == (1, len(openings))
+    assert ratio("", prepared[1], table=Texts([""]).table(0, prepared[1].tables(Texts([""])))) == 0.0
+
+
+def test_long_openings_out_of_reach_are_not_scored(spark):
+    """In a long opening only rare characters start a block, so one that has little around them in common is not scored."""
+    rng = random.Random(12)
+    say = lambda n: "".join(rng.choice("etaoinshrdlu     etaoinsr     cmfwypvbgkqjxz") for _ in range(n))
+    openings = [say(300) for _ in range(40)] + [say(150) for _ in range(4)]
+    canon = spark.createDataFrame([(1, i, o) for i, o in enumerate(openings)], "book int, pos bigint, opening string")
+    units = spark.createDataFrame([(f"u{i}", 1, say(300)) for i in range(30)], "unit_id string, book int, text string")
+    work = mapping.candidate_work(units, canon, 2).first()
+    assert work.pairs == 30 * 44 and work.scored < 0.4 * work.pairs
